@@ -12,11 +12,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import arrow_map, small, utf8
+from lattica.llm.hashing import BASE, Spans, mix, powers, runs
 from lattica.session import materialize
 
 BUCKETS = 1 << 16
@@ -30,43 +30,6 @@ SPACES = r"[\x20\x09-\x0D]"
 
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 KIND = np.array([0 if SPACE[b] else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.int8)
-VALUE = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=7) for b in range(256)], dtype=np.uint64)
-BASE = 0x5851F42D4C957F2D
-UNBASE = pow(BASE, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out) if n else out
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
-
-
-class Spans:
-    """Hashes of byte ranges: equal ranges have equal hashes wherever they stand."""
-
-    def __init__(self, data: np.ndarray):
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[data] * powers(BASE, len(data)), dtype=np.uint64)])
-        self.back = powers(UNBASE, len(data) + 1)
-
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.back[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-
-
-def runs(kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of one kind, broken at the texts' borders, without those of kind 0."""
-    edge = np.ones(len(kinds) + 1, dtype=bool)
-    edge[1:-1] = kinds[1:] != kinds[:-1]
-    edge[offsets] = True
-    at = np.flatnonzero(edge)
-    starts, ends = at[:-1], at[1:]
-    keep = kinds[starts] != 0 if len(starts) else np.zeros(0, bool)
-    return starts[keep], ends[keep]
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
