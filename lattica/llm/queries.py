@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, quality, simhash, toxicity, warc
+from lattica.llm import bpe, decontaminate, linededup, quality, simhash, toxicity, warc
 from lattica.session import materialize, shared_dir, table
 
 
@@ -42,10 +42,55 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids, "contaminated")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op4_warc, op5_bpe, op6_quality, op7_toxicity, op9_simhash)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_warc, op5_bpe, op6_quality, op7_toxicity, op8_decontaminate, op9_simhash)}
+OP4_SQL = """
+WITH r AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, max(page_id) AS first FROM r GROUP BY html)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (5 * (3 - i % 4))::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM r JOIN f USING (html)
+"""
+
+OP8_SQL = r"""
+WITH lower_words AS (
+  SELECT 'd' AS kind, doc_id AS id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+    lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) FROM benchmark),
+items AS (SELECT id AS item_id, w, least(13, len(w)) AS width FROM lower_words WHERE kind = 'i' AND len(w) > 0),
+wins AS (SELECT DISTINCT item_id, width, array_to_string(w[s : s + width - 1], ' ') AS win
+  FROM (SELECT item_id, width, w, unnest(range(1, len(w) - width + 2)) AS s FROM items)),
+docs AS (SELECT id AS doc_id, w FROM lower_words WHERE kind = 'd'),
+places AS (SELECT doc_id, width, s, array_to_string(w[s : s + width - 1], ' ') AS win
+  FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS s FROM docs, (SELECT DISTINCT width FROM items))),
+found AS (SELECT doc_id, item_id, s, places.width FROM places JOIN wins ON places.win = wins.win AND places.width = wins.width),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + width)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op4_warc": OP4_SQL, "op8_decontaminate": OP8_SQL}
+
+
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.near_duplicate_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_linededup"] = op10_linededup
