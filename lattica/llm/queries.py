@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, decontaminate, linededup, quality, simhash, toxicity, warc
+from lattica.llm import bpe, decontaminate, linededup, quality, simhash, suffixdedup, toxicity, warc
 from lattica.session import materialize, shared_dir, table
 
 
@@ -94,3 +94,10 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_linededup"] = op10_linededup
+
+
+def op2_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(suffixdedup.deduplicate(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op2_suffixdedup"] = op2_suffixdedup
