@@ -24,7 +24,7 @@ from lattica.llm.common import arrow_map
 CHUNK = 32_768
 OVERLAP = 1_024
 #: Pieces whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class Encoder:
@@ -94,7 +94,7 @@ def _encoded(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         return {c: batch.column(c) for c in keys} | {"ids": ids_column([g[0] for g in got]), "decoded": [g[1] for g in got], "ids_text": [g[2] for g in got]}
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
-    return arrow_map(rows, run, f"{schema}, ids array<int>, decoded binary, ids_text string")
+    return arrow_map(rows, run, f"{schema}, ids array<int>, decoded binary, ids_text string", text=rows.columns.index("text"))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

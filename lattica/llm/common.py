@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has at most so many rows of a few plain columns (about 24 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text that are handled at once as arrays.
+SLICE = 1 << 20
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -18,22 +21,37 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def arrow_map(df: DataFrame, fn: Callable[[dict[str, list]], dict], schema: str) -> DataFrame:
-    """mapInArrow with one function from a record batch to a dict of columns."""
-    from pyspark.sql.types import _parse_datatype_string
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text: int | None = None) -> DataFrame:
+    """mapInArrow with one function from a record batch to a dict of columns.
+
+    ``text`` is the position of a column of texts: then a batch is handed over in slices of at most SLICE bytes of them (a
+    longer text alone), so that arrays of one number a byte stay small.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cols = fn(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in out], schema=out)
+        for whole in batches:
+            for batch in slices(whole, text) if text is not None else [whole]:
+                if batch.num_rows:
+                    cols = fn(batch)
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, text: int, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + (limit or SLICE), side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column back to back, and n+1 offsets; null is empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")

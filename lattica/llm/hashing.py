@@ -10,10 +10,17 @@ BASE = 0x5851F42D4C957F2D
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out) if n else out
+    """base**0 to base**(n-1) modulo 2**64, remembered up to the longest asked for."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), np.uint64(base), dtype=np.uint64)
+        known[0] = 1
+        known = _POWERS[base] = np.multiply.accumulate(known)
+    return known[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

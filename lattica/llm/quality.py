@@ -54,7 +54,7 @@ def count_ngrams(docs: DataFrame, text_col: str, trusted_col: str) -> DataFrame:
         at = np.flatnonzero(raw)
         return {"bucket": at, "raw": raw[at], "target": target[at]}
 
-    parts = arrow_map(docs.select(text_col, trusted_col), run, "bucket long, raw long, target long")
+    parts = arrow_map(docs.select(text_col, trusted_col), run, "bucket long, raw long, target long", text=0)
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -112,7 +112,7 @@ def base_rules(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str) -
         return {id_col: batch.column(0), "n_words": np.diff(bounds), "word_chars": chars, "n_symbols": n_symbols, "n_dup_lines": n_dups, "n_repeat_words": repeats, "verdict": verdict}
 
     schema = f"{id_col} long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, verdict double"
-    out = arrow_map(docs.select(F.col(id_col).cast("long"), text_col), run, schema)
+    out = arrow_map(docs.select(F.col(id_col).cast("long"), text_col), run, schema, text=1)
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 

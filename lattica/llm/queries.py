@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, decontaminate, linededup, quality, simhash, suffixdedup, toxicity, warc
+from lattica.llm import bpe, chaining, decontaminate, linededup, quality, simhash, suffixdedup, toxicity, warc
 from lattica.session import materialize, shared_dir, table
 
 
@@ -101,3 +101,10 @@ def op2_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_suffixdedup"] = op2_suffixdedup
+
+
+def op3_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.shared_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_chaining"] = op3_chaining
