@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, chaining, decontaminate, linededup, quality, simhash, suffixdedup, toxicity, warc
+from lattica.llm import bpe, chaining, decontaminate, linededup, pii, quality, simhash, suffixdedup, toxicity, warc
 from lattica.session import materialize, shared_dir, table
 
 
@@ -108,3 +108,13 @@ def op3_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_chaining"] = op3_chaining
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("entities", lambda e: e["kind"] == kind))
+    counts = (of(kind).cast("long").alias(f"n_{kind}") for kind in pii.KINDS)
+    return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *counts, "text")
+
+
+QUERIES["op1_pii"] = op1_pii
