@@ -110,16 +110,20 @@ WEEKDAYS = "monday tuesday wednesday thursday friday saturday sunday".split()
 NUMBERS = "one two three four five six seven eight nine ten".split()
 
 
-def _index(word: Column, names: list[str], least: int = 3) -> Column:
+def _index(word: Column, names: list[str]) -> Column:
     """1-based place of the name that ``word`` is or abbreviates, else null."""
-    out = F.lit(None).cast("int")
-    for i, name in enumerate(names, 1):
-        out = F.when(F.substring(F.lower(word), 1, least) == name[:least], i).otherwise(out)
-    return out
+    at = F.array_position(F.array(*(F.lit(n[:3]) for n in names)), F.substring(F.lower(word), 1, 3))
+    return F.when(at > 0, at.cast("int"))
+
+
+def _with(parts: dict[str, Column], then) -> Column:
+    """``then(struct of parts)``: the parts are evaluated once, however often the expression uses them."""
+    return F.transform(F.array(F.struct(*(c.alias(name) for name, c in parts.items()))), then)[0]
 
 
 def month_end(year: Column, month: Column) -> Column:
-    return F.last_day(F.make_date(year.cast("int"), month.cast("int"), F.lit(1)))
+    ok = year.between(1, 9999) & month.between(1, 12)
+    return F.last_day(F.make_date(F.when(ok, year).cast("int"), F.when(ok, month).cast("int"), F.lit(1)))
 
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:
@@ -148,48 +152,42 @@ def resolve_deadline(text: Column, anchor: Column) -> Column:
     has = lambda p: text.rlike("(?i)" + p)
 
     iso = r"(?<!\d)(\d{4})-(\d{2})(?:-(\d{2}))?(?!\d)"
-    iso_day = F.coalesce(number(part(iso, 3)), F.lit(31))
-    branches = [F.when(has(iso), safe_date(number(part(iso, 1)), number(part(iso, 2)), iso_day))]
+    dated = {"y": number(part(iso, 1)), "m": number(part(iso, 2)), "d": F.coalesce(number(part(iso, 3)), F.lit(31))}
+    branches = [F.when(has(iso), _with(dated, lambda p: safe_date(p["y"], p["m"], p["d"])))]
 
     for pattern, m, d in (
         (rf"\b{months}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:\s*,?\s*(\d{{4}}))?\b", 1, 2),
         (rf"\b(\d{{1,2}})(?:st|nd|rd|th)?\s+(?:of\s+)?{months}\.?(?:\s*,?\s*(\d{{4}}))?\b", 2, 1),
     ):
-        month, day, year = _index(part(pattern, m), MONTHS), number(part(pattern, d)), number(part(pattern, 3))
-        this = safe_date(F.year(anchor), month, day)
-        inferred = F.when(this >= anchor, F.year(anchor)).otherwise(F.year(anchor) + 1)
-        branches.append(F.when(has(pattern), safe_date(F.coalesce(year, inferred), month, day)))
+        named = {"m": _index(part(pattern, m), MONTHS), "d": number(part(pattern, d)), "y": number(part(pattern, 3)), "a": anchor, "ay": F.year(anchor)}
+        next_year = lambda p: F.when(safe_date(p["ay"], p["m"], p["d"]) >= p["a"], p["ay"]).otherwise(p["ay"] + 1)
+        year = lambda p: _with({"y": F.coalesce(p["y"], next_year(p)), "m": p["m"], "d": p["d"]}, lambda q: safe_date(q["y"], q["m"], q["d"]))
+        branches.append(F.when(has(pattern), _with(named, year)))
 
     quarter = r"\bq([1-4])(?:\s*(?:of\s*)?(\d{4}))?\b"
-    q_month = number(part(quarter, 1)) * 3
-    q_year = F.coalesce(number(part(quarter, 2)), F.year(anchor) + (anchor > month_end(F.year(anchor), q_month)).cast("int"))
+    quarters = {"m": number(part(quarter, 1)) * 3, "y": number(part(quarter, 2)), "a": anchor}
+    in_quarter = _with(quarters, lambda p: month_end(F.coalesce(p["y"], F.year(p["a"]) + (p["a"] > month_end(F.year(p["a"]), p["m"])).cast("int")), p["m"]))
     month_only = rf"\b(?:by|until|before|end of|mid|in)\s+{months}\b(?!\s+\d)"
-    only = _index(part(month_only, 1), MONTHS)
+    in_month = _with({"m": _index(part(month_only, 1), MONTHS), "a": anchor}, lambda p: month_end(F.year(p["a"]) + (p["m"] < F.month(p["a"])).cast("int"), p["m"]))
     relative = r"\b(?:in|within)\s+(a|an|one|two|three|four|five|six|seven|eight|nine|ten|\d+)\s+(day|week|month)s?\b"
     word = F.lower(part(relative, 1))
-    count = F.when(word.isin("a", "an"), 1).when(word.rlike(r"^\d{1,9}$"), F.when(word.rlike(r"^\d{1,9}$"), word).cast("int"))
-    for i, name in enumerate(NUMBERS, 1):
-        count = count.when(word == name, i)
-    count = F.when(count <= 3650, count)
-    unit = F.lower(part(relative, 2))
-    moved = F.when(unit == "day", F.date_add(anchor, count)).when(unit == "week", F.date_add(anchor, count * 7)).when(unit == "month", F.add_months(anchor, count))
+    spelled = F.array_position(F.array(*map(F.lit, NUMBERS)), word)
+    count = F.when(word.isin("a", "an"), 1).when(spelled > 0, spelled.cast("int")).otherwise(F.when(word.rlike(r"^\d{1,9}$"), word).cast("int"))
+    counted = {"n": F.when(count <= 3650, count), "u": F.lower(part(relative, 2)), "a": anchor}
+    moved = _with(counted, lambda p: F.when(p["u"] == "day", F.date_add(p["a"], p["n"])).when(p["u"] == "week", F.date_add(p["a"], p["n"] * 7)).when(p["u"] == "month", F.add_months(p["a"], p["n"])))
     ends = r"\b(?:by\s+)?(?:end\s+of\s+(?:the\s+)?(day|week|month|quarter|year)|(eod|eow|eom|eoq|eoy))\b"
-    short = {"eod": "day", "eow": "week", "eom": "month", "eoq": "quarter", "eoy": "year"}
-    end_unit = F.lower(part(ends, 1))
-    for abbreviation, full in short.items():
-        end_unit = F.when(F.lower(part(ends, 2)) == abbreviation, full).otherwise(end_unit)
+    short = F.array_position(F.array(*map(F.lit, ["eod", "eow", "eom", "eoq", "eoy"])), F.lower(part(ends, 2)))
+    unit = F.when(short > 0, F.get(F.array(*map(F.lit, ["day", "week", "month", "quarter", "year"])), (short - 1).cast("int"))).otherwise(F.lower(part(ends, 1)))
     nexts = r"\bnext\s+(week|month|quarter|year)\b"
-    next_unit = F.lower(part(nexts, 1))
-    following = (
-        F.when(next_unit == "week", end_of(F.date_add(anchor, 7), F.lit("week"))).when(next_unit == "month", F.last_day(F.add_months(anchor, 1)))
-        .when(next_unit == "quarter", end_of(F.add_months(end_of(anchor, F.lit("quarter")), 1), F.lit("quarter"))).when(next_unit == "year", F.make_date(F.year(anchor) + 1, F.lit(12), F.lit(31)))
-    )
+    following = _with({"u": F.lower(part(nexts, 1)), "a": anchor}, lambda p: (
+        F.when(p["u"] == "week", end_of(F.date_add(p["a"], 7), F.lit("week"))).when(p["u"] == "month", F.last_day(F.add_months(p["a"], 1)))
+        .when(p["u"] == "quarter", end_of(F.add_months(end_of(p["a"], F.lit("quarter")), 1), F.lit("quarter"))).when(p["u"] == "year", F.make_date(F.year(p["a"]) + 1, F.lit(12), F.lit(31)))
+    ))
     days = r"\b(next\s+)?(" + "|".join(f"{d}|{d[:3]}" for d in WEEKDAYS) + r")\b"
-    ahead = F.pmod(_index(part(days, 2), WEEKDAYS) - 1 - F.weekday(anchor), F.lit(7))
-    ahead = F.when(part(days, 1) != "", ahead + 7).when(ahead == 0, 7).otherwise(ahead)
+    ahead = {"n": F.pmod(_index(part(days, 2), WEEKDAYS) - 1 - F.weekday(anchor), F.lit(7)), "next": part(days, 1) != "", "a": anchor}
+    weekday = _with(ahead, lambda p: F.date_add(p["a"], F.when(p["next"], p["n"] + 7).when(p["n"] == 0, 7).otherwise(p["n"])))
     final = (
-        F.when(has(quarter), month_end(q_year, q_month)).when(has(month_only), month_end(F.year(anchor) + (only < F.month(anchor)).cast("int"), only))
-        .when(has(r"\btomorrow\b"), F.date_add(anchor, 1)).when(has(r"\b(today|by\s+tonight|tonight)\b"), anchor)
-        .when(has(relative), moved).when(has(ends), end_of(anchor, end_unit)).when(has(nexts), following).when(has(days), F.date_add(anchor, ahead))
+        F.when(has(quarter), in_quarter).when(has(month_only), in_month).when(has(r"\btomorrow\b"), F.date_add(anchor, 1)).when(has(r"\b(today|by\s+tonight|tonight)\b"), anchor)
+        .when(has(relative), moved).when(has(ends), _with({"u": unit, "a": anchor}, lambda p: end_of(p["a"], p["u"]))).when(has(nexts), following).when(has(days), weekday)
     )
     return F.coalesce(*branches, final)

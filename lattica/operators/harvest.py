@@ -76,7 +76,8 @@ def run_status(completed: Column, failed: Column, errors: Column) -> Column:
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
     """(user, start, end, n) of runs of events less than ``gap`` apart; the same call works on a stream with a watermark."""
-    out = events.groupBy(user, F.session_window(F.col(ts).cast("timestamp"), gap).alias("w")).agg(F.count("*").alias("n"))
+    at = F.col(ts) if events.schema[ts].dataType.simpleString() == "timestamp" else F.col(ts).cast("timestamp")
+    out = events.groupBy(user, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n"))
     return out.select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import columns as C
 from lattica.operators import attention, graph, harvest, retrieval, texts, trees
-from lattica.session import table
+from lattica.session import materialize, table
 from lattica.sources import derived as D
 
 QUERIES: dict[str, Callable] = {}
@@ -553,3 +553,152 @@ def context_vectors(spark, sf_dir) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     nodes = v.filter("id < 50")
     return graph.context_vectors(nodes, _strong(spark, sf_dir).withColumnRenamed("n", "weight"), dimension(spark, sf_dir))
+
+
+# Map, clusters, matching, streams ------------------------------------------------------------------------------------
+
+GRID = """grid AS (SELECT q, r, 3.0::DOUBLE * (2 * q + r) AS x, 3.0::DOUBLE * sqrt(3.0::DOUBLE) * r AS z FROM range(-12, 13) a(q), range(-14, 15) b(r) WHERE abs(3.0 * (2 * q + r)) <= 60 AND abs(3.0::DOUBLE * sqrt(3.0::DOUBLE) * r) <= 60),
+regions AS (SELECT n_nationkey AS region, ((n_nationkey * 37) % 100 - 50)::DOUBLE AS cx, ((n_nationkey * 53) % 100 - 50)::DOUBLE AS cz, (8 + n_nationkey % 9)::DOUBLE AS radius FROM nation)"""
+
+
+def _warp_sql(x: str, z: str) -> tuple[str, str]:
+    return (
+        f"({x} + 4.0 * (sin(0.045 * {x}) * cos(0.038 * {z}) + 0.55 * sin(0.11 * {x} + 1.0) * sin(0.09 * {z} + 0.5) + 0.30 * cos(0.18 * {x}) * sin(0.21 * {z})))",
+        f"({z} + 4.0 * (cos(0.052 * {x} + 0.7) * sin(0.041 * {z}) + 0.55 * cos(0.115 * {z}) * sin(0.097 * {x} + 1.2) + 0.30 * cos(0.16 * {z}) * sin(0.20 * {x})))",
+    )
+
+
+def _regions(spark, sf_dir) -> DataFrame:
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(n.alias("region"), ((n * 37) % 100 - 50).cast("double").alias("cx"), ((n * 53) % 100 - 50).cast("double").alias("cz"), (8 + n % 9).cast("double").alias("radius"))
+
+
+def _owned(spark, sf_dir) -> DataFrame:
+    from lattica.operators import layout
+
+    return layout.own_hexes(layout.hex_grid(spark, 60.0, 3.0), _regions(spark, sf_dir), 4.0)
+
+
+OWNED = (
+    "pairs AS (SELECT q, r, x, z, region, radius, "
+    f"({_warp_sql('x', 'z')[0]} - {_warp_sql('cx', 'cz')[0]}) ** 2 + ({_warp_sql('x', 'z')[1]} - {_warp_sql('cx', 'cz')[1]}) ** 2 AS d2 FROM grid, regions),\n"
+    "best AS (SELECT *, row_number() OVER (PARTITION BY q, r ORDER BY d2, region) AS k FROM pairs),\n"
+    "owned AS (SELECT q, r, x, z, CASE WHEN d2 <= (radius * 1.15) ** 2 THEN region END AS region FROM best WHERE k = 1)"
+)
+
+
+@query(with_(GRID, OWNED) + "SELECT q::INT AS q, r::INT AS r, round(x, 6) AS x, round(z, 6) AS z, region FROM owned")
+def hex_owners(spark, sf_dir) -> DataFrame:
+    return _owned(spark, sf_dir).select("q", "r", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"), "region")
+
+
+@query(with_(GRID, OWNED, "m AS (SELECT region, count(*) AS hexes, avg(x) AS cx, avg(z) AS cz FROM owned WHERE region IS NOT NULL GROUP BY region)")
+       + "SELECT region, hexes, round(cx, 6) AS cx, round(cz, 6) AS cz, round(max(sqrt((x - cx) ** 2 + (z - cz) ** 2)), 6) AS radius FROM owned JOIN m USING (region) GROUP BY region, hexes, cx, cz")
+def region_footprints(spark, sf_dir) -> DataFrame:
+    from lattica.operators import layout
+
+    f = layout.region_footprints(_owned(spark, sf_dir))
+    return f.select("region", "hexes", *(F.round(c, 6).alias(c) for c in ("cx", "cz", "radius")))
+
+
+@query(with_(GRID) + "SELECT min(cx - radius) AS min_x, max(cx + radius) AS max_x, min(cz - radius) AS min_z, max(cz + radius) AS max_z FROM regions")
+def map_bounds(spark, sf_dir) -> DataFrame:
+    from lattica.operators import layout
+
+    return layout.bounds(_regions(spark, sf_dir))
+
+
+@query(with_(GRID) + "SELECT a.q::INT AS q, a.r::INT AS r, count(*) AS n FROM grid a JOIN grid b ON (b.q - a.q, b.r - a.r) IN ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)) GROUP BY 1, 2")
+def hex_neighbours(spark, sf_dir) -> DataFrame:
+    from lattica.operators import layout
+
+    return layout.neighbour_pairs(layout.hex_grid(spark, 60.0, 3.0)).groupBy("q", "r").agg(F.count("*").alias("n"))
+
+
+@query()
+def hex_heights(spark, sf_dir) -> DataFrame:
+    from lattica.operators import layout
+
+    owned = _owned(spark, sf_dir).withColumn("pinned", F.col("region").isNull()).withColumn("height", F.when(F.col("region").isNull(), 0.0).otherwise((F.col("region") % 5 + 1).cast("double")))
+    return layout.diffuse(owned, 10).select("q", "r", F.round("height", 6).alias("height"))
+
+
+@query()
+def semantic_positions(spark, sf_dir) -> DataFrame:
+    from lattica.operators import layout
+
+    return layout.semantic_positions(_centres(spark, sf_dir).withColumnRenamed("label", "region"))
+
+
+@query()
+def density_clusters(spark, sf_dir) -> DataFrame:
+    from lattica.operators import clustering
+
+    return clustering.density_clusters(table(spark, sf_dir, "embeddings").withColumn("g", F.col("label") % 5), "g")
+
+
+@query()
+def canonical_labels(spark, sf_dir) -> DataFrame:
+    from lattica.operators import clustering
+
+    words = texts.top_words(table(spark, sf_dir, "documents"), k=1).groupBy("word").agg(F.count("*").alias("n"))
+    return clustering.canonical_labels(words, "word")
+
+
+@query()
+def anchor_matches(spark, sf_dir) -> DataFrame:
+    from lattica.operators import clustering
+
+    # last run's regions are tags shifted by a third of their notes; matched to this run's by the overlap of their notes
+    t = D.note_tags(spark, sf_dir)
+    old = t.filter("(note_id + tag_id) % 3 <> 0").select("note_id", F.concat(F.lit("old"), F.col("tag_id").cast("string")).alias("l"))
+    new = t.select("note_id", F.concat(F.lit("new"), F.col("tag_id").cast("string")).alias("r"))
+    size = lambda f, c: f.groupBy(c).agg(F.count("*").alias(f"n{c}"))
+    met = old.join(new, "note_id").groupBy("l", "r").agg(F.count("*").alias("n")).join(size(old, "l"), "l").join(size(new, "r"), "r")
+    pairs = met.select(F.col("l").alias("a"), F.col("r").alias("b"), F.round(F.col("n") / (F.col("nl") + F.col("nr") - F.col("n")), 6).alias("score")).filter("score >= 0.05")
+    return clustering.greedy_matches(pairs)
+
+
+def _event_stream(spark, sf_dir) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@query(ORACLE["idle_sessions"] + " HAVING min(ts) IS NOT NULL")
+def stream_idle_sessions(spark, sf_dir) -> DataFrame:
+    """The sessions as a stream: its last hour stays open under the watermark, so the batch form closes what is left."""
+    from lattica.streaming import harvest as streams
+
+    closed = streams.run_to_table(streams.stream_sessions(_event_stream(spark, sf_dir)), "sessions")
+    # written first: the optimizer would push the anti-join below the merging of the session windows
+    whole = materialize(idle_sessions(spark, sf_dir), "sessions-batch")
+    return closed.unionByName(whole.join(closed, ["user_id", "start"], "left_anti"))
+
+
+@query(with_(D.LOG_SQL) + "SELECT date_trunc('day', ts)::TIMESTAMP AS start, source, change, count(*) AS n FROM log WHERE change IS NOT NULL AND ts < date_trunc('day', (SELECT max(ts) FROM log WHERE change IS NOT NULL) - INTERVAL 1 HOUR) GROUP BY 1, 2, 3")
+def stream_change_counts(spark, sf_dir) -> DataFrame:
+    """Windows that the watermark has closed: all days before the last event less an hour."""
+    from lattica.streaming import harvest as streams
+
+    e = _event_stream(spark, sf_dir)
+    change = F.when(F.col("event_type") == "signup", "new").when(F.col("event_type") == "purchase", "updated").when(F.col("event_type") == "error", "deleted")
+    log = e.select(F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string")).alias("source"), change.alias("change"), F.col("ts").cast("timestamp").alias("ts"))
+    return streams.run_to_table(streams.stream_change_counts(log), "change-counts")
+
+
+@query(with_(D.MANIFEST_SQL, D.LISTING_SQL, UPSERT) + "SELECT source_id, CASE action WHEN 'new' THEN 1 WHEN 'updated' THEN v + 1 ELSE v END AS version, CASE WHEN listed THEN 'active' ELSE s END AS status FROM u")
+def stream_upserts(spark, sf_dir) -> DataFrame:
+    """The manifest after the listing has landed in four files, one micro-batch each."""
+    import uuid
+
+    from lattica.session import shared_dir
+    from lattica.streaming import harvest as streams
+
+    root = f"{shared_dir(spark)}/landing-{uuid.uuid4().hex}"
+    incoming = D.listing(spark, sf_dir).select("source_id", "content_hash", "modified")
+    incoming.repartition(4, "source_id").write.parquet(f"{root}/in")
+    manifest = streams.ManifestTable(spark, f"{root}/manifest", D.manifest(spark, sf_dir).select("source_id", "content_hash", "modified", "version", "status"))
+    run = streams.stream_upserts(f"{root}/in", "source_id long, content_hash string, modified timestamp", manifest, f"{root}/checkpoint")
+    run.awaitTermination()
+    done = [b["batchId"] for b in run.recentProgress if b["numInputRows"]]
+    return manifest.read(max(done) + 1 if done else 0).select("source_id", "version", "status")
