@@ -214,3 +214,156 @@ def read_plugin(spark: SparkSession, name: str, enabled: list[str], **options: s
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load()
+
+
+# Code hosting and block-tree payloads ----------------------------------------------------------------------------------
+
+ENVELOPES = (
+    "document_type string, repo string, item struct<number: long, title: string, body: string, state: string, user: struct<login: string>, labels: array<struct<name: string>>, created_at: timestamp, updated_at: timestamp, "
+    "merged_at: timestamp, draft: boolean, additions: long, deletions: long, pull_request: struct<url: string>, category: struct<name: string>, answer_chosen_at: timestamp>, "
+    "comments array<struct<user: struct<login: string>, body: string, created_at: timestamp>>, reviews array<struct<user: struct<login: string>, state: string>>"
+)
+
+
+def code_envelopes(payloads: DataFrame, since: Column | None = None) -> DataFrame:
+    """Issues, pull requests and discussions as flat rows with markdown; kind follows document_type, else the payload's shape."""
+    i = "item."
+    kind = F.coalesce("document_type", F.when(F.col(i + "pull_request").isNotNull(), "pr").when(F.col(i + "category").isNotNull(), "discussion").otherwise("issue"))
+    people = F.array_union(F.array(F.col(i + "user.login")), F.coalesce(F.col("comments.user.login"), F.array().cast("array<string>")))
+    said = F.transform(F.coalesce("comments", F.array().cast("array<struct<user: struct<login: string>, body: string, created_at: timestamp>>")), lambda c: F.concat(F.lit("**"), c["user"]["login"], F.lit(":** "), F.coalesce(c["body"], F.lit(""))))
+    title = F.concat(F.lit("# "), F.col(i + "title"))
+    out = payloads.select(
+        F.concat_ws("#", "repo", F.col(i + "number").cast("string")).alias("source_id"), kind.alias("kind"), F.col(i + "title").alias("title"), F.col(i + "state").alias("state"), F.col(i + "user.login").alias("author"),
+        F.coalesce(F.col(i + "labels.name"), F.array().cast("array<string>")).alias("labels"), F.col(i + "created_at").alias("created"), F.col(i + "updated_at").alias("modified"),
+        F.size(F.coalesce("comments", F.array())).alias("n_comments"), F.array_distinct(F.filter(people, lambda x: x.isNotNull())).alias("participants"),
+        F.size(F.filter(F.coalesce(F.col("reviews.state"), F.array().cast("array<string>")), lambda s: s == "APPROVED")).alias("approvals"), F.col(i + "merged_at").isNotNull().alias("merged"),
+        (F.coalesce(i + "additions", F.lit(0)) + F.coalesce(i + "deletions", F.lit(0))).alias("changed_lines"), F.col(i + "answer_chosen_at").isNotNull().alias("answered"),
+        F.array_join(F.concat(F.array(title, F.coalesce(F.col(i + "body"), F.lit(""))), said), "\n\n").alias("markdown"),
+    )
+    return out.filter(F.col("modified") >= since) if since is not None else out
+
+
+#: What stands before the text of each kind of block.
+BLOCK_MARKS = {"heading_1": "# ", "heading_2": "## ", "heading_3": "### ", "bulleted_list_item": "- ", "numbered_list_item": "1. ", "quote": "> ", "toggle": "- ", "callout": "> "}
+
+
+def _rich(parts) -> str:
+    out = []
+    for p in parts or []:
+        text, marks = p.get("plain_text") or "", p.get("annotations") or {}
+        for name, mark in (("code", "`"), ("bold", "**"), ("italic", "*"), ("strikethrough", "~~")):
+            text = f"{mark}{text}{mark}" if marks.get(name) and text else text
+        out.append(f"[{text}]({p['href']})" if p.get("href") else text)
+    return "".join(out)
+
+
+def _block_lines(blocks, depth: int = 0):
+    for b in blocks or []:
+        kind = b.get("type")
+        body = b.get(kind) or {}
+        text = _rich(body.get("rich_text"))
+        pad = "  " * depth
+        if kind == "to_do":
+            yield f"{pad}- [{'x' if body.get('checked') else ' '}] {text}"
+        elif kind == "code":
+            yield f"{pad}```{body.get('language') or ''}\n{text}\n{pad}```"
+        elif kind == "divider":
+            yield pad + "---"
+        elif kind in ("child_page", "child_database"):
+            yield f"{pad}[{kind}] {body.get('title') or ''}"
+        elif kind in ("image", "file", "pdf", "video"):
+            yield f"{pad}[{_rich(body.get('caption')) or kind}]({(body.get('file') or body.get('external') or {}).get('url') or ''})"
+        elif kind == "table":
+            for i, row in enumerate(b.get("children") or []):
+                cells = [_rich(c) for c in (row.get("table_row") or {}).get("cells") or []]
+                yield pad + "| " + " | ".join(cells) + " |"
+                if i == 0:
+                    yield pad + "|" + " --- |" * len(cells)
+            continue
+        elif text or kind == "paragraph":
+            yield pad + BLOCK_MARKS.get(kind, "") + text
+        yield from _block_lines(b.get("children"), depth + 1)
+
+
+def _property(p: dict):
+    """One database property as text or a list of texts, null where it is empty."""
+    kind = p.get("type")
+    v = p.get(kind)
+    if v is None:
+        return None
+    if kind in ("title", "rich_text"):
+        return _rich(v) or None
+    if kind in ("select", "status"):
+        return v.get("name")
+    if kind == "multi_select":
+        return [x.get("name") for x in v]
+    if kind in ("people", "created_by", "last_edited_by"):
+        return [x.get("name") or x.get("id") for x in (v if isinstance(v, list) else [v])]
+    if kind == "date":
+        return "/".join(x for x in (v.get("start"), v.get("end")) if x)
+    if kind == "relation":
+        return [x.get("id") for x in v]
+    if kind == "files":
+        return [x.get("name") for x in v]
+    if kind == "unique_id":
+        return "-".join(str(x) for x in (v.get("prefix"), v.get("number")) if x is not None)
+    if kind in ("formula", "rollup"):
+        return [_property(x) for x in v["array"]] if v.get("type") == "array" else v.get(v.get("type"))
+    return v
+
+
+def _json_function(fn):
+    @F.pandas_udf(StringType())
+    def run(values: pd.Series) -> pd.Series:
+        def one(v):
+            try:
+                return fn(json.loads(v)) if v else v
+            except (ValueError, AttributeError, TypeError, KeyError):
+                return None
+
+        return values.map(one)
+
+    return run
+
+
+def blocks_markdown(column: Column) -> Column:
+    """Markdown of a JSON list of blocks, children indented by their depth; null for what is no such list."""
+    return _json_function(lambda v: "\n".join(_block_lines(v)))(column)
+
+
+def block_attachments(column: Column) -> Column:
+    """array<string> of the addresses of image, file, pdf and video blocks at any depth."""
+
+    def walk(blocks):
+        for b in blocks or []:
+            body = b.get(b.get("type")) or {}
+            if b.get("type") in ("image", "file", "pdf", "video"):
+                yield (body.get("file") or body.get("external") or {}).get("url")
+            yield from walk(b.get("children"))
+
+    return F.from_json(_json_function(lambda v: json.dumps([u for u in walk(v) if u]))(column), "array<string>")
+
+
+def properties(column: Column) -> Column:
+    """map<string, string> of a JSON property map; lists are joined with commas, empty values left out."""
+
+    def flat(v):
+        values = {k: _property(p) for k, p in v.items()}
+        return json.dumps({k: ", ".join(map(str, x)) if isinstance(x, list) else str(x) for k, x in values.items() if x not in (None, [])})
+
+    return F.from_json(_json_function(flat)(column), "map<string, string>")
+
+
+def rows_markdown(rows: DataFrame, group: str, title: str, props: str, columns: list[str]) -> DataFrame:
+    """(group, markdown): a database's rows as one pipe table, in the order of their titles."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", F.col(title), *(F.coalesce(F.col(props)[c], F.lit("")) for c in columns)), F.lit(" |"))
+    head = "| " + " | ".join([title, *columns]) + " |\n|" + " --- |" * (len(columns) + 1)
+    listed = F.array_sort(F.collect_list(F.struct(F.col(title).alias("t"), cells.alias("c"))))
+    return rows.groupBy(group).agg(listed.alias("l")).select(group, F.concat_ws("\n", F.lit(head), F.array_join(F.transform("l", lambda x: x["c"]), "\n")).alias("markdown"))
+
+
+def in_scope(pages: DataFrame, closure: DataFrame, scope: DataFrame) -> DataFrame:
+    """Pages that are in scope themselves or under an ancestor that is, with the nearest such id."""
+    from lattica.operators.serve import nearest_scope
+
+    return pages.join(nearest_scope(closure, scope).select(F.col("node_id").alias("source_id"), "scope_id"), "source_id")

@@ -267,3 +267,29 @@ def test_entry_and_oracles_match_names():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_code_envelopes(spark, tmp_path):
+    item = {"number": 3, "title": "T", "body": "B", "state": "closed", "user": {"login": "u"}, "labels": [{"name": "l"}], "updated_at": "2024-01-02T00:00:00Z", "merged_at": "2024-01-02T00:00:00Z", "additions": 4, "deletions": 1, "pull_request": {"url": "x"}}
+    payload = {"repo": "o/r", "item": item, "comments": [{"user": {"login": "v"}, "body": "ok"}], "reviews": [{"user": {"login": "w"}, "state": "APPROVED"}]}
+    (tmp_path / "e.json").write_text(json.dumps(payload))
+    rows = connectors.code_envelopes(connectors.read_payloads(spark, f"file://{tmp_path}/e.json", connectors.ENVELOPES))
+    r = rows.first()
+    assert (r.source_id, r.kind, r.approvals, r.merged, r.changed_lines, list(r.participants)) == ("o/r#3", "pr", 1, True, 5, ["u", "v"])
+    assert r.markdown == "# T\n\nB\n\n**v:** ok"
+
+
+def test_block_trees(spark):
+    text = lambda s, **a: [{"plain_text": s, "annotations": a}]
+    blocks = [
+        {"type": "heading_1", "heading_1": {"rich_text": text("Top")}}, {"type": "to_do", "to_do": {"checked": True, "rich_text": text("did", bold=True)}, "children": [{"type": "paragraph", "paragraph": {"rich_text": text("under")}}]},
+        {"type": "table", "table": {}, "children": [{"table_row": {"cells": [text("a"), text("b")]}}, {"table_row": {"cells": [text("1"), text("2")]}}]}, {"type": "image", "image": {"external": {"url": "http://i"}}},
+    ]
+    props = {"Name": {"type": "title", "title": text("N")}, "Tags": {"type": "multi_select", "multi_select": [{"name": "x"}, {"name": "y"}]}, "Due": {"type": "date", "date": {"start": "2024-01-01"}}, "Empty": {"type": "select", "select": None}, "Sum": {"type": "rollup", "rollup": {"type": "number", "number": 4}}}
+    frame = spark.createDataFrame([(json.dumps(blocks), json.dumps(props)), ("oops", None)], "b string, p string")
+    got = frame.select(connectors.blocks_markdown(F.col("b")).alias("m"), connectors.block_attachments(F.col("b")).alias("a"), connectors.properties(F.col("p")).alias("p")).collect()
+    assert got[0].m == "# Top\n- [x] **did**\n  under\n| a | b |\n| --- | --- |\n| 1 | 2 |\n[image](http://i)" and list(got[0].a) == ["http://i"]
+    assert got[0].p == {"Name": "N", "Tags": "x, y", "Due": "2024-01-01", "Sum": "4"}
+    assert got[1].m is None and got[1].p is None
+    rows = spark.createDataFrame([("db", "B", {"k": "2"}), ("db", "A", {})], "db string, title string, p map<string, string>")
+    assert connectors.rows_markdown(rows, "db", "title", "p", ["k"]).first().markdown == "| title | k |\n| --- | --- |\n| A |  |\n| B | 2 |"
