@@ -18,14 +18,14 @@ from lattica.session import materialize, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model scores at the threshold or above."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return model.annotate(docs).filter(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return model.annotate(docs, name="__toxicity").filter(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every line but the first of its class goes; so do documents of which no word is left that had some."""
     worded = lambda c: F.coalesce(F.col(c).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    marked = docs.withColumn("had_words", worded("text"))
-    left = linededup.drop_duplicate_lines(marked).filter(worded("text") | ~F.col("had_words"))
+    marked = docs.withColumn("__had_words", worded("text"))
+    left = linededup.drop_duplicate_lines(marked).filter(worded("text") | ~F.col("__had_words"))
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

@@ -60,3 +60,18 @@ def test_stages(spark, folder):
     assert all(r.n_tokens == len(r.ids) for r in got["byte-level bpe"].values())
     assert {(r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, folder).collect()} == {(r.doc_id, r.ids_sha256) for r in got["byte-level bpe"].values()}
     assert now.select(F.max("n_tokens")).first()[0] > 0
+
+
+def test_stages_on_odd_tables(spark, folder):
+    """Empty tables, nulls in every column, and columns named like the operators' own."""
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    clashing = {c: F.lit(7) for c in ("score", "component", "lost", "term", "pos", "had_words", "fp", "ids", "n", "x", "line", "uid", "chunk", "low", "part")}
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", None, None), (2, "", None, None, 0), (3, "some words " * 30, None, "s", None), (3, "some words " * 30, None, "s", None)], plain.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == corpus_pipeline.STAGES[-1][0]
+        assert stage(spark, plain.limit(0), folder).count() == 0
+        got = stage(spark, odd.withColumns(clashing), folder)
+        assert last or got.columns == odd.withColumns(clashing).columns
+        rows = got.collect()
+        assert any(r.doc_id == 1 for r in rows) and any(r.doc_id is None for r in rows)
+        assert last or all(r.score == 7 and r.lost == 7 and r.had_words == 7 for r in rows)
