@@ -204,3 +204,90 @@ def checkbox_match(spark, sf_dir) -> DataFrame:
 def graph_topology(spark, sf_dir) -> DataFrame:
     nodes, edges, _ = _graph(spark, sf_dir)
     return serve.topology_hash(nodes, edges)
+
+
+# Compile side ---------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE WHEN len(pr) > 0 THEN 'Products' WHEN len(cu) > 0 THEN 'Customer Communication' ELSE 'General' END AS theme, CASE WHEN len(pr) > 0 THEN upper(substr(pr[1], 1, 1)) || substr(pr[1], 2) WHEN len(cu) > 0 THEN cu[1] ELSE 'General' END AS subtopic,
+  CASE WHEN len(pr) > 0 THEN 'product' WHEN len(cu) > 0 THEN 'person' ELSE 'concept' END AS tag_type, array_to_string(pr, ',') AS products
+  FROM (SELECT p_partkey, list_filter(['a', 'z', '5'], lambda p: contains(lower(p_name), p)) AS pr, CASE WHEN p_size > 25 THEN ['Buyer'] ELSE []::VARCHAR[] END AS cu FROM part)""")
+def feature_themes(spark, sf_dir) -> DataFrame:
+    from lattica.operators import compile as K
+
+    p = table(spark, sf_dir, "part").select("p_partkey", K.known_products(F.col("p_name"), ["a", "z", "5"]).alias("pr"), F.when(F.col("p_size") > 25, F.array(F.lit("Buyer"))).otherwise(F.array().cast("array<string>")).alias("cu"))
+    none = F.array().cast("array<string>")
+    theme, sub = K.theme_subtopic(F.col("pr"), F.col("cu"), none, none)
+    return p.select("p_partkey", theme.alias("theme"), sub.alias("subtopic"), K.tag_type(F.col("pr"), F.col("cu")).alias("tag_type"), F.array_join("pr", ",").alias("products"))
+
+
+@query("""SELECT c_custkey, sha256('s' || chr(10) || 'Product: ' || c_mktsegment || ' ' || c_mktsegment || ' ' || c_mktsegment || ' ' || c_mktsegment || chr(10) || 'Customer: ' || c_name || ' ' || c_name || ' ' || c_name || chr(10) || 'Topic: x y' || chr(10) || 'Path: A > B') AS h FROM customer""")
+def embedding_texts(spark, sf_dir) -> DataFrame:
+    from lattica.operators import compile as K
+
+    lits = lambda *v: F.array(*map(F.lit, v))
+    text = K.embedding_text(F.lit("s"), F.array("c_mktsegment"), F.array("c_name"), lits("x", "y"), lits("A", "B"), F.array().cast("array<string>"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(text, 256).alias("h"))
+
+
+@query("""WITH m AS (SELECT o_custkey AS g, 'Summary ' || (o_orderkey % 6) || '.' AS s, min(o_orderkey) AS pos FROM orders GROUP BY 1, 2) SELECT g, substr(string_agg(s, ' ' ORDER BY pos), 1, 40) AS note FROM m GROUP BY g""")
+def extractive_notes(spark, sf_dir) -> DataFrame:
+    from lattica.operators import compile as K
+
+    m = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("g"), F.concat(F.lit("Summary "), (F.col("o_orderkey") % 6).cast("string"), F.lit(".")).alias("summary"), F.col("o_orderkey").alias("pos"))
+    return K.extractive_notes(m, "g", 40)
+
+
+@query("""WITH n AS (SELECT c_custkey AS node_id, c_nationkey AS parent_id, lower(c_mktsegment) AS name, c_acctbal AS size FROM customer) SELECT node_id, name || CASE WHEN r > 1 THEN ' ' || r ELSE '' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY parent_id, name ORDER BY size DESC, node_id) AS r FROM n)""")
+def unique_names(spark, sf_dir) -> DataFrame:
+    from lattica.operators import compile as K
+
+    return K.unique_names(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_nationkey").alias("parent_id"), F.lower("c_mktsegment").alias("name"), F.col("c_acctbal").alias("size")))
+
+
+@query("""WITH c AS (SELECT o_custkey % 30 AS g, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'e' || (o_orderkey % 7) END AS who, count(*) AS n FROM orders GROUP BY 1, 2), t AS (SELECT g, sum(n)::BIGINT AS total, arg_max(who, n * 100 + substr(who, 2)::INT) FILTER (who IS NOT NULL) AS w, max(n) FILTER (who IS NOT NULL) AS m FROM c GROUP BY g)
+SELECT g, total, CASE WHEN m >= 2 THEN w END AS top_editor, CASE WHEN m >= 2 THEN m END AS top_n FROM t""")
+def pending_lines(spark, sf_dir) -> DataFrame:
+    from lattica.operators import compile as K
+
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 30).alias("g"), F.when(k % 4 != 0, F.when(k % 2 == 0, F.concat(F.lit("e"), (k % 7).cast("string"))).otherwise("")).alias("last_modified_by"), F.when((k % 4 != 0) & (k % 2 == 1), F.concat(F.lit("e"), (k % 7).cast("string"))).alias("author"))
+    return K.pending_line(rows, "g")
+
+
+@query(with_(D.MANIFEST_SQL, D.LISTING_SQL) + "SELECT n.source_id, NOT coalesce(n.modified <= m.modified AND m.scope IS NOT NULL AND m.status = 'active' AND m.version <> 3, false) AS refetch FROM listing n LEFT JOIN manifest m USING (source_id)")
+def resume_predicate(spark, sf_dir) -> DataFrame:
+    from lattica.operators import compile as K
+
+    m = D.manifest(spark, sf_dir).select("source_id", F.col("modified").alias("stored"), F.col("scope").alias("raw_path"), "status", "version")
+    joined = D.listing(spark, sf_dir).join(m, "source_id", "left")
+    flag = K.needs_refetch(F.col("modified"), F.col("stored"), F.col("raw_path"), F.coalesce("status", F.lit("")), F.coalesce("version", F.lit(0)) == 3)
+    return joined.select("source_id", flag.alias("refetch"))
+
+
+@query(with_(D.SIGNALS_SQL) + """, d AS (SELECT id FROM signals WHERE seq % 10 = 0), i AS (SELECT id, CASE WHEN due_date IS NULL THEN 'no_date' WHEN due_date - today < -90 THEN 'probably_abandoned' WHEN due_date - today < 0 THEN 'overdue' WHEN due_date - today <= 7 THEN 'due_soon' ELSE 'upcoming' END AS bucket FROM signals WHERE kind = 'todo' AND status = 'open')
+SELECT CASE WHEN d.id IS NOT NULL THEN 'dismissed' ELSE bucket END AS bucket, count(*) AS n FROM i LEFT JOIN d USING (id) GROUP BY 1""")
+def partition_items(spark, sf_dir) -> DataFrame:
+    s = D.signals(spark, sf_dir)
+    items = s.filter("kind = 'todo' and status = 'open'").select("id", C.due_bucket(F.col("due_date"), D.as_of()).alias("bucket"))
+    dismissed = s.filter("seq % 10 = 0").select("id", F.lit(True).alias("d"))
+    return items.join(dismissed, "id", "left").groupBy(F.when(F.col("d"), "dismissed").otherwise(F.col("bucket")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT source, lang, count(*) AS n, array_to_string(list_sort(list(doc_id))[1:5], ',') AS first_ids, sum(length(text))::BIGINT AS chars FROM documents GROUP BY source, lang""")
+def document_tree(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    rank = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))
+    rows = d.select("source", "lang", "doc_id", F.char_length("text").cast("long").alias("c")).withColumn("r", rank)
+    return rows.groupBy("source", "lang").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("doc_id")))).cast("array<string>"), ",").alias("first_ids"), F.sum("c").alias("chars"))
+
+
+@query("""SELECT c_custkey AS node_id, CASE WHEN c_custkey BETWEEN 1 AND 60 THEN (c_custkey - 1) // 3 * 3 + 3 ELSE c_custkey END AS root_id, CASE WHEN c_custkey BETWEEN 1 AND 3 THEN 6 END::BIGINT AS parent_id FROM customer""")
+def merge_verdicts(spark, sf_dir) -> DataFrame:
+    from lattica.operators import compile as K
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_custkey").alias("size"))
+    few = c.filter("node_id <= 60")
+    merges = few.filter("node_id % 3 <> 0").select(F.col("node_id").alias("a"), (F.col("node_id") + 1).alias("b"), F.lit("merge").alias("decision"), F.lit(None).cast("long").alias("parent"))
+    nest = spark.createDataFrame([(2, 5, "nest", 5), (7, 10, "keep_separate", None)], "a long, b long, decision string, parent long")
+    return K.apply_verdicts(c, merges.unionByName(nest)).withColumn("parent_id", F.col("parent_id").cast("long"))

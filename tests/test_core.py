@@ -293,3 +293,15 @@ def test_block_trees(spark):
     assert got[1].m is None and got[1].p is None
     rows = spark.createDataFrame([("db", "B", {"k": "2"}), ("db", "A", {})], "db string, title string, p map<string, string>")
     assert connectors.rows_markdown(rows, "db", "title", "p", ["k"]).first().markdown == "| title | k |\n| --- | --- |\n| A |  |\n| B | 2 |"
+
+
+def test_table_segments_and_mentions(spark):
+    from lattica.operators import compile as K
+
+    text = "one two three\n| a | b |\n| c | d |\nfour five\nsix\nseven"
+    got = spark.createDataFrame([(text,), ("",)], "t string").select(K.table_segments(F.col("t"), 3).alias("s")).collect()
+    assert [list(x) for x in got[0].s] == [["one two three"], ["| a | b |", "| c | d |", "four five"], ["six", "seven"]] and [list(x) for x in got[1].s] == [[""]]
+    assert spark.createDataFrame([("a\n[child_page] x\nb",)], "t string").select(K.drop_lines(F.col("t"), r"^\[child_").alias("t")).first().t == "a\nb"
+    rows = spark.createDataFrame([(1, "<@U1> and <@U9>: see <https://x.org|this> in <#C1|dev> &lt;b&gt;"), (2, "plain"), (3, None)], "id int, text string")
+    got = {r.id: r.text for r in K.rewrite_mentions(rows, spark.createDataFrame([("U1", "Uma")], "user string, name string")).collect()}
+    assert got == {1: "@Uma and @U9: see [this](https://x.org) in #dev <b>", 2: "plain", 3: None}
