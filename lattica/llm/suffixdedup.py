@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import SLICE, arrow_map, slices, utf8
-from lattica.llm.hashing import BASE, UNBASE, VALUE, mix, powers
+from lattica.llm.hashing import BASE, UNBASE, VALUE, Spans, mix, powers
 from lattica.session import materialize
 
 LENGTH = 100
@@ -72,18 +72,49 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def _known(data: np.ndarray, offsets: np.ndarray, row, start, n, lead, hashes) -> np.ndarray:
+    """Runs that repeat a run of their own text byte for byte: they go whichever other texts there are."""
+    known = np.zeros(len(row), dtype=bool)
+    order = np.lexsort((start, hashes, row))
+    again = np.flatnonzero((row[order][1:] == row[order][:-1]) & (hashes[order][1:] == hashes[order][:-1]))
+    if len(again):
+        some = np.unique(np.concatenate([order[again], order[again + 1]]))
+        begin = offsets[row[some]] + start[some]
+        whole = Spans(data).of(begin, begin + n[some] + LENGTH - 1) + mix(lead[some].astype(np.uint64))
+        by = np.lexsort((start[some], whole, row[some]))
+        same = (row[some][by][1:] == row[some][by][:-1]) & (whole[by][1:] == whole[by][:-1])
+        known[some[by[1:][same]]] = True
+    return known
+
+
 def _seeds(docs: DataFrame) -> DataFrame:
-    """(hash, uid, place) of every run; place packs start, windows and lead."""
+    """(hash, uid, place) of every run; place packs start, windows and lead.
+
+    Runs that repeat one of their own text are no seeds: (start, end) of their bytes, neighbours joined, with a place below
+    zero and a hash of their own, so that a phrase written a thousand times in a text is not a thousand rows of one hash.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
-        row, start, n, lead, hashes = anchor_runs(*utf8(batch.column(1)))
-        return {"hash": hashes.view(np.int64), "uid": np.asarray(batch.column(0))[row], "place": (start << 16) | (n << 8) | lead}
+        data, offsets = utf8(batch.column(1))
+        row, start, n, lead, hashes = runs = anchor_runs(data, offsets)
+        known = _known(data, offsets, *runs)
+        k = np.flatnonzero(known)
+        begin, end = start[k], start[k] + n[k] + LENGTH - 1
+        cut = np.flatnonzero(np.concatenate([[True], (row[k][1:] != row[k][:-1]) | (begin[1:] > end[:-1])])) if len(k) else k
+        last = np.append(cut[1:], len(k)) - 1 if len(k) else k
+        spans = -((begin[cut] << 31) | (end[last] - begin[cut])) - 1
+        uid, rest = np.asarray(batch.column(0)), ~known
+        own = mix(uid[row[k][cut]].view(np.uint64) + begin[cut].astype(np.uint64))
+        return {
+            "hash": np.concatenate([hashes[rest], own]).view(np.int64), "uid": np.concatenate([uid[row[rest]], uid[row[k][cut]]]),
+            "place": np.concatenate([(start[rest] << 16) | (n[rest] << 8) | lead[rest], spans]),
+        }
 
     return arrow_map(docs.select("uid", "text"), run, "hash long, uid long, place long", text=1)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash, those whose hash is also the next or the last row's; one row is held back at a time."""
+    """Of rows sorted by hash, those whose hash is also the next or the last row's, and known spans; one row is held back."""
     held, again = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -91,7 +122,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         hashes = np.asarray(table.column(0))
         same = hashes[1:] == hashes[:-1]
-        keep = np.concatenate([[again], same]) | np.concatenate([same, [False]])
+        keep = np.concatenate([[again], same]) | np.concatenate([same, [False]]) | (np.asarray(table.column(2)) < 0)
         held, again = table.slice(table.num_rows - 1), bool(keep[-1])
         if keep[:-1].any():
             yield table.slice(0, table.num_rows - 1).filter(pa.array(keep[:-1]))
@@ -198,11 +229,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(uid, spans array<struct<start, end>>) of the documents (doc_id, uid, text) with repeated bytes; spans may overlap."""
     seeds = _seeds(docs).repartition("hash").sortWithinPartitions("hash")
     shared = materialize(seeds.mapInArrow(_repeated, seeds.schema), "seeds")
-    runs = shared.groupBy("uid").agg(F.collect_list(F.struct("hash", "place")).alias("runs"))
+    runs = shared.filter("place >= 0").groupBy("uid").agg(F.collect_list(F.struct("hash", "place")).alias("runs"))
     texts = docs.join(runs, "uid").select("doc_id", "uid", "text", "runs")
     fragments = texts.mapInArrow(_fragments, "hash long, doc_id long, uid long, place long, fragment binary")
     built = fragments.repartition("hash").sortWithinPartitions("hash").mapInArrow(_construct, "uid long, start long, end long")
-    return built.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    span = -(F.col("place") + 1)
+    start = F.shiftright(span, 31)
+    known = shared.filter("place < 0").select("uid", start.alias("start"), (start + span.bitwiseAND(F.lit((1 << 31) - 1))).alias("end"))
+    return built.unionByName(known).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
