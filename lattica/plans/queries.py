@@ -551,7 +551,7 @@ def communities(spark, sf_dir) -> DataFrame:
 @query()
 def context_vectors(spark, sf_dir) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    nodes = v.filter("id < 50")
+    nodes = v.join(D.note_tags(spark, sf_dir).select(F.col("tag_id").alias("id")).distinct(), "id")  # a tag's vector is that of its id
     return graph.context_vectors(nodes, _strong(spark, sf_dir).withColumnRenamed("n", "weight"), dimension(spark, sf_dir))
 
 

@@ -282,12 +282,11 @@ def document_tree(spark, sf_dir) -> DataFrame:
     return rows.groupBy("source", "lang").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.col("doc_id")))).cast("array<string>"), ",").alias("first_ids"), F.sum("c").alias("chars"))
 
 
-@query("""SELECT c_custkey AS node_id, CASE WHEN c_custkey BETWEEN 1 AND 60 THEN (c_custkey - 1) // 3 * 3 + 3 ELSE c_custkey END AS root_id, CASE WHEN c_custkey BETWEEN 1 AND 3 THEN 6 END::BIGINT AS parent_id FROM customer""")
+@query("""SELECT c_custkey AS node_id, CASE WHEN c_custkey > 0 THEN least((c_custkey - 1) // 3 * 3 + 3, max(c_custkey) OVER ()) ELSE c_custkey END AS root_id, CASE WHEN c_custkey BETWEEN 1 AND 3 THEN 6 END::BIGINT AS parent_id FROM customer""")
 def merge_verdicts(spark, sf_dir) -> DataFrame:
     from lattica.operators import compile as K
 
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_custkey").alias("size"))
-    few = c.filter("node_id <= 60")
-    merges = few.filter("node_id % 3 <> 0").select(F.col("node_id").alias("a"), (F.col("node_id") + 1).alias("b"), F.lit("merge").alias("decision"), F.lit(None).cast("long").alias("parent"))
+    merges = c.filter("node_id % 3 <> 0").select(F.col("node_id").alias("a"), (F.col("node_id") + 1).alias("b"), F.lit("merge").alias("decision"), F.lit(None).cast("long").alias("parent"))
     nest = spark.createDataFrame([(2, 5, "nest", 5), (7, 10, "keep_separate", None)], "a long, b long, decision string, parent long")
     return K.apply_verdicts(c, merges.unionByName(nest)).withColumn("parent_id", F.col("parent_id").cast("long"))
