@@ -38,14 +38,14 @@ def truncate_words(text: Column, limit: int) -> Column:
 
 
 def urls(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"https?://[^\s<>\"]+"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(r"https?://[^\s)\]<>]+"), F.lit(0))
     return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)\]>]+$", "")))
 
 
 def mentions(text: Column) -> Column:
     """@handles, then ABC-123 keys, each once in the order of its first place."""
-    handles = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\w@])@([A-Za-z0-9_][A-Za-z0-9_.-]*[A-Za-z0-9_])"), F.lit(1)), lambda h: F.concat(F.lit("@"), h))
-    return F.array_distinct(F.concat(handles, F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z0-9]+-\d+)\b"), F.lit(1))))
+    handles = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(?<!\w)@([A-Za-z0-9_][A-Za-z0-9_.-]{1,})"), F.lit(1)), lambda h: F.concat(F.lit("@"), h))
+    return F.array_distinct(F.concat(handles, F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z0-9]{1,9}-\d+)\b"), F.lit(1))))
 
 
 def wikilinks(text: Column) -> Column:

@@ -28,7 +28,7 @@ def hex_grid(spark: SparkSession, extent: float, apothem: float) -> DataFrame:
 
 
 def warp(x: Column, z: Column, amplitude: float) -> tuple[Column, Column]:
-    """Three octaves of sines, the borders' wiggle."""
+    """Three octaves of sines, the borders' wiggle. Its numbers are fixed values."""
     s, c = F.sin, F.cos
     dx = s(0.045 * x) * c(0.038 * z) + 0.55 * s(0.11 * x + 1.0) * s(0.09 * z + 0.5) + 0.30 * c(0.18 * x) * s(0.21 * z)
     dz = c(0.052 * x + 0.7) * s(0.041 * z) + 0.55 * c(0.115 * z) * s(0.097 * x + 1.2) + 0.30 * c(0.16 * z) * s(0.20 * x)

@@ -11,11 +11,9 @@ from pyspark.sql.types import StringType
 
 from lattica.functions.columns import clean_markdown, content_hash, first_sentences, short_hash, truncate_words
 
-#: Words that name nothing.
-STOPWORDS = (
-    "a an and are as at be but by for from has have he her his i if in into is it its me my no not of on or our she so than that the their them then there these they this to was we were what when "
-    "which who will with you your"
-).split()
+#: Words that name nothing, for tags and entities, and those that a task line is not told by.
+STOPWORDS = "about after also and are because been being but can could for from has have into not our that the their then there this with will would your".split()
+TASK_STOPWORDS = "a an and the to of for in on by with at from is be it this that me my our we i you he she they them his her".split()
 #: What makes a line a signal, in the order in which the kinds are tried.
 NAME_TO = r"^\s*(?:[-*]\s*)?([A-Z][A-Za-z0-9_.-]+)\s+to\s+([a-z][^\n]{8,})"
 OPEN_Q = r"(?i)\b(open question|question|clarify|confirm|double-check|tbd|unknown|need to know|whether|should we|can we|do we)\b"
@@ -160,42 +158,58 @@ def hash_embedding(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 class _Text(HTMLParser):
-    """Text of HTML: dropped subtrees, line breaks, a new line after each block outside verbatim tags."""
+    """Text of HTML: dropped subtrees, line breaks, a new line at the end of each block outside verbatim tags.
 
-    DROP = {"script", "style", "template"}
-    BLOCK = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "blockquote", "section", "article", "header", "footer", "nav", "pre"}
+    Tags nest as they are written; one that is never closed ends with the tag around it.
+    """
+
+    #: Fixed values of the format.
+    DROP = {"script", "style", "ac:parameter"}
+    BLOCK = {"p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
     VERBATIM = {"pre", "code"}
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.dropping, self.verbatim = [], 0, 0
+        self.out, self.open = [], []
 
     def handle_starttag(self, tag, attrs):
-        self.dropping += tag in self.DROP
-        self.verbatim += tag in self.VERBATIM
-        if tag == "br" and not self.dropping:
+        if tag == "br" and not self.DROP & set(self.open):
             self.out.append("\n")
+        if tag not in self.VOID:
+            self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in self.VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self.dropping = max(0, self.dropping - (tag in self.DROP))
-        if tag in self.BLOCK and not self.dropping and not self.verbatim:
-            self.out.append("\n")
-        self.verbatim = max(0, self.verbatim - (tag in self.VERBATIM))
+        while tag in self.open:
+            last = self.open.pop()
+            if last in self.BLOCK and not (self.DROP | self.VERBATIM) & set(self.open):
+                self.out.append("\n")
+            if last == tag:
+                break
 
     def handle_data(self, data):
-        if not self.dropping:
+        if not self.DROP & set(self.open):
             self.out.append(data)
 
+    def text(self, html: str) -> str:
+        self.feed(html)
+        self.close()
+        for tag in self.open[::-1]:
+            self.handle_endtag(tag)
+        return "".join(self.out)
+
 
 def html_text(html: str | None) -> str | None:
     import re
 
     if html is None:
         return None
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    return re.sub(r"\n{3,}", "\n\n", "".join(parser.out)).strip("\n")
+    return re.sub(r"\n{3,}", "\n\n", _Text().text(html)).strip("\n")
 
 
 @F.pandas_udf(StringType())

@@ -193,11 +193,11 @@ def epoch_times(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 1 THEN true ELSE false END AS done FROM orders""")
 def checkbox_match(spark, sf_dir) -> DataFrame:
-    from lattica.operators.texts import STOPWORDS
+    from lattica.operators.texts import TASK_STOPWORDS
 
     k = F.col("o_orderkey")
     content = F.concat(F.lit("notes\n- ["), F.when(k % 4 == 1, "x").otherwise(" "), F.lit("] Devon: write the plan by Friday\n- ["), F.when(k % 4 == 2, "x").otherwise(" "), F.lit("] buy milk and bread")).cast("string")
-    return table(spark, sf_dir, "orders").select(k.alias("k"), serve.checkbox_done(content, F.lit("Devon writes the plan by friday"), STOPWORDS).alias("done"))
+    return table(spark, sf_dir, "orders").select(k.alias("k"), serve.checkbox_done(content, F.lit("Devon writes the plan by friday"), TASK_STOPWORDS).alias("done"))
 
 
 @query()
