@@ -244,6 +244,12 @@ def test_line_dedup_matches_brute_force(spark, dense, monkeypatch):
     want = components(links, first.values())
     got = linededup.near_duplicate_lines(docs(spark, rows)).collect()
     assert {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in got} == {(i, k): want[first[line]] for i, k, line in lines}
+    degree = defaultdict(int)
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    text = {(i, k): line for i, k, line in lines}
+    assert all(r.n_links == degree[first[text[r.doc_id, r.line_no]]] for r in got)
     assert all(r.kept == ((r.doc_id, r.line_no) == (r.first_doc_id, r.first_line_no) or r.n_chars < 20) for r in got)
     kept = {(r.doc_id, r.line_no) for r in got if r.kept}
     cleaned = {r.doc_id: r.text for r in linededup.drop_duplicate_lines(docs(spark, rows)).collect()}
