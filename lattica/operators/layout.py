@@ -109,3 +109,79 @@ def semantic_positions(centres: DataFrame, radius: float = 120.0, name: str = "r
             points[:, axis] *= -1
     points *= radius / max(np.hypot(*points.T).max(), 1e-12)
     return centres.sparkSession.createDataFrame([(r[0], round(float(x), 3), round(float(z), 3)) for r, (x, z) in zip(rows, points)], f"{name} {centres.schema[name].dataType.simpleString()}, x double, z double")
+
+
+def _hex_id() -> Column:
+    return (F.col("q") + (1 << 20)).cast("long") * (1 << 21) + F.col("r") + (1 << 20)
+
+
+def patches(owned: DataFrame) -> DataFrame:
+    """(q, r, region, patch, size): connected patches of hexes with one owner (null is the sea), named by their least hex."""
+    from lattica.operators.components import connected_components
+
+    keyed = owned.select("q", "r", "region", _hex_id().alias("id"))
+    near = neighbour_pairs(owned).join(keyed.select("q", "r", F.col("region").alias("x"), F.col("id").alias("a")), ["q", "r"])
+    near = near.join(keyed.select(F.col("q").alias("nq"), F.col("r").alias("nr"), F.col("region").alias("y"), F.col("id").alias("b")), ["nq", "nr"]).filter(F.col("x").eqNullSafe(F.col("y")))
+    parts = connected_components(near, "a", "b")
+    named = keyed.join(parts, F.col("id") == F.col("node"), "left").withColumn("patch", F.coalesce("component", "id"))
+    sizes = named.groupBy("patch").agg(F.count("*").alias("size"))
+    return named.join(sizes, "patch").select("q", "r", "region", "patch", "size")
+
+
+def clean_islands(owned: DataFrame, max_exclave: int, max_lake: int) -> DataFrame:
+    """(q, r, region): small patches cut off from their region's largest, and small lakes, go to their commonest neighbour.
+
+    A lake is a patch of sea that touches no edge of the grid. Ties go to the least region; an exclave in open sea sinks.
+    """
+    p = materialize(patches(owned), "patches")
+    main = p.filter("region is not null").groupBy("region").agg(F.max_by("patch", F.struct("size", (-F.col("patch")).alias("t"))).alias("patch")).select("patch")
+    pairs = materialize(neighbour_pairs(owned), "hex-neighbours")
+    edge = p.join(pairs.groupBy("q", "r").agg(F.count("*").alias("n")).filter("n = 6"), ["q", "r"], "left_anti").filter("region is null").select("patch").distinct()
+    exclave = p.filter((F.col("region").isNotNull()) & (F.col("size") <= max_exclave)).join(main, "patch", "left_anti")
+    lake = p.filter(F.col("region").isNull() & (F.col("size") <= max_lake)).join(edge, "patch", "left_anti")
+    small = exclave.unionByName(lake).select("q", "r", "patch")
+    around = small.join(pairs, ["q", "r"]).join(p.select(F.col("q").alias("nq"), F.col("r").alias("nr"), F.col("region").alias("other"), F.col("patch").alias("beside")), ["nq", "nr"]).filter("patch <> beside")
+    votes = around.filter("other is not null").groupBy("patch", "other").agg(F.count("*").alias("n"))
+    new = votes.groupBy("patch").agg(F.max_by("other", F.struct("n", (-F.col("other")).alias("t"))).alias("new"))
+    moved = small.join(new, "patch", "left").select("q", "r", "new", F.lit(True).alias("moved"))
+    return owned.join(moved, ["q", "r"], "left").select("q", "r", F.when(F.col("moved"), F.col("new")).otherwise(F.col("region")).alias("region"))
+
+
+def rings(hexes: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
+    """(q, r, claim, ring): seeds (q, r, claim) grow one ring of unclaimed neighbours a round; the least claim wins a hex.
+
+    With the sea as seed it is the distance to the shore; with tags as seeds the tags' clusters.
+    """
+    pairs = materialize(neighbour_pairs(hexes), "hex-neighbours")
+    done = materialize(seeds.groupBy("q", "r").agg(F.min("claim").alias("claim")).withColumn("ring", F.lit(0)), "rings")
+    for k in range(1, rounds + 1):
+        front = done.filter(F.col("ring") == k - 1)
+        reached = pairs.join(front.select("q", "r", "claim"), ["q", "r"]).groupBy(F.col("nq").alias("q"), F.col("nr").alias("r")).agg(F.min("claim").alias("claim"))
+        fresh = reached.join(done.select("q", "r"), ["q", "r"], "left_anti").withColumn("ring", F.lit(k))
+        done = materialize(done.unionByName(fresh), "rings")
+        if done.filter(F.col("ring") == k).isEmpty():
+            break
+    return done
+
+
+def balanced_owners(grid: DataFrame, regions: DataFrame, amplitude: float, rounds: int = 12, rate: float = 0.35) -> DataFrame:
+    """(q, r, region): a power diagram whose shares follow the regions' ``weight``; one nested-loop pass a round.
+
+    ``regions`` has (region, cx, cz, weight). Each round a region's offset moves with the gap between its wanted and its owned
+    share of hexes; the shares are k numbers. The hexes' scale sets the step.
+    """
+    wx, wz = warp(F.col("x"), F.col("z"), amplitude)
+    vx, vz = warp(F.col("cx"), F.col("cz"), amplitude)
+    placed = materialize(grid.select("q", "r", wx.alias("wx"), wz.alias("wz")), "placed")
+    held = regions.select("region", vx.alias("vx"), vz.alias("vz"), (F.col("weight") / regions.agg(F.sum("weight")).first()[0]).alias("want"))
+    total = placed.count()
+    step = placed.agg(F.max("wx") - F.min("wx")).first()[0] or 1.0
+    offsets = held.select("region", F.lit(0.0).alias("offset"))
+    for _ in range(rounds):
+        pairs = placed.crossJoin(_held(held.join(offsets, "region")))
+        d2 = (F.col("wx") - F.col("vx")) ** 2 + (F.col("wz") - F.col("vz")) ** 2 - F.col("offset")
+        owners = materialize(pairs.groupBy("q", "r").agg(F.min_by("region", F.struct(d2, "region")).alias("region")), "owners")
+        share = owners.groupBy("region").agg((F.count("*") / total).alias("have"))
+        gap = held.join(offsets, "region").join(share, "region", "left").select("region", (F.col("offset") + rate * step * step * (F.col("want") - F.coalesce("have", F.lit(0.0)))).alias("offset"))
+        offsets = materialize(gap, "offsets")
+    return owners

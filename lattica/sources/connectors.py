@@ -367,3 +367,26 @@ def in_scope(pages: DataFrame, closure: DataFrame, scope: DataFrame) -> DataFram
     from lattica.operators.serve import nearest_scope
 
     return pages.join(nearest_scope(closure, scope).select(F.col("node_id").alias("source_id"), "scope_id"), "source_id")
+
+
+def event_markdown(events: DataFrame) -> DataFrame:
+    """(source_id, markdown) of calendar_events(): heading, time, organiser and attendees."""
+    heading = F.concat(F.when(F.col("status") == "cancelled", "# (cancelled) ").otherwise("# "), F.coalesce("title", F.lit("(no title)")))
+    when = F.when(F.col("all_day"), F.date_format("begin", "yyyy-MM-dd")).otherwise(F.concat(F.date_format("begin", "yyyy-MM-dd HH:mm"), F.lit(" – "), F.date_format(F.timestamp_seconds(F.col("begin").cast("long") + F.col("minutes") * 60), "HH:mm")))
+    guests = F.when(F.size("attendees") > 0, F.concat(F.lit("**Attendees:**\n"), F.array_join(F.transform("attendees", lambda a: F.concat(F.lit("- "), a)), "\n")))
+    return events.select("source_id", F.concat_ws("\n", heading, F.lit(""), F.concat(F.lit("**When:** "), when), F.concat(F.lit("**Organizer:** "), F.col("organizer")), guests).alias("markdown"))
+
+
+def channel_day_markdown(messages: DataFrame, names: DataFrame) -> DataFrame:
+    """(channel, day, markdown): a day's messages as bullets, replies under their parent, each cut to one short line."""
+    stamp = F.timestamp_seconds(F.floor(F.col("ts").cast("double")))
+    rows = messages.dropDuplicates(["channel", "ts"]).join(names, "user", "left")
+    rows = rows.select("channel", F.to_date(stamp).alias("day"), F.coalesce("thread_ts", "ts").alias("parent"), "ts", F.coalesce("name", "user", F.lit("unknown")).alias("who"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " ")).alias("text"), F.date_format(stamp, "HH:mm").alias("at"))
+    reply = F.col("parent") != F.col("ts")
+    limit = F.when(reply, 120).otherwise(140)
+    short = F.when(F.col("text") == "", "(no text)").when(F.char_length("text") > limit, F.concat(F.substr("text", F.lit(1), limit - 1), F.lit("…"))).otherwise(F.col("text"))
+    bullet = F.concat(F.when(reply, "  - **").otherwise("- **"), F.col("at"), F.lit(" "), F.col("who"), F.lit("**: "), short)
+    listed = F.array_sort(F.collect_list(F.struct(F.col("parent").cast("double").alias("p"), F.col("ts").cast("double").alias("t"), bullet.alias("b"))))
+    out = rows.groupBy("channel", "day").agg(F.count("*").alias("n"), F.count_distinct("who").alias("people"), listed.alias("l"))
+    head = F.concat(F.lit("# "), F.col("channel"), F.lit(" — "), F.col("day").cast("string"), F.lit(" ("), F.col("n").cast("string"), F.when(F.col("n") == 1, " message, ").otherwise(" messages, "), F.col("people").cast("string"), F.when(F.col("people") == 1, " person)").otherwise(" people)"))
+    return out.select("channel", "day", F.concat_ws("\n", head, F.lit(""), F.array_join(F.transform("l", lambda x: x["b"]), "\n")).alias("markdown"))

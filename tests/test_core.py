@@ -305,3 +305,53 @@ def test_table_segments_and_mentions(spark):
     rows = spark.createDataFrame([(1, "<@U1> and <@U9>: see <https://x.org|this> in <#C1|dev> &lt;b&gt;"), (2, "plain"), (3, None)], "id int, text string")
     got = {r.id: r.text for r in K.rewrite_mentions(rows, spark.createDataFrame([("U1", "Uma")], "user string, name string")).collect()}
     assert got == {1: "@Uma and @U9: see [this](https://x.org) in #dev <b>", 2: "plain", 3: None}
+
+
+def test_xhtml_markdown():
+    from lattica.sources.xhtml import markdown
+
+    page = (
+        '<h2>Plan</h2><p>A <strong>bold</strong> <a href="u">link</a><br/>x</p><ul><li>one<ul><li>two</li></ul></li><li>three</li></ul><ol><li>a</li><li>b</li></ol>'
+        '<table><tr><th>h</th><th>i</th></tr><tr><td>1</td><td><p>2</p></td></tr></table>'
+        '<ac:structured-macro ac:name="code"><ac:parameter ac:name="language">py</ac:parameter><ac:plain-text-body><![CDATA[x = 1 < 2]]></ac:plain-text-body></ac:structured-macro>'
+        '<ac:structured-macro ac:name="info"><ac:rich-text-body><p>careful</p></ac:rich-text-body></ac:structured-macro>'
+        '<p><ac:structured-macro ac:name="status"><ac:parameter ac:name="title">Done</ac:parameter></ac:structured-macro> <ac:structured-macro ac:name="jira"><ac:parameter ac:name="key">A-1</ac:parameter></ac:structured-macro> '
+        '<ac:link><ri:user ri:display-name="Uma"/></ac:link> <ac:image ac:alt="pic"><ri:attachment ri:filename="p.png"/></ac:image> <ac:emoticon ac:name="smile"/></p><p>open'
+    )
+    want = [
+        "## Plan", "", "A **bold** [link](u)", "x", "", "- one", "  - two", "- three", "", "1. a", "2. b", "", "| h | i |", "| --- | --- |", "| 1 | 2 |", "", "```py", "x = 1 < 2", "```", "", "> ℹ️", "> careful", "",
+        "[STATUS: Done] [A-1](https://w/browse/A-1) @Uma ![pic](p.png) :smile:", "", "open",
+    ]
+    assert markdown(page, "https://w/").split("\n") == want
+    assert markdown(None) is None and markdown("") == ""
+
+
+def test_event_and_day_markdown(spark):
+    rows = [("e", "Sync", "confirmed", dt.datetime(2024, 1, 1, 9), 30, "o@x.org", ["a@x.org"], False)]
+    frame = spark.createDataFrame(rows, "source_id string, title string, status string, begin timestamp, minutes long, organizer string, attendees array<string>, all_day boolean")
+    assert connectors.event_markdown(frame).first().markdown == "# Sync\n\n**When:** 2024-01-01 09:00 – 09:30\n**Organizer:** o@x.org\n**Attendees:**\n- a@x.org"
+    messages = spark.createDataFrame([("dev", "60.0", None, "u", "root\nline", None), ("dev", "120.0", "60.0", "v", "", None), ("dev", "180.0", None, "u", "x" * 200, None)], connectors.MESSAGES)
+    got = connectors.channel_day_markdown(messages, spark.createDataFrame([("u", "Uma")], "user string, name string")).first().markdown.split("\n")
+    assert got[0] == "# dev — 1970-01-01 (3 messages, 2 people)" and sorted(got[2:]) == sorted(["- **00:01 Uma**: root line", "  - **00:02 v**: (no text)", "- **00:03 Uma**: " + "x" * 139 + "…"])
+
+
+def test_islands_rings_and_shares(spark):
+    grid = layout.hex_grid(spark, 20.0, 2.0).cache()
+    hexes = [(r.q, r.r) for r in grid.collect()]
+    away = lambda a, b: max(abs(a[0] - b[0]), abs(a[1] - b[1]), abs(a[0] + a[1] - b[0] - b[1]))
+    owner = {h: 1 if h[0] + h[1] / 2 < 0 else 2 for h in hexes}
+    owner[(-3, 0)] = 2  # an exclave
+    owner[(3, 0)] = None  # a lake
+    for h in hexes:
+        if away(h, (0, 0)) >= 5:
+            owner[h] = None
+    frame = spark.createDataFrame([(q, r, owner[q, r]) for q, r in hexes], "q int, r int, region int")
+    got = {(r.q, r.r): r.region for r in layout.clean_islands(frame, 2, 2).collect()}
+    assert got == owner | {(-3, 0): 1, (3, 0): 2}
+    seeds = spark.createDataFrame([(0, 0, 7)], "q int, r int, claim int")
+    got = {(r.q, r.r): r.ring for r in layout.rings(grid, seeds, 3).collect()}
+    assert got == {h: away(h, (0, 0)) for h in hexes if away(h, (0, 0)) <= 3}
+    regions = spark.createDataFrame([(1, -5.0, 0.0, 3.0), (2, 5.0, 0.0, 1.0)], "region int, cx double, cz double, weight double")
+    owned = layout.balanced_owners(grid, regions, 0.0)
+    share = owned.filter("region = 1").count() / len(hexes)
+    assert owned.count() == len(hexes) and 0.65 < share < 0.85
