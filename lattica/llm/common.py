@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has at most so many rows of a few plain columns (about 24 bytes each).
 BROADCAST_ROWS = 1_000_000
-#: Bytes of text that are handled at once as arrays.
-SLICE = 1 << 20
+#: Bytes of text that are handled at once as arrays, and rows of text that cross to Python at once.
+SLICE = 1 << 18
+TEXT_ROWS = 4_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -21,20 +22,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text: int | None = None) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text: int | None = None, limit: int = SLICE) -> DataFrame:
     """mapInArrow with one function from a record batch to a dict of columns.
 
-    ``text`` is the position of a column of texts: then a batch is handed over in slices of at most SLICE bytes of them (a
-    longer text alone), so that arrays of one number a byte stay small.
+    ``text`` is the position of a column of texts: then a batch is handed over in slices of at most ``limit`` bytes of them (a
+    longer text alone), so that arrays of one number a byte stay small, and the session's batches are kept to TEXT_ROWS rows.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
+    if text is not None:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text) if text is not None else [whole]:
+            for batch in slices(whole, text, limit) if text is not None else [whole]:
                 if batch.num_rows:
                     cols = fn(batch)
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in out], schema=out)
@@ -42,12 +45,12 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, text: int, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + (limit or SLICE), side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
 

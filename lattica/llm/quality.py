@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import arrow_map, small, utf8
+from lattica.llm.common import SLICE, arrow_map, small, utf8
 from lattica.llm.hashing import BASE, Spans, mix, powers, runs
 from lattica.session import materialize
 
@@ -54,7 +54,7 @@ def count_ngrams(docs: DataFrame, text_col: str, trusted_col: str) -> DataFrame:
         at = np.flatnonzero(raw)
         return {"bucket": at, "raw": raw[at], "target": target[at]}
 
-    parts = arrow_map(docs.select(text_col, trusted_col), run, "bucket long, raw long, target long", text=0)
+    parts = arrow_map(docs.select(text_col, trusted_col), run, "bucket long, raw long, target long", text=0, limit=4 * SLICE)
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 

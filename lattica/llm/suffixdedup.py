@@ -133,7 +133,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (doc_id, uid, text, runs): the bytes of each run. A fragment that a batch holds before needs no bytes."""
     for batch in batches:
-        for part in slices(batch, 2, 4 * SLICE):
+        for part in slices(batch, 2, 16 * SLICE):
             seen: dict[bytes, int] = {}
             out: tuple[list, ...] = ([], [], [], [], [])
             order = np.argsort(np.asarray(part.column(0).fill_null(-(1 << 63))), kind="stable")
