@@ -315,6 +315,26 @@ def test_chaining_finds_fuzzy_passages(spark):
     assert chaining.shared_passages(docs(spark, [])).count() == 0
 
 
+def test_chaining_matches_every_pair(spark):
+    p = prose(410, 60).split()
+    one, two, both = " ".join(p[:30]), " ".join(p[30:]), " ".join(p)
+    around = lambda i, t: (i, f"{prose(500 + 2 * i, 40)} {t} {prose(501 + 2 * i, 40)}")
+    rows = [around(1, one), around(2, two), around(3, both), around(4, one), around(5, two), around(6, both)]
+    rows += [(7, rows[2][1]), (8, rows[2][1])]
+    got = {r.doc_id: r for r in chaining.shared_passages(docs(spark, rows)).collect()}
+    assert [got[i].class_id for i in range(1, 9)] == [1, 2, 3, 4, 5, 3, 3, 3]
+    assert [got[i].n_links for i in range(1, 9)] == [0, 0, 3, 0, 0, 3, 3, 3] and list(got[6].links) == [3]
+
+    # more documents than one hash lists pairs of, each with an edit of its own; a short line that is as common links nothing
+    hot, line = prose(411, 90).split(), prose(412, 18)
+    rows = [around(i, " ".join(hot[: i % 80 + 5] + ["edited"] + hot[i % 80 + 6 :])) for i in range(150)]
+    rows += [around(i, line) for i in range(150, 320)]
+    got = {r.doc_id: r for r in chaining.shared_passages(docs(spark, rows)).collect()}
+    assert all(got[i].n_links == 149 and got[i].class_id == 0 for i in range(150))
+    assert all(got[i].n_links == 0 and got[i].class_id == i for i in range(150, 320))
+    assert got[149].n_passages == 149 and 88 <= got[149].n_words <= 92 and got[0].n_words == 0
+
+
 def test_chains_follow_order_and_gaps():
     import numpy as np
 
