@@ -1,10 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models over the letters of words.
 
-Text is lower-cased (A-Z); its words are runs of letters and of bytes from 128 on. A word is read as a path of prefixes:
-each next byte (or the word's end) up to DEPTH is a step from a prefix to a longer one. Each class gives
+Text is lower-cased (A-Z); its words are runs of letters and of bytes from 128 on, wide punctuation aside. Scripts without
+spaces give a word of GRAM characters from each character on. A word is read as a path of prefixes: each next byte (or the
+word's end) up to DEPTH is a step from a prefix to a longer one; a word of more bytes is read so from each of its characters
+on, to its end, and its log ratio is the largest of these paths', so that a part of a compound counts wherever it stands. Each class gives
 a step the interpolated Kneser-Ney probability: its own count less an absolute discount, plus the mass so freed times a
 distribution that both classes share, the backoff counts of the step over all learnt documents. A rare expression therefore
-costs both classes nearly the same, and a stem with a thousand endings is learnt once. A word's log ratio is the sum over its
+costs both classes nearly the same, and a stem with a thousand endings is learnt once. A path's log ratio is the sum over its
 steps of log P(toxic) - log P(ordinary). A document's two length-normalised figures are the mean log ratio of its words and
 the mean of what lies above MARGIN, which a language's or a genre's share among the toxic documents does not move.
 
@@ -24,6 +26,8 @@ from lattica.llm.hashing import Spans, runs
 from lattica.session import materialize
 
 DEPTH = 10
+#: Characters of a word in a script without spaces.
+GRAM = 3
 DISCOUNT = 0.75
 #: Counts of the shared distribution that each class's counts of a prefix are topped up with.
 SHARED = 20.0
@@ -38,24 +42,61 @@ LETTER = np.array([b >= 128 or 97 <= (b | 32) <= 122 for b in range(256)], dtype
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def kinds(low: np.ndarray) -> np.ndarray:
+    """Of each byte: 0 no letter, 1 a letter, 2 a letter of a script without spaces."""
+    out = LETTER[low]
+    lead = np.flatnonzero(low[:-2] >= 0xE0) if len(low) > 2 else np.zeros(0, np.int64)
+    one, two, three = low[lead].astype(np.int64), low[lead + 1].astype(np.int64), low[lead + 2].astype(np.int64)
+    code = (one & 15) << 12 | (two & 63) << 6 | three & 63
+    wide = one >= 0xF0
+    between = lambda *ranges: np.any([(code >= x) & (code <= y) for x, y in ranges], axis=0) & ~wide
+    # punctuation: general, CJK, full-width; scripts: Thai and Lao, Burmese, Khmer, kana, ideographs (also of planes 2 and 3)
+    marks = between((0x2000, 0x206F), (0x3000, 0x3004), (0x3008, 0x3020), (0x30FB, 0x30FB), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F))
+    dense = between((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3021, 0x30FA), (0x30FC, 0x312F), (0x31F0, 0x31FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F))
+    dense |= wide & (one == 0xF0) & (two >= 0xA0)
+    for places, kind in ((lead[marks], 0), (lead[dense], 2)):
+        for k in range(3):
+            out[places + k] = kind
+    fourth = lead[dense & wide] + 3
+    out[fourth[fourth < len(out)]] = 2
+    return out
+
+
+def words_of(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, in order of their starts; those of scripts without spaces overlap."""
+    kind = kinds(low)
+    starts, ends = runs(kind, offsets)
+    dense = kind[starts] == 2
+    if not dense.any():
+        return starts, ends
+    chars = np.flatnonzero((kind == 2) & (low & 0xC0 != 0x80))
+    run = np.searchsorted(starts, chars, side="right") - 1
+    after = np.concatenate([chars[GRAM:], np.full(min(GRAM, len(chars)), len(low))])
+    starts, ends = np.concatenate([starts[~dense], chars]), np.concatenate([ends[~dense], np.minimum(after, ends[run])])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order]
+
+
 def steps(data: np.ndarray, offsets: np.ndarray):
-    """The texts' words as (row of each word, an iterator over depths of (which words, prefix, longer prefix))."""
+    """(row of each word, word of each path, (path, prefix, longer prefix) of each step) of the texts."""
     low = FOLD[data]
-    starts, ends = runs(LETTER[data], offsets)
+    starts, ends = words_of(low, offsets)
     rows = np.searchsorted(offsets, starts, side="right") - 1
-
-    def walk():
-        spans = Spans(low)
-        which = np.arange(len(starts))
-        prefix = np.zeros(len(starts), np.uint64)
-        for depth in range(DEPTH):
-            more = ends[which] - starts[which] > depth
-            longer = prefix * MIX  # the word ends here
-            longer[more] = spans.of(starts[which[more]], starts[which[more]] + depth + 1)
-            yield which, prefix, longer
-            which, prefix = which[more], longer[more]
-
-    return rows, walk()
+    # a word of more than DEPTH bytes has a path from each of its characters on
+    sizes = np.where(ends - starts > DEPTH, ends - starts, 1)
+    words = np.repeat(np.arange(len(starts)), sizes)
+    begin = starts[words] + np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    lead = (low[begin] & 0xC0 != 0x80) | (begin == starts[words])
+    words, begin = words[lead], begin[lead]
+    spans, sizes = Spans(low), np.minimum(ends[words] - begin + 1, DEPTH)
+    paths = np.repeat(np.arange(len(words)), sizes)
+    depth = np.arange(len(paths)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    start = begin[paths]
+    prefix = np.where(depth > 0, spans.of(start, start + depth), np.uint64(0))
+    longer = prefix * MIX  # the word ends here
+    more = start + depth < ends[words[paths]]
+    longer[more] = spans.of(start[more], (start + depth + 1)[more])
+    return rows, words, (paths, prefix, longer)
 
 
 def slot(node: np.ndarray) -> np.ndarray:
@@ -66,14 +107,13 @@ def count_steps(texts: DataFrame, text_col: str, toxic_col: str) -> DataFrame:
     """(node, parent, toxic, ordinary): exact counts over all rows; a record batch is summed before the shuffle."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows, walk = steps(*utf8(batch.column(0)))
-        toxic = np.asarray(batch.column(1))[rows] == 1
-        which, parents, nodes = (np.concatenate(x) for x in zip(*walk))
+        rows, words, (which, parents, nodes) = steps(*utf8(batch.column(0)))
+        toxic = np.asarray(batch.column(1))[rows[words]] == 1
         seen, first, where, n = np.unique(nodes, return_index=True, return_inverse=True, return_counts=True)
         hot = np.bincount(where, weights=toxic[which], minlength=len(seen)).astype(np.int64)
         return {"node": seen.view(np.int64), "parent": parents[first].view(np.int64), "toxic": hot, "ordinary": n - hot}
 
-    parts = arrow_map(texts.select(text_col, toxic_col), run, "node long, parent long, toxic long, ordinary long", text=0, limit=2 * SLICE)
+    parts = arrow_map(texts.select(text_col, toxic_col), run, "node long, parent long, toxic long, ordinary long", text=0)
     return parts.groupBy("node", "parent").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
@@ -119,10 +159,9 @@ def evidence(docs: DataFrame, table: np.ndarray, id_col: str, text_col: str, col
 
     def run(batch: pa.RecordBatch) -> dict:
         table, n = shared.value, batch.num_rows
-        rows, walk = steps(*utf8(batch.column(at)))
-        z = np.zeros(len(rows))
-        for which, _, node in walk:
-            z[which] += table[slot(node)]
+        rows, paths, (which, _, node) = steps(*utf8(batch.column(at)))
+        z = np.full(len(rows), -np.inf)
+        np.maximum.at(z, paths, np.bincount(which, weights=table[slot(node)], minlength=len(paths)))
         words = np.bincount(rows, minlength=n)
         mean = lambda v: np.bincount(rows, weights=v, minlength=n) / np.maximum(words, 1)
         return {c: batch.column(c) for c in columns} | {"__x": mean(z), "__over": mean(np.maximum(z - MARGIN, 0)), "__n": words}

@@ -161,6 +161,26 @@ def test_toxicity_held_out(spark):
     assert nothing.score(data).count() == 403 and nothing.score(docs(spark, [])).count() == 0
 
 
+def test_toxicity_reads_words_to_their_end(spark):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    signs = lambda n: "".join(chr(rng.randint(0x4E00, 0x4E80)) for _ in range(n))
+    rows, labels = [], []
+    for i in range(600):
+        toxic, wide = i % 5 == 0, i % 2 == 0
+        if wide:  # one sentence without spaces, its toxic part far from the start
+            text = "。".join(signs(30) + ("龍龜龘鬱" if toxic and k % 2 else signs(4)) + signs(10) for k in range(6))
+        else:  # compounds that begin alike and differ in what comes after many letters
+            text = " ".join(letters(13) + ("zqvkwxyz" if toxic and k % 5 == 0 else letters(8)) for k in range(40))
+        rows.append((i, text))
+        labels.append((i, int(toxic)))
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in model.score(docs(spark, rows)).collect()}
+    held = [i for i, _ in rows if __import__("zlib").crc32(str(i).encode()) % 4 == 2]
+    assert sum((got[i] >= 0.3) == (i % 5 == 0) for i in held) >= 0.95 * len(held)
+    assert {got[i] >= 0.3 for i in held if i % 5 == 0} == {True}
+
+
 def plain_contamination(rows, items, width=13):
     word = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     wins = defaultdict(set)
