@@ -1,45 +1,52 @@
-"""Toxicity by class-conditional Kneser-Ney models over the letters of words.
-
-Text is lower-cased (A-Z); its words are runs of letters and of bytes from 128 on, wide punctuation aside. Scripts without
-spaces give a word of GRAM characters from each character on. A word is read as a path of prefixes: each next byte (or the
-word's end) up to DEPTH is a step from a prefix to a longer one; a word of more bytes is read so from each of its characters
-on, to its end, and its log ratio is the largest of these paths', so that a part of a compound counts wherever it stands. Each class gives
-a step the interpolated Kneser-Ney probability: its own count less an absolute discount, plus the mass so freed times a
-distribution that both classes share, the backoff counts of the step over all learnt documents. A rare expression therefore
-costs both classes nearly the same, and a stem with a thousand endings is learnt once. A path's log ratio is the sum over its
-steps of log P(toxic) - log P(ordinary). A document's two length-normalised figures are the mean log ratio of its words and
-the mean of what lies above MARGIN, which a language's or a genre's share among the toxic documents does not move.
-
-Counts cover every distinct labelled text used for learning and are exact in Spark (prefixes as 64-bit hashes). Only for
-scoring are the log ratios folded into a table of 2**SLOTS floats (16 MB), the proven bound of what is broadcast.
+"""Toxicity by class-conditional Kneser-Ney models over pairs of words.
+
+Text is lower-cased (A-Z); its words are runs of letters and of bytes from 128 on, wide punctuation aside, read to their end.
+Runs of a script without spaces give a word of GRAM characters from each character on, other runs of over LONG characters one
+of PIECE, so that a part of a compound counts wherever it stands. A word's context is the word before it, or the
+start if anything but spaces stands between. For each class c, interpolated Kneser-Ney with counts of c for pairs and counts
+of distinct contexts (continuation counts) below:
+
+    P_c(w | v) = own_c(v, w) / all_c(v) + freed_c(v) / all_c(v) * P_c(w)
+    P_c(w)     = own_c(w) / all_c + freed_c / all_c * P(w)            counts: distinct contexts of w in class c
+    P(w)       = own(w) / all + freed / all / (words + 1)             counts: distinct contexts of w in either class
+
+A count of one is given to the level below as a whole, a larger one less DISCOUNT; freed is what was given. So a rare
+expression costs both classes the same, by the counts that they share, and only what came twice tells them apart.
+
+The log ratio of a text, log P_toxic - log P_ordinary, is a sum over keys: a known word adds log P_t(w) / P_o(w) less an
+unknown word's, a known context the log ratio of its freed shares, a known pair the rest. The table of these keys grows with
+the labelled text. Its HOT_KEYS most frequent keys are broadcast (24 MB at most); a filter of at most 2**FILTER_BITS bits over
+the rest tells which keys of a text may be among them, and those are joined by a shuffle, so nothing is folded or left out.
+A document's two length-normalised figures are the mean log ratio of its words and the mean of what its keys have above
+MARGIN, which a language's or a genre's share among the toxic documents does not move.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SLICE, arrow_map, small, utf8
-from lattica.llm.hashing import Spans, runs
+from lattica.llm.common import arrow_map, small, utf8
+from lattica.llm.hashing import Spans, mix, runs
 from lattica.session import materialize
 
-DEPTH = 10
-#: Characters of a word in a script without spaces.
+#: Characters of a word in a script without spaces; characters up to which any other word is one, and those of its pieces beyond.
 GRAM = 3
+LONG, PIECE = 14, 6
 DISCOUNT = 0.75
-#: Counts of the shared distribution that each class's counts of a prefix are topped up with.
-SHARED = 20.0
 MARGIN = 1.0
-SLOTS = 22
+HOT_KEYS = 1_500_000
+FILTER_BITS = 30
 #: At most so many labelled rows fit the calibration weights.
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.3
 
 FOLD = np.array([b | 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 LETTER = np.array([b >= 128 or 97 <= (b | 32) <= 122 for b in range(256)], dtype=np.int8)
-MIX = np.uint64(0x9E3779B97F4A7C15)
+START = np.uint64(0)
+CONTEXT, PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def kinds(low: np.ndarray) -> np.ndarray:
@@ -63,124 +70,209 @@ def kinds(low: np.ndarray) -> np.ndarray:
 
 
 def words_of(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words, in order of their starts; those of scripts without spaces overlap."""
+    """Starts and ends of the words, in order of their starts; those of split runs overlap."""
     kind = kinds(low)
     starts, ends = runs(kind, offsets)
+    lead = low & 0xC0 != 0x80
+    before = np.concatenate([[0], np.cumsum(lead)])
+    size = before[ends] - before[starts]
     dense = kind[starts] == 2
-    if not dense.any():
+    split = dense | (size > LONG)
+    if not split.any():
         return starts, ends
-    chars = np.flatnonzero((kind == 2) & (low & 0xC0 != 0x80))
-    run = np.searchsorted(starts, chars, side="right") - 1
-    after = np.concatenate([chars[GRAM:], np.full(min(GRAM, len(chars)), len(low))])
-    starts, ends = np.concatenate([starts[~dense], chars]), np.concatenate([ends[~dense], np.minimum(after, ends[run])])
+    gram, first = np.where(dense, GRAM, PIECE)[split], starts[split]
+    pieces = np.maximum(size[split] - gram + 1, 1)
+    run = np.repeat(np.arange(len(first)), pieces)
+    char = before[first][run] + np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    places = np.append(np.flatnonzero(lead), len(low))
+    begin = np.where(char == before[first][run], first[run], places[np.minimum(char, len(places) - 1)])
+    end = np.minimum(places[np.minimum(char + gram[run], len(places) - 1)], ends[split][run])
+    starts, ends = np.concatenate([starts[~split], begin]), np.concatenate([ends[~split], end])
     order = np.argsort(starts, kind="stable")
     return starts[order], ends[order]
 
 
-def steps(data: np.ndarray, offsets: np.ndarray):
-    """(row of each word, word of each path, (path, prefix, longer prefix) of each step) of the texts."""
+def pairs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, context, word) of every word of the texts, as 64-bit hashes; a context of START is none."""
     low = FOLD[data]
     starts, ends = words_of(low, offsets)
     rows = np.searchsorted(offsets, starts, side="right") - 1
-    # a word of more than DEPTH bytes has a path from each of its characters on
-    sizes = np.where(ends - starts > DEPTH, ends - starts, 1)
-    words = np.repeat(np.arange(len(starts)), sizes)
-    begin = starts[words] + np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    lead = (low[begin] & 0xC0 != 0x80) | (begin == starts[words])
-    words, begin = words[lead], begin[lead]
-    spans, sizes = Spans(low), np.minimum(ends[words] - begin + 1, DEPTH)
-    paths = np.repeat(np.arange(len(words)), sizes)
-    depth = np.arange(len(paths)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    start = begin[paths]
-    prefix = np.where(depth > 0, spans.of(start, start + depth), np.uint64(0))
-    longer = prefix * MIX  # the word ends here
-    more = start + depth < ends[words[paths]]
-    longer[more] = spans.of(start[more], (start + depth + 1)[more])
-    return rows, words, (paths, prefix, longer)
-
-
-def slot(node: np.ndarray) -> np.ndarray:
-    return ((node * MIX) >> np.uint64(64 - SLOTS)).astype(np.int64)
-
-
-def count_steps(texts: DataFrame, text_col: str, toxic_col: str) -> DataFrame:
-    """(node, parent, toxic, ordinary): exact counts over all rows; a record batch is summed before the shuffle."""
+    words = Spans(low).of(starts, ends)
+    context = np.full(len(words), START)
+    if len(words) > 1:
+        others = np.concatenate([[0], np.cumsum(low != 32)])
+        before, after = np.minimum(ends[:-1], starts[1:]), starts[1:]
+        joined = (rows[1:] == rows[:-1]) & (others[after] == others[before])
+        context[1:][joined] = words[:-1][joined]
+    return rows, context, words
 
-    def run(batch: pa.RecordBatch) -> dict:
-        rows, words, (which, parents, nodes) = steps(*utf8(batch.column(0)))
-        toxic = np.asarray(batch.column(1))[rows[words]] == 1
-        seen, first, where, n = np.unique(nodes, return_index=True, return_inverse=True, return_counts=True)
-        hot = np.bincount(where, weights=toxic[which], minlength=len(seen)).astype(np.int64)
-        return {"node": seen.view(np.int64), "parent": parents[first].view(np.int64), "toxic": hot, "ordinary": n - hot}
-
-    parts = arrow_map(texts.select(text_col, toxic_col), run, "node long, parent long, toxic long, ordinary long", text=0)
-    return parts.groupBy("node", "parent").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
+def context_key(context: np.ndarray) -> np.ndarray:
+    return mix(context + CONTEXT)
 
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(node, n, ratio): each step's log P(toxic) - log P(ordinary); a prefix has at most 257 steps, so no key is hot."""
-    classes = ("toxic", "ordinary")
-    parents = counts.groupBy("parent").agg(
-        *(F.sum(c).alias(f"all_{c}") for c in classes), *(F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT))).alias(f"freed_{c}") for c in classes)
-    )
-    shared = (F.col("toxic") + F.col("ordinary")) / (F.col("all_toxic") + F.col("all_ordinary"))
 
-    def prob(c: str):
-        own = F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + (F.col(f"freed_{c}") + SHARED) * shared
-        return own / (F.col(f"all_{c}") + SHARED)
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(context * PAIR + word)
 
-    return counts.join(parents, "parent").select("node", (F.col("toxic") + F.col("ordinary")).alias("n"), F.log(prob("toxic") / prob("ordinary")).alias("ratio"))
 
-
-def folded(ratios: DataFrame) -> np.ndarray:
-    """A table of 2**SLOTS floats; nodes that share a slot give their mean weighted by count, empty slots zero."""
+def count_pairs(texts: DataFrame, text_col: str, toxic_col: str) -> DataFrame:
+    """(context, word, toxic, ordinary): exact counts over all rows; a record batch is summed before the shuffle."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        return {"slot": slot(np.asarray(batch.column(0)).view(np.uint64)), "n": batch.column(1), "ratio": batch.column(2)}
-
-    slots = arrow_map(ratios, run, "slot long, n long, ratio double")
-    slots = slots.groupBy("slot").agg((F.sum(F.col("n") * F.col("ratio")) / F.sum("n")).cast("float").alias("ratio"))
+        rows, context, word = pairs_of(*utf8(batch.column(0)))
+        toxic = np.asarray(batch.column(1))[rows] == 1
+        order = np.lexsort((word, context))
+        v, w, hot = context[order], word[order], toxic[order]
+        first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])) if len(v) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(v)))
+        hot = np.add.reduceat(hot.astype(np.int64), first) if len(v) else n
+        return {"context": v[first].view(np.int64), "word": w[first].view(np.int64), "toxic": hot, "ordinary": n - hot}
 
-    def packed(batch: pa.RecordBatch) -> dict:
-        return {"slots": [np.asarray(batch.column(0)).astype("<i4").tobytes()], "ratios": [np.asarray(batch.column(1)).astype("<f4").tobytes()]}
+    parts = arrow_map(texts.select(text_col, toxic_col), run, "context long, word long, toxic long, ordinary long", text=0)
+    return parts.groupBy("context", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
-    table = np.zeros(1 << SLOTS, dtype=np.float32)
-    for row in arrow_map(slots, packed, "slots binary, ratios binary").toLocalIterator():  # at most 2**SLOTS slots in all
-        table[np.frombuffer(row.slots, dtype="<i4")] = np.frombuffer(row.ratios, dtype="<f4")
-    return table
 
+def freed(n: Column) -> Column:
+    """What a count gives to the level below."""
+    return F.when(n > 1, F.lit(DISCOUNT)).otherwise(n.cast("double"))
 
-def evidence(docs: DataFrame, table: np.ndarray, id_col: str, text_col: str, columns: list[str] | None = None) -> DataFrame:
-    """(id or ``columns``, x: mean log ratio of the words, over: mean above MARGIN, n: words); no words give zeros."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    columns = columns or [id_col]
-    rows = docs.select(*columns, *([] if text_col in columns else [text_col]))
-    at = rows.columns.index(text_col)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        table, n = shared.value, batch.num_rows
-        rows, paths, (which, _, node) = steps(*utf8(batch.column(at)))
-        z = np.full(len(rows), -np.inf)
-        np.maximum.at(z, paths, np.bincount(which, weights=table[slot(node)], minlength=len(paths)))
-        words = np.bincount(rows, minlength=n)
-        mean = lambda v: np.bincount(rows, weights=v, minlength=n) / np.maximum(words, 1)
-        return {c: batch.column(c) for c in columns} | {"__x": mean(z), "__over": mean(np.maximum(z - MARGIN, 0)), "__n": words}
-
-    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return arrow_map(rows, run, f"{kept}, __x double, __over double, __n long", text=at)
+CLASSES = ("toxic", "ordinary")
 
 
-def features(x, over, n) -> list:
-    """What the calibration weighs beside a constant."""
-    return [x, over, over * n**0.5]
+def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
+    """((key, n, value) of the keys that tell the classes apart, log ratio of an unknown word after an unknown context).
 
+    A hot word is one key among few rows in every aggregation: contexts and words are summed before their shuffle.
+    """
+    contexts = counts.groupBy("context").agg(*(F.sum(c).alias(f"all_{c}") for c in CLASSES), *(F.sum(freed(F.col(c))).alias(f"freed_{c}") for c in CLASSES))
+    contexts = materialize(contexts, "contexts")
+    words = counts.groupBy("word").agg(F.count("*").alias("both"), *(F.count_if(F.col(c) > 0).alias(c) for c in CLASSES))
+    words = materialize(words, "words")
+    total = words.agg(F.count("*").alias("words"), *(F.coalesce(f(F.col(c)), F.lit(0)).cast("double").alias(f"{n}_{c}") for c in ("both", *CLASSES) for n, f in (("all", F.sum), ("freed", lambda x: F.sum(freed(x)))))).first()
+
+    def level(n: str, below: Column) -> Column:
+        if not total[f"all_{n}"]:
+            return below
+        return (F.col(n) - freed(F.col(n)) + total[f"freed_{n}"] * below) / total[f"all_{n}"]
+
+    shared = level("both", F.lit(1.0 / (total.words + 1)))
+    words = words.select("word", "both", *(level(c, shared).alias(f"p_{c}") for c in CLASSES))
+    share = lambda c: total[f"freed_{c}"] / total[f"all_{c}"] if total[f"all_{c}"] and total[f"freed_{c}"] else 1.0
+    unknown = float(np.log(share("toxic") / share("ordinary")))
+
+    def lost(c: str) -> Column:
+        """The share of a context that goes to the level below, never quite nothing."""
+        return F.when(F.col(f"all_{c}") > 0, F.col(f"freed_{c}") / F.col(f"all_{c}")).otherwise(1.0)
+
+    one = words.select(F.col("word").alias("key"), F.col("both").alias("n"), (F.log(F.col("p_toxic") / F.col("p_ordinary")) - unknown).alias("value"))
+    two = contexts.select("context", (F.col("all_toxic") + F.col("all_ordinary")).alias("n"), F.log(lost("toxic") / lost("ordinary")).alias("value"))
+    rows = counts.filter("toxic > 1 OR ordinary > 1").join(contexts, "context").join(words, "word")
+
+    def whole(c: str) -> Column:
+        own = F.when(F.col(f"all_{c}") > 0, (F.col(c) - freed(F.col(c))) / F.col(f"all_{c}")).otherwise(0.0)
+        return own / (lost(c) * F.col(f"p_{c}")) + 1
+
+    three = rows.select("context", "word", (F.col("toxic") + F.col("ordinary")).alias("n"), F.log(whole("toxic") / whole("ordinary")).alias("value"))
+
+    def keyed(kind):
+        def run(batch: pa.RecordBatch) -> dict:
+            parts = [np.asarray(batch.column(i)).view(np.uint64) for i in range(kind)]
+            key = context_key(*parts) if kind == 1 else pair_key(*parts)
+            return {"key": key.view(np.int64), "n": batch.column(kind), "value": batch.column(kind + 1)}
+
+        return run
+
+    table = one.unionByName(arrow_map(two, keyed(1), "key long, n long, value double")).unionByName(arrow_map(three, keyed(2), "key long, n long, value double"))
+    return table.select("key", "n", F.col("value").cast("float").alias("value")).filter("value <> 0"), unknown
+
+
+class KeyTable:
+    """A table (key, n, value) split into its most frequent keys, held as arrays, and the rest with a filter over it."""
+
+    def __init__(self, table: DataFrame, hot_keys: int = HOT_KEYS):
+        spark = table.sparkSession
+        sizes = sorted((r.n, r.keys) for r in table.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("keys")).collect())  # at most 1000 rows
+        least, left = 1001, hot_keys
+        for n, keys in reversed(sizes):
+            if keys > left:
+                break
+            least, left = n, left - keys
+        self.rest = table.filter(F.col("n") < least).select("key", "value")
+        hot = arrow_map(table.filter(F.col("n") >= least).select("key", "value"), lambda b: {"keys": [np.asarray(b.column(0)).tobytes()], "values": [np.asarray(b.column(1)).tobytes()]}, "keys binary, values binary")
+        parts = [(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["values"], np.float32)) for r in hot.toLocalIterator()]  # at most hot_keys keys
+        keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)]).view(np.uint64)
+        values = np.concatenate([v for _, v in parts] or [np.zeros(0, np.float32)])
+        order = np.argsort(keys)
+        n = sum(k for c, k in sizes if c < least)
+        self.bits = min(FILTER_BITS, max(10, int(np.ceil(np.log2(12 * n + 1)))))
+        self.shared = spark.sparkContext.broadcast((keys[order], values[order], self._filter(n)))
+
+    def _filter(self, n: int) -> np.ndarray:
+        out, bits = np.zeros(1 << (self.bits - 3), dtype=np.uint8), self.bits
+        if n:
+
+            def run(batch: pa.RecordBatch) -> dict:
+                at = np.concatenate(places(np.asarray(batch.column(0)).view(np.uint64), bits))
+                return {"byte": (at >> np.uint64(3)).astype(np.int64), "bit": np.left_shift(1, (at & np.uint64(7)).astype(np.int64))}
+
+            marks = arrow_map(self.rest, run, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").cast("short").alias("bit"))
+            packed = arrow_map(marks, lambda b: {"bytes": [np.asarray(b.column(0)).tobytes()], "bits": [np.asarray(b.column(1)).astype(np.uint8).tobytes()]}, "bytes binary, bits binary")
+            for r in packed.toLocalIterator():  # at most 2**FILTER_BITS bits in all
+                out[np.frombuffer(r["bytes"], np.int64)] = np.frombuffer(r["bits"], np.uint8)
+        return out
+
+
+def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Where a key stands in a filter of 2**bits bits: three places."""
+    again = mix(keys)
+    return [keys >> np.uint64(64 - bits), again >> np.uint64(64 - bits), (again & np.uint64((1 << 32) - 1)) >> np.uint64(32 - bits)]
+
+
+def evidence(docs: DataFrame, table: KeyTable, unknown: float, text_col: str, columns: list[str]) -> DataFrame:
+    """``columns`` and __x: mean log ratio of the words, __over: mean above MARGIN, __n: words; no words give zeros."""
+    shared, bits = table.shared, table.bits
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), *columns, *([] if text_col in columns else [text_col]))
+    names, at = rows.columns, rows.columns.index(text_col)
 
-def calibrate(rows: list[tuple[float, float, int, int]]) -> list[float]:
-    """Logistic weights of the features and the constant by Newton steps on rows (x, over, n, toxic)."""
+    def run(batch: pa.RecordBatch) -> dict:
+        (keys, values, marks), n = shared.value, batch.num_rows
+        row, context, word = pairs_of(*utf8(batch.column(at)))
+        words = np.bincount(row, minlength=n)
+        x, over = unknown * words, np.zeros(n)
+        rest: list[tuple[np.ndarray, np.ndarray]] = []
+        for key in (word, context_key(context), pair_key(context, word)):
+            place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            known = keys[place] == key if len(keys) else np.zeros(len(key), bool)
+            value = np.where(known, values[place], 0) if len(keys) else np.zeros(len(key))
+            x += np.bincount(row, weights=value, minlength=n)
+            over += np.bincount(row, weights=np.maximum(value - MARGIN, 0), minlength=n)
+            maybe = ~known
+            for p in places(key, bits):
+                maybe[maybe] = marks[(p[maybe] >> np.uint64(3)).astype(np.int64)] >> (p[maybe] & np.uint64(7)).astype(np.uint8) & 1 == 1
+            rest.append((row[maybe], key[maybe]))
+        where, key = (np.concatenate(v) for v in zip(*rest))
+        order = np.argsort(where, kind="stable")
+        edges = np.searchsorted(where[order], np.arange(n + 1))
+        lists = [key[order][a:b].view(np.int64) for a, b in zip(edges[:-1], edges[1:])]
+        return {"__row": batch.column(0)} | {c: batch.column(names.index(c)) for c in columns} | {"__x": x, "__over": over, "__n": words, "__rest": lists}
+
+    kept = ", ".join(["__row long", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)])
+    found = materialize(arrow_map(rows, run, f"{kept}, __x double, __over double, __n long, __rest array<long>", text=at), "evidence")
+    times = found.select("__row", F.explode("__rest").alias("key")).groupBy("__row", "key").count()
+    more = times.join(table.rest, "key").groupBy("__row").agg(
+        F.sum(F.col("count") * F.col("value")).alias("__more"), F.sum(F.col("count") * F.greatest(F.col("value") - MARGIN, F.lit(0))).alias("__above"))
+    n, zero = F.greatest("__n", F.lit(1)), F.lit(0.0)
+    joined = found.drop("__rest").join(small(materialize(more, "rare-evidence")), "__row", "left")
+    return joined.select(*columns, ((F.col("__x") + F.coalesce("__more", zero)) / n).alias("__x"), ((F.col("__over") + F.coalesce("__above", zero)) / n).alias("__over"), "__n")
+
+
+def calibrate(rows: list[tuple[float, float, int]]) -> list[float]:
+    """Logistic weights of the two figures and the constant by Newton steps on rows (x, over, toxic)."""
     if len({r[-1] for r in rows}) < 2:
-        return [0.0, 40.0, 0.0, -2.0]
-    x, over, n, y = (np.array(v, dtype=float) for v in zip(*rows))
-    f = np.stack([*features(x, over, n), np.ones(len(y))], axis=1)
+        return [0.0, 40.0, -2.0]
+    x, over, y = (np.array(v, dtype=float) for v in zip(*rows))
+    f = np.stack([x, over, np.ones(len(y))], axis=1)
     scale = np.maximum(np.abs(f).mean(axis=0), 1e-9)
     f /= scale
     w = np.zeros(f.shape[1])
@@ -199,31 +291,40 @@ class ToxicityModel:
     labels and null texts teach nothing; without labelled rows of both classes fixed weights stand in.
     """
 
-    def __init__(self, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
+    def __init__(self, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", hot_keys: int = HOT_KEYS):
         held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 3, F.lit(False))
         rows = labelled.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
         learnt = rows.filter(~held)
         once = learnt.groupBy(F.xxhash64(text_col), F.octet_length(text_col)).agg(F.min(id_col).alias(id_col)).select(id_col)
-        counts = materialize(count_steps(learnt.join(small(once), id_col, "left_semi"), text_col, label_col), "steps")
-        self.table = folded(kneser_ney(counts))
+        counts = materialize(count_pairs(learnt.join(small(once), id_col, "left_semi"), text_col, label_col), "pairs")
+        table, self.unknown = kneser_ney(counts)
+        self.table = KeyTable(materialize(table, "keys"), hot_keys)
         chosen = rows.filter(held).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(CALIBRATION_ROWS)
         fitting = rows.filter(held).join(F.broadcast(chosen.distinct()), id_col, "left_semi")
-        pairs = evidence(fitting, self.table, id_col, text_col, [label_col])
-        self.weights = calibrate([tuple(r) for r in pairs.select("__x", "__over", "__n", label_col).toLocalIterator()])
+        figures = evidence(fitting, self.table, self.unknown, text_col, [label_col])
+        self.weights = calibrate([tuple(r) for r in figures.select("__x", "__over", label_col).toLocalIterator()])
 
-    def _scored(self, rows: DataFrame, name: str = "score") -> DataFrame:
-        parts = features(F.col("__x"), F.col("__over"), F.col("__n"))
-        logit = sum((w * p for w, p in zip(self.weights, parts)), F.lit(self.weights[-1]))
-        return rows.withColumn(name, 1 / (1 + F.exp(-logit))).drop("__x", "__over", "__n")
+    def _scored(self, docs: DataFrame, columns: list[str], text_col: str, name: str) -> DataFrame:
+        a, b, c = self.weights
+        figures = evidence(docs, self.table, self.unknown, text_col, columns)
+        return figures.withColumn(name, 1 / (1 + F.exp(-(a * F.col("__x") + b * F.col("__over") + c)))).drop("__x", "__over", "__n")
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, score): 0 to 1 for every row, null and empty texts and repeated rows too."""
-        return self._scored(evidence(docs, self.table, id_col, text_col))
+        return self._scored(docs, [id_col], text_col, "score")
 
     def annotate(self, docs: DataFrame, text_col: str = "text", name: str = "score") -> DataFrame:
-        """``docs`` with the score as column ``name`` (in place of one of that name), without a join."""
-        columns = [c for c in docs.columns if c != name]
-        return self._scored(evidence(docs, self.table, columns[0], text_col, columns), name)
+        """``docs`` with the score as column ``name`` (in place of one of that name)."""
+        return self._scored(docs, [c for c in docs.columns if c != name], text_col, name)
+
+    def drop_toxic(self, docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+        """``docs`` without the rows that score ``threshold`` or more; a row goes by its text, so repeated or null ids do no harm."""
+        named = docs.select(text_col, F.xxhash64(text_col).alias("__hash"), F.octet_length(text_col).alias("__bytes"))
+        gone = self._scored(named, ["__hash", "__bytes"], text_col, "__toxicity").filter(F.col("__toxicity") >= threshold)
+        gone = materialize(gone.select("__hash", "__bytes").distinct(), "toxic")
+        marked = docs.withColumn("__hash", F.xxhash64(text_col)).withColumn("__bytes", F.octet_length(text_col))
+        same = marked["__hash"].eqNullSafe(gone["__hash"]) & marked["__bytes"].eqNullSafe(gone["__bytes"])
+        return marked.join(small(gone), same, "left_anti").select(*docs.columns)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:

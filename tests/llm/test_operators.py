@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -181,6 +182,67 @@ def test_toxicity_reads_words_to_their_end(spark):
     assert {got[i] >= 0.3 for i in held if i % 5 == 0} == {True}
 
 
+def plain_kneser_ney(texts, text):
+    """log P_toxic - log P_ordinary of a text by the formulas, from (text, toxic) with words of ASCII letters."""
+    words = lambda t: [(None if p is None else p.group(), w.group()) for p, w in paired(list(re.finditer("[a-z]+", t.lower())), t)]
+
+    def paired(found, t):
+        return [(found[i - 1] if i and not t[found[i - 1].end() : m.start()].strip(" ") else None, m) for i, m in enumerate(found)]
+
+    pairs = {0: defaultdict(int), 1: defaultdict(int)}
+    for t, toxic in texts:
+        for p in words(t):
+            pairs[toxic][p] += 1
+    both = set(pairs[0]) | set(pairs[1])
+    given = lambda n: n if n < 2 else 0.75
+    contexts = {w: {c: sum(1 for v, x in pairs[c] if x == w) for c in (0, 1)} | {2: sum(1 for v, x in both if x == w)} for w in {w for _, w in both}}
+    total = {c: sum(n[c] for n in contexts.values()) for c in (0, 1, 2)}
+    freed = {c: sum(given(n[c]) for n in contexts.values()) for c in (0, 1, 2)}
+
+    def single(c, w):
+        n = contexts.get(w, {0: 0, 1: 0, 2: 0})
+        level = lambda c, below: (n[c] - given(n[c]) + freed[c] * below) / total[c]
+        return level(c, level(2, 1 / (len(contexts) + 1)))
+
+    def prob(c, v, w):
+        row = {x: n for (u, x), n in pairs[c].items() if u == v}
+        if not row:
+            return single(c, w)
+        n = row.get(w, 0)
+        return (n - given(n) + sum(map(given, row.values())) * single(c, w)) / sum(row.values())
+
+    return sum(math.log(prob(1, v, w) / prob(0, v, w)) for v, w in words(text)), len(words(text))
+
+
+@pytest.mark.parametrize("hot_keys", [1_500_000, 40, 0])
+def test_toxicity_matches_the_formulas(spark, hot_keys):
+    rng = random.Random(8)
+    some = ["the", "a", "you", "Are", "trash", "fine", "day", "uncommonwords", "uncommonworth"]
+    text = lambda: "".join(rng.choice(some) + rng.choice([" ", " ", " ", ", ", "\n"]) for _ in range(rng.randint(1, 30)))
+    learnt = [(text(), int(i % 3 == 0)) for i in range(60)]
+    table, unknown = toxicity.kneser_ney(toxicity.count_pairs(spark.createDataFrame(learnt, "text string, toxic int"), "text", "toxic"))
+    keys = toxicity.KeyTable(table.cache(), hot_keys)
+    asked = [(i, text() + rng.choice(["", "unseen words", "the trash"])) for i in range(25)] + [(100, ""), (101, None), (102, learnt[0][0]), (102, learnt[0][0])]
+    got = toxicity.evidence(docs(spark, asked), keys, unknown, "text", ["doc_id"]).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        want, n = plain_kneser_ney(learnt, dict(asked)[r.doc_id] or "")
+        assert r["__n"] == n and abs(r["__x"] * max(n, 1) - want) < 1e-4 * max(n, 1)
+
+
+def test_toxicity_tells_words_apart_by_their_ends(spark):
+    """Words alike in their first 12 letters are two; a text without a word of either class scores between."""
+    rows = [(i, " ".join(prose(10 * i + k, 6) + " harmlessword" + ("x" if i % 2 else "y") for k in range(3))) for i in range(200)]
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in model.score(docs(spark, [(1, "so harmlesswordx"), (2, "so harmlesswordy")])).collect()}
+    assert got[1] > 0.5 > got[2]
+    long = docs(spark, [(1, "fine " * 300_000), (2, "harmlesswordx " * 100_000), (None, "harmlesswordx here")])
+    got = {r.doc_id: r.score for r in model.score(long).collect()}
+    assert got[2] > 0.5 and got[None] > 0.5 and got[1] < got[2]
+    kept = model.drop_toxic(docs(spark, [(None, "harmlesswordx here"), (7, "harmlesswordy here"), (8, "harmlesswordx here"), (9, None), (9, None)]), 0.5)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [7, 9, 9]
+
+
 def plain_contamination(rows, items, width=13):
     word = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     wins = defaultdict(set)
