@@ -18,7 +18,7 @@ from lattica.session import materialize, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model scores at the threshold or above."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return model.annotate(docs, name="__toxicity").filter(F.col("__toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    return model.drop_toxic(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
