@@ -17,6 +17,9 @@ from lattica.llm.queries import tokenizer
 SCHEMA = "doc_id long, text string, fp string, n long, kept string, key string, node string, hash string"
 
 
+KEY = "key of the tests"
+
+
 def docs(spark, rows):
     """Documents with columns whose names clash with the operators' own."""
     return spark.createDataFrame([(i, t, "x", 1, "y", "z", "v", "w") for i, t in rows], SCHEMA)
@@ -273,6 +276,29 @@ def test_decontamination_matches_brute_force(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(docs(spark, rows), table.limit(0)).collect())
 
 
+def test_decontamination_of_null_and_repeated_ids(spark):
+    table = spark.createDataFrame([(1, prose(50, 40)), (2, "the")], "item_id long, text string")
+    rows = [(None, prose(50, 40)), (None, "clean text only"), (5, prose(50, 40)), (5, "another clean text"), (5, "another clean text")]
+    got = decontaminate.contamination(docs(spark, rows), table).collect()
+    assert sorted((str(r.doc_id), r.n_hit, r.contaminated) for r in got) == [("5", 0, False), ("5", 0, False), ("5", 40, True), ("None", 0, False), ("None", 40, True)]
+    left = decontaminate.drop_contaminated(docs(spark, rows), table)
+    assert left.columns == docs(spark, rows).columns and sorted(r.text for r in left.collect()) == ["another clean text", "another clean text", "clean text only"]
+
+
+def test_decontamination_of_a_text_of_one_word(spark):
+    table = spark.createDataFrame([(1, "the"), (2, "the the the the the the the the the the the the the the the")], "item_id long, text string")
+    got = decontaminate.contamination(docs(spark, [(1, "the " * 20_000), (2, "other")]), table).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, list(r.item_ids)) for r in got} == {1: (20_000, 20_000, ["1", "2"]), 2: (1, 0, [])}
+
+
+def test_small_measures_bytes(spark):
+    from lattica.llm.common import small
+
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower() or "hint" in df._jdf.queryExecution().logical().toString().lower()
+    frame = spark.createDataFrame([(1, "x" * 1000, ["y" * 500])], "a long, b string, c array<string>")
+    assert hinted(small(frame)) and not hinted(small(frame, size=1200)) and not hinted(small(frame, rows=0))
+
+
 def test_proximity_matches(spark):
     data = docs(spark, [(1, "alpha x beta y y y y alpha"), (2, "beta q q q q q alpha"), (3, "gamma")])
     terms = spark.createDataFrame([(0, "alpha beta"), (1, "gamma")], "item_id int, text string")
@@ -429,7 +455,7 @@ def test_chains_follow_order_and_gaps():
 def test_pii_surrogates(spark):
     text = "Mail jo.doe@site.example.com or JO.DOE@site.example.com, call +1 (017) 555-7713, card 4111 1111 1111 1111 / 4111111111111111 from 10.2.33.244. Mrs. Anna Smith, г-н Иван Петров. token 04dbebab91ab85687d33eeaaf9ac699e1188f962"
     rows = [(1, text), (2, "again jo.doe@site.example.com"), (3, None), (4, ""), (5, "no entity here"), (6, text), (6, text)]
-    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, rows)).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, rows), KEY).collect()}
     out = got[1].text
     for secret in ("jo.doe", "JO.DOE", "4111 1111", "555-7713", "10.2.33.244", "Smith", "Петров", "04dbebab"):
         assert secret not in out
@@ -445,12 +471,44 @@ def test_pii_surrogates(spark):
     assert surrogate[7].split()[1] in pii.GIVEN["m", "cyrillic"] and re.fullmatch("[0-9a-f]{40}", surrogate[8])
     assert got[2].text == "again " + surrogate[0] and got[6].text == out
     assert got[3].text is None and got[4].text == "" and got[5].text == "no entity here" and not got[5].entities
-    assert pii.pseudonymise(docs(spark, [])).count() == 0
+    assert pii.pseudonymise(docs(spark, []), KEY).count() == 0
     assert pii.pseudonymise(docs(spark, rows), key="other").filter("doc_id = 2").first().text != got[2].text
 
 
 def test_pii_collisions_redraw(spark):
     rows = [(i, f"host 1.{i % 9 + 1}.{i // 9 % 9 + 1}.{i // 81 + 1}") for i in range(500)]
-    got = {r.doc_id: r.entities[0].surrogate for r in pii.pseudonymise(docs(spark, rows)).collect()}
+    got = {r.doc_id: r.entities[0].surrogate for r in pii.pseudonymise(docs(spark, rows), KEY).collect()}
     assert len(set(got.values())) == 500
     assert not set(got.values()) & {t.split()[1] for _, t in rows}
+
+
+def test_pii_full_key_space_ends(spark):
+    """All addresses of four one-digit octets are real: surrogates get longer, and stay distinct and unreal."""
+    hosts = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    rows = [(i, " and ".join(hosts[81 * i : 81 * i + 81])) for i in range(81)]
+    got = [e.surrogate for r in pii.pseudonymise(docs(spark, rows), KEY).collect() for e in r.entities]
+    assert len(got) == len(set(got)) == 6561 and not set(got) & set(hosts)
+    assert all(all(0 < int(o) < 256 for o in g.split(".")) for g in got)
+
+
+def test_pii_one_person_one_surrogate(spark):
+    text = "Herr Anna Schmidt, Frau Anna Schmidt, Frau Anna Schmidt and Dr Anna Schmidt. Anna Schmidt left. Mrs. Schmidt stayed. Berta Schmidt"
+    rows = [(1, text), (2, "Mr. Max Schmidt met Anna Schmidt."), (3, "Anna Schmidt alone, +49 170 1234567 or +491701234567 or (499) 555-6503")]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, rows), KEY).collect()}
+    named = [e.surrogate for e in got[1].entities]
+    assert len(named) == 6 and [n.split()[0] for n in named[:4]] == ["Herr", "Frau", "Frau", "Dr"]
+    bare = {" ".join(n.split()[1:]) for n in named[:4]} | {named[4]}
+    assert len(bare) == 1 and bare.pop().split()[0] in pii.GIVEN["f", "latin"]
+    assert named[5].split()[1] == named[4].split()[1] and "Anna" not in got[1].text and got[1].text.endswith("Berta Schmidt")
+    assert got[2].entities[0].surrogate.split()[2] == named[4].split()[1]
+    phones = [e.surrogate for e in got[3].entities]
+    assert len(phones) == 3 and phones[0].replace(" ", "") == phones[1] and phones[0].startswith("+49 ") and phones[1] != "+491701234567"
+    assert re.fullmatch(r"\(\d{3}\) \d{3}-\d{4}", phones[2]) and got[3].text.startswith("Anna Schmidt alone")
+
+
+def test_pii_many_given_names_of_one_family(spark):
+    """More given names than there are to draw from stay apart, and a very long text is read to its end."""
+    given = sorted({prose(i, 1).capitalize() for i in range(60)})
+    rows = [(i, f"Ms {g} Miller") for i, g in enumerate(given)] + [(100, "word " * 200_000 + "Ms Zoe Miller")]
+    got = [r.entities[0].surrogate for r in pii.pseudonymise(docs(spark, rows), KEY).collect()]
+    assert len(set(got)) == len(given) + 1 and len({g.split()[-1] for g in got}) == 1 and not any("Miller" in g for g in got)
