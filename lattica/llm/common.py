@@ -7,33 +7,48 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: A side is broadcast only if it has at most so many rows of a few plain columns (about 24 bytes each).
+#: A side is broadcast only if it has at most so many rows and bytes, both measured.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 #: Bytes of text that are handled at once as arrays, and rows of text that cross to Python at once.
 SLICE = 1 << 18
 TEXT_ROWS = 4_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows, else unchanged (a shuffle join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def width(name: str, kind: DataType) -> Column:
+    """The bytes of a value: 8 of a plain one, the UTF-8 length of a string, the JSON text's of anything nested."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(F.col(name)), F.lit(0)).cast("long")
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(F.col(name)))), F.lit(0)).cast("long")
+    return F.lit(8).cast("long")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is measured to have at most ``rows`` rows and ``size`` bytes, else unchanged (a shuffle join)."""
+    total = sum((width(f.name, f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(total), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text: int | None = None, limit: int = SLICE) -> DataFrame:
     """mapInArrow with one function from a record batch to a dict of columns.
 
     ``text`` is the position of a column of texts: then a batch is handed over in slices of at most ``limit`` bytes of them (a
-    longer text alone), so that arrays of one number a byte stay small, and the session's batches are kept to TEXT_ROWS rows.
+    longer text alone), so that arrays of one number a byte stay small. Spark reads the size of its own batches from the session
+    when the query runs, so the session's setting is lowered to TEXT_ROWS rows, and stays so, unless it is lower already.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
-    if text is not None:
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    batches = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if text is not None and not 0 < int(df.sparkSession.conf.get(batches)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(batches, str(TEXT_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

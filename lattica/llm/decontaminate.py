@@ -92,25 +92,31 @@ def phrase_matches(index: DataFrame, docs: DataFrame, listed: DataFrame, width:
     placed = materialize(agreed.join(small(least), "item").filter("lists >= need").select("doc_id", "item", "shift"), "shifts")
     there = placed.select("doc_id").distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small(there), "doc_id", "left_semi")
-    compared = texts.select("doc_id", words(F.col("text")).alias("doc_words")).join(small(placed), "doc_id").join(small(listed.select("item", "words")), "item")
+    # one comparison a document and item, however many shifts: the text's words stand once
+    listed_shifts = materialize(placed.groupBy("doc_id", "item").agg(F.array_sort(F.collect_list("shift")).alias("shifts")), "shift-lists")
+    compared = texts.select("doc_id", F.transform(words(F.col("text")), folded).alias("doc_words")).join(small(listed_shifts), "doc_id").join(small(listed.select("item", "words")), "item")
     return _compared(compared, width)
 
 
 def _compared(rows: DataFrame, width: int) -> DataFrame:
-    """Word by word: at each item position, the run of equal words that ends there; a run of ``width`` is a window's end."""
+    """At each shift word by word: the run of equal words that ends at an item position; a run of ``width`` is a window's end."""
     n = F.size("words")
     need = F.least(n, F.lit(width))
-    low, high = F.greatest(F.lit(0), -F.col("shift")), F.least(n, F.size("doc_words") - F.col("shift")) - 1
-    equal = F.transform(F.sequence(low, high), lambda p: (folded(F.get("doc_words", p + F.col("shift"))) == F.get("words", p)).cast("int"))
-    fold = F.aggregate(
-        equal, F.struct(F.lit(0).alias("run"), low.alias("p"), F.array().cast("array<int>").alias("ends")),
-        lambda a, e: F.struct(
-            ((a["run"] + 1) * e).alias("run"), (a["p"] + 1).alias("p"),
-            F.when((a["run"] + 1) * e >= need, F.array_append(a["ends"], a["p"])).otherwise(a["ends"]).alias("ends"),
-        ),
-    )
-    found = rows.filter(low <= high).select("doc_id", "item", "shift", need.alias("width"), F.explode(fold["ends"]).alias("end"))
-    return found.select("doc_id", "item", (F.col("shift") + F.col("end") - F.col("width") + 1).alias("at"), "width")
+
+    def ends(shift: Column) -> Column:
+        low, high = F.greatest(F.lit(0), -shift), F.least(n, F.size("doc_words") - shift) - 1
+        return F.aggregate(
+            F.sequence(low, F.greatest(low, high)), F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("at")),
+            lambda a, p: F.struct(
+                F.when(equal(p, shift), a["run"] + 1).otherwise(0).alias("run"),
+                F.when(equal(p, shift) & (a["run"] + 1 >= need), F.array_append(a["at"], shift + p - need + 1)).otherwise(a["at"]).alias("at"),
+            ),
+            lambda a: a["at"],
+        )
+
+    equal = lambda p, shift: F.coalesce(F.get("doc_words", p + shift) == F.get("words", p), F.lit(False))
+    found = rows.select("doc_id", "item", need.alias("width"), F.explode(F.flatten(F.transform("shifts", ends))).alias("at"))
+    return found.select("doc_id", "item", "at", "width")
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
@@ -133,20 +139,32 @@ def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFr
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, percent: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, item_ids, contaminated) for every document.
+    """(doc_id, n_words, n_hit, item_ids, contaminated) for every document row.
 
-    Null and empty texts have no words; items without words match nothing; repeated items and documents each count as a row
-    of their own (two rows with one doc_id share their places). contaminated: n_hit > 0 and at least ``percent`` percent.
+    Rows are told apart by their text, of which alone the result is made: null and repeated ids are judged like any other.
+    Null and empty texts have no words; items without words match nothing; repeated items each count. contaminated:
+    n_hit > 0 and at least ``percent`` percent.
     """
     vocab = materialize(vocabulary(items, item_id, item_text), "vocabulary")
-    index = build_index(docs, vocab, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.octet_length(F.coalesce(F.col(text_col), F.lit("")))).alias("__text"), F.col(text_col).alias("text"))
+    index = build_index(rows, vocab, "__text", "text")
     listed = item_words(items, item_id, item_text)
-    found = materialize(phrase_matches(index, docs, listed, width, id_col=id_col, text_col=text_col).distinct(), "places")
+    found = materialize(phrase_matches(index, rows, listed, width, id_col="__text", text_col="text").distinct(), "places")
     hit = found.select("doc_id", F.explode(F.sequence("at", F.col("at") + F.col("width") - 1)).alias("pos"))
     hit = hit.groupBy("doc_id").agg(F.count_distinct("pos").alias("n_hit"))
     named = found.select("doc_id", "item").distinct().join(small(listed.select("item", "item_id")), "item")
     named = named.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("item_ids"))
-    sizes = index.filter("term_id = 0").select("doc_id", F.col("pos").cast("long").alias("n_words"))
-    out = sizes.join(hit.join(named, "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    sizes = index.filter("term_id = 0").groupBy(F.col("doc_id").alias("__text")).agg(F.max("pos").cast("long").alias("n_words"))
+    hits = materialize(hit.join(named, "doc_id").withColumnRenamed("doc_id", "__text"), "hits-by-text")
+    out = rows.select("doc_id", "__text").join(sizes, "__text").join(small(hits), "__text", "left")
+    out = out.select(F.col("doc_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WINDOW, percent: int = 5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the contaminated rows; a row goes by its text, whatever its id."""
+    keyed = docs.select(F.struct(F.xxhash64(text_col).alias("hash"), F.octet_length(text_col).alias("bytes")).alias("key"), F.col(text_col).alias("text"))
+    found = contamination(keyed, items, width, percent, "key", "text", item_id, item_text).filter("contaminated").select("key").distinct()
+    found = materialize(found.select(F.col("key.hash").alias("__hash"), F.col("key.bytes").alias("__bytes")), "contaminated")
+    marked = docs.withColumn("__hash", F.xxhash64(text_col)).withColumn("__bytes", F.octet_length(text_col))
+    return marked.join(small(found), ["__hash", "__bytes"], "left_anti").select(*docs.columns)
