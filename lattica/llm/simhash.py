@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
         return {id_col: batch.column(0), "fp": fps.view(np.int64)}
 
-    return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), run, f"{id_col} long, fp long")
+    return arrow_map(docs.select(F.col(id_col).cast("long"), text_col), run, f"{id_col} long, fp long", text=1)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
