@@ -6,15 +6,31 @@ the row and counted with map-side combining; no pair of rows of one key is ever
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.session import materialize
+
+
+#: Items of one key from which on its pairs are made block by block, in different tasks.
+BLOCK = 200
+
 
-def cooccurrence(links: DataFrame, key: str = "note_id", item: str = "tag_id") -> DataFrame:
-    """(a, b, n): in how many ``key`` groups two items stand together, a < b. Items of a group are distinct."""
+def cooccurrence(links: DataFrame, key: str = "note_id", item: str = "tag_id", block: int = BLOCK) -> DataFrame:
+    """(a, b, n): in how many ``key`` groups two items stand together, a < b. Items of a group are distinct.
+
+    A group of more than ``block`` items is cut into blocks; two blocks at a time make their pairs in a task of their own.
+    """
     sets = links.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("s"))
     pairs = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return sets.filter(F.size("s") > 1).select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    few = sets.filter((F.size("s") > 1) & (F.size("s") <= block)).select(F.inline(pairs))
+    starts = F.sequence(F.lit(1), F.size("s"), F.lit(block))
+    blocks = sets.filter(F.size("s") > block).select(key, F.posexplode(F.transform(starts, lambda i: F.slice("s", i, F.lit(block)))).alias("i", "part"))
+    two = blocks.select(key, "i", "part").join(blocks.select(key, F.col("i").alias("j"), F.col("part").alias("other")), key).filter("i <= j").repartition(key, "i", "j")
+    across = F.flatten(F.transform("part", lambda x: F.transform(F.filter("other", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return few.unionByName(two.select(F.inline(across))).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -100,16 +116,80 @@ def context_vectors(nodes: DataFrame, edges: DataFrame, dim: int) -> DataFrame:
     return out.select("id", F.transform("m", lambda x: x / F.when(F.col("len") > 0, F.col("len")).otherwise(1.0)).alias("context"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, label) communities: each round a node takes its neighbours' heaviest label, the least at a tie.
 
-    Stands in for Leiden communities, which the library leaves to an optional package; approximate by nature.
+    Ends when no label changes, or after ``rounds`` rounds (labels of a bipartite part may swap for ever). Stands in for
+    Leiden communities, which the library leaves to an optional package; approximate by nature.
     """
-    from lattica.session import materialize
-
     ways = both_ways(edges)
     labels = materialize(ways.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct(), "labels")
     for _ in range(rounds):
         votes = ways.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        labels = materialize(votes.groupBy(F.col("src").alias("id")).agg(F.max_by("label", F.struct("w", (-F.col("label")).alias("t"))).alias("label")), "labels")
+        fresh = materialize(votes.groupBy(F.col("src").alias("id")).agg(F.max_by("label", F.struct("w", (-F.col("label")).alias("t"))).alias("label")), "labels")
+        moved = fresh.join(labels.withColumnRenamed("label", "was"), "id").filter("label <> was")
+        labels = fresh
+        if moved.isEmpty():
+            break
     return labels
+
+
+def same_community_bump(edges: DataFrame, communities: DataFrame, bump: float = 0.1) -> DataFrame:
+    """``edges`` (src, dst, weight) with ``bump`` more weight, 1 at most, where both ends are of one community."""
+    of = lambda end: communities.select(F.col("id").alias(end), F.col("label").alias(f"__{end}"))
+    joined = edges.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    weight = F.when(F.col("__src") == F.col("__dst"), F.least(F.lit(1.0), F.col("weight") + bump)).otherwise(F.col("weight"))
+    return joined.withColumn("weight", weight).select(*edges.columns)
+
+
+def sibling_edges(edges: DataFrame, owner: DataFrame, closure: DataFrame) -> DataFrame:
+    """(parent, a, b, weight): tag edges summed between the two children of their lowest common ancestor, over the largest of the parent.
+
+    ``owner`` (tag_id, node_id) says where a tag is held, ``closure`` is trees.ancestors' table. Ends in one node, in nodes
+    of one line, or without a common ancestor give none. Sums run over pairs of leaves before they meet the closure.
+    """
+    at = lambda end: owner.select(F.col("tag_id").alias(end), F.col("node_id").alias(f"n{end}"))
+    leaves = edges.join(at("a"), "a").join(at("b"), "b").filter("na <> nb").groupBy("na", "nb").agg(F.sum("weight").alias("w"))
+    up = lambda end: closure.select(F.col("node_id").alias(f"n{end}"), F.col("ancestor_id").alias("parent"), F.col("distance").alias(f"d{end}"))
+    met = leaves.join(up("a"), "na").join(up("b"), ["nb", "parent"])
+    lowest = met.groupBy("na", "nb").agg(F.min_by(F.struct("parent", "da", "db", "w"), F.struct("da", "db")).alias("m")).select("na", "nb", "m.*").filter("da > 0 and db > 0")
+    child = lambda end: closure.select(F.col("node_id").alias(f"n{end}"), F.col("ancestor_id").alias(f"c{end}"), (F.col("distance") + 1).alias(f"d{end}"))
+    named = lowest.join(child("a"), ["na", "da"]).join(child("b"), ["nb", "db"])
+    total = named.groupBy("parent", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
+    top = total.groupBy("parent").agg(F.max("w").alias("top"))
+    return total.join(top, "parent").select("parent", "a", "b", F.round(F.col("w") / F.col("top"), 6).alias("weight"))
+
+
+def graph_view(regions: DataFrame, tags: DataFrame, links: DataFrame, signals: DataFrame, notes: DataFrame, note_tags: DataFrame, region_edges: DataFrame, tag_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the flat graph: typed projections of the tables, laid one below the other.
+
+    regions (id, parent_id, label, centrality), tags (id, region_id, label, centrality), links (tag_id, other_id),
+    signals (id, owner_id, home, label, severity), notes (id, region_id, label, primary_tag), note_tags (note_id, tag_id),
+    region_edges and tag_edges (a, b, weight). A signal with several owners is one node with an edge from each.
+    """
+    lit = lambda v: F.lit(v)
+
+    def node(rows, kind, home, layer, centrality):
+        return rows.select(F.col("id"), lit(kind).alias("type"), "label", home.alias("home"), lit(layer).alias("layer"), centrality.cast("double").alias("centrality"))
+
+    def edge(rows, src, dst, kind, weight, provenance, confidence):
+        value = lambda v: v if isinstance(v, Column) else F.lit(v)
+        return rows.select(F.col(src).alias("src"), F.col(dst).alias("dst"), lit(kind).alias("type"), value(weight).cast("double").alias("weight"), lit(provenance).alias("provenance"), value(confidence).cast("double").alias("confidence"))
+
+    known = signals.groupBy("id").agg(F.min("label").alias("label"), F.min("home").alias("home"), F.max("severity").alias("severity"))
+    counted = notes.join(note_tags.groupBy(F.col("note_id").alias("id")).agg(F.count("*").alias("n")), "id", "left")
+    nodes = [
+        node(regions, "region", F.col("id"), 3, F.col("centrality")), node(tags, "tag", F.col("region_id"), 2, F.col("centrality")),
+        node(known, "signal", F.col("home"), 2, F.col("severity")), node(counted, "note", F.col("region_id"), 0, F.coalesce("n", lit(0))),
+    ]
+    tagged = note_tags.join(notes.select(F.col("id").alias("note_id"), "primary_tag"), "note_id")
+    primary = F.col("tag_id") == F.col("primary_tag")
+    clipped = F.greatest(lit(0.3), F.least(lit(1.0), F.col("weight")))
+    edges = [
+        edge(regions.filter("parent_id IS NOT NULL"), "parent_id", "id", "contains", 1.0, "extracted", 1.0), edge(tags, "region_id", "id", "contains", 1.0, "extracted", 1.0),
+        edge(links, "tag_id", "other_id", "linked-to", 0.5, "inferred", 0.5),
+        edge(signals, "owner_id", "id", "has-signal", F.greatest(lit(0.35), F.least(lit(1.0), F.col("severity") / 100)), "extracted", 1.0),
+        edge(tagged, "note_id", "tag_id", "belongs-to", F.when(primary, 1.0).otherwise(0.7), "extracted", F.when(primary, 1.0).otherwise(0.85)),
+        edge(region_edges, "a", "b", "region-rel", F.col("weight"), "inferred", clipped), edge(tag_edges, "a", "b", "co-occurs", F.col("weight"), "inferred", clipped),
+    ]
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)

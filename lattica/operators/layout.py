@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators.ranking import positions
 from lattica.operators.retrieval import _held
 from lattica.session import materialize
 
@@ -85,12 +86,18 @@ def diffuse(heights: DataFrame, rounds: int, rate: float = 0.5) -> DataFrame:
     return now
 
 
+#: Regions that one map can hold.
+MAP_REGIONS = 2_000
+
+
 def semantic_positions(centres: DataFrame, radius: float = 120.0, name: str = "region") -> DataFrame:
     """(region, x, z): classical scaling of the centroids' cosine distances, the largest region at the origin.
 
-    ``centres`` has (region, centroid, n): the k regions of one map, at most QUERY_ROWS of them.
+    ``centres`` has (region, centroid, n): the regions of one map, at most MAP_REGIONS of them (a dense table of their
+    distances is 32 MB then); a larger map is laid out level by level.
     """
-    _held(centres)
+    if centres.count() > MAP_REGIONS:
+        raise ValueError(f"more than {MAP_REGIONS} regions on one map: lay them out level by level")
     rows = sorted(centres.select(name, "centroid", "n").collect())  # k regions
     if not rows:
         return centres.select(name, F.lit(0.0).alias("x"), F.lit(0.0).alias("z"))
@@ -185,3 +192,32 @@ def balanced_owners(grid: DataFrame, regions: DataFrame, amplitude: float, round
         gap = held.join(offsets, "region").join(share, "region", "left").select("region", (F.col("offset") + rate * step * step * (F.col("want") - F.coalesce("have", F.lit(0.0)))).alias("offset"))
         offsets = materialize(gap, "offsets")
     return owners
+
+
+#: Fixed value: radians by which a hash moves a node on its ring at most.
+JITTER = 0.4
+
+
+def ring_positions(nodes: DataFrame, radius: float = 120.0, id_col: str = "id") -> DataFrame:
+    """(id, x, z): nodes around a disc in the order of their ids, on three rings, each angle moved by a little of the id's hash."""
+    count = nodes.select(id_col).distinct().count()
+    placed = positions(nodes.select(id_col).distinct(), [F.col(id_col)])
+    index = F.col("pos") - 1
+    share = F.conv(F.substring(F.sha2(F.col(id_col).cast("string"), 256), 1, 4), 16, 10).cast("double") / 65535
+    angle = 2 * math.pi * index / max(count, 1) + share * JITTER
+    ring = radius * (0.45 + 0.45 * ((index % 3) / 2 if count > 3 else F.lit(0.4)))
+    return placed.select(id_col, F.round(F.cos(angle) * ring, 3).alias("x"), F.round(F.sin(angle) * ring, 3).alias("z"))
+
+
+def rescale_centres(regions: DataFrame, radius_k: float = 1.0, fill: float = 0.5, stretch: float = 1.0) -> DataFrame:
+    """``regions`` (level, x, z, tag_count, ...) with all centres scaled alike, so that the top level's spread fits a disc of its areas over ``fill``.
+
+    Fewer than two top regions, or all in one place, stay as they are.
+    """
+    top = regions.filter("level = 0")
+    middle = top.agg(F.avg("x").alias("mx"), F.avg("z").alias("mz"))  # one row
+    spread = top.crossJoin(F.broadcast(middle)).agg(
+        F.count("*").alias("n"), F.max(F.hypot(F.col("x") - F.col("mx"), F.col("z") - F.col("mz"))).alias("extent"),
+        F.sum(radius_k * radius_k * F.greatest(F.col("tag_count"), F.lit(1))).alias("area"))  # one row
+    scale = F.when((F.col("n") > 1) & (F.col("extent") >= 1e-6), F.sqrt(F.col("area") / fill) / F.col("extent") * stretch).otherwise(1.0)
+    return regions.crossJoin(F.broadcast(spread.select(scale.alias("__scale")))).withColumn("x", F.col("x") * F.col("__scale")).withColumn("z", F.col("z") * F.col("__scale")).drop("__scale")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import cosine, dot, norm
+from lattica.operators.ranking import running
 
 #: A stated set of queries or centroids is held by every task only up to so many rows.
 QUERY_ROWS = 20_000
@@ -96,33 +97,48 @@ def within_budget(items: DataFrame, group: str, order: list[Column], text: str,
     return kept.withColumn(text, F.substr(F.col(text), F.lit(1), (budget - F.col("before")).cast("int"))).drop("nth", "before")
 
 
+def mean_ranks(counts: DataFrame, value: str) -> DataFrame:
+    """``counts`` (value, n, ...) with rank: the mean rank of each value's rows, by range partitions."""
+    return running(counts, [F.col(value)], {"__to": "n"}).withColumn("rank", F.col("__to") - F.col("n") + (F.col("n") + 1) / 2).drop("__to")
+
+
 def auc(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve of (score, positive): the rank sum, ties at their mean rank; one row.
 
     Scores are counted by value first, and ranks run over the distinct scores in range partitions' order.
     """
     counts = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("positive").cast("long")).alias("p"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("rank", below + (F.col("n") + 1) / 2)
-    s = ranks.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
+    s = mean_ranks(counts, "score").agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return s.select(F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q")), 6).alias("auc"))
 
 
 def best_threshold(scored: DataFrame) -> DataFrame:
     """(threshold, accuracy): the least cut with the best accuracy of score >= cut; one row."""
-    counts = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("positive").cast("long")).alias("p"))
-    over = Window.orderBy(F.desc("score"))
-    at = counts.select("score", F.sum("p").over(over).alias("tp"), F.sum(F.col("n") - F.col("p")).over(over).alias("fp"))
+    counts = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("positive").cast("long")).alias("p")).withColumn("q", F.col("n") - F.col("p"))
+    at = running(counts, [(F.col("score"), "desc")], {"tp": "p", "fp": "q"})
     total = scored.agg(F.count("*").alias("all"), F.sum(F.col("positive").cast("long")).alias("pos"))
     right = (F.col("tp") + F.col("all") - F.col("pos") - F.col("fp")) / F.col("all")
-    return at.crossJoin(F.broadcast(total)).select(F.col("score").alias("threshold"), F.round(right, 6).alias("accuracy")).orderBy(F.desc("accuracy"), "threshold").limit(1)
+    return at.crossJoin(F.broadcast(total)).select(F.col("score").alias("threshold"), F.round(right, 6).alias("accuracy")).orderBy(F.desc("accuracy"), "threshold").limit(1)  # one row
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation of two columns with mean ranks at ties; one row. Ranks come from counts by value."""
     def ranked(c: str) -> DataFrame:
-        counts = rows.groupBy(c).agg(F.count("*").alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(c, (below + (F.col("n") + 1) / 2).alias(f"r_{c}"))
+        return mean_ranks(rows.groupBy(c).agg(F.count("*").alias("n")), c).select(c, F.col("rank").alias(f"r_{c}"))
 
     return rows.join(ranked(x), x).join(ranked(y), y).agg(F.round(F.corr(f"r_{x}", f"r_{y}"), 6).alias("rho"))
+
+
+def hit_rate(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(questions, hits, rate, mean_first_rank) of ranked results (query_id, id, rank) against (query_id, id) wanted; one row.
+
+    A question is hit if any wanted id is among its results; its first rank is the best of those.
+    """
+    first = found.join(wanted.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+    asked = wanted.select("query_id").distinct().join(first, "query_id", "left")
+    return asked.agg(F.count("*").alias("questions"), F.count("first").alias("hits"), F.round(F.count("first") / F.count("*"), 6).alias("rate"), F.round(F.avg("first"), 6).alias("mean_first_rank"))
+
+
+def blend(context: Column, raw: Column, share: float = 0.7) -> Column:
+    """``share`` of the context vector and the rest of the raw one; either alone if the other is missing."""
+    return F.coalesce(F.zip_with(context, raw, lambda x, y: share * x + (1 - share) * y), context, raw)

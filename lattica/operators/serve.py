@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.functions.display import cron_fires
+
 
 # Graph restriction and retrieval seeds --------------------------------------------------------------------------------
 
@@ -191,3 +193,14 @@ def checkbox_done(content: Column, draft: Column, stopwords: list[str]) -> Colum
                          lambda s: F.struct(F.when(F.size(s["w"]) > 0, F.size(F.array_intersect(s["w"], words(draft))) / F.size(s["w"])).otherwise(0.0).alias("o"), s["done"].alias("done")))
     best = F.aggregate(scored, F.struct(F.lit(0.0).alias("o"), F.lit(False).alias("done")), lambda a, s: F.when(s["o"] > a["o"], s).otherwise(a))
     return (best["o"] >= 0.5) & best["done"]
+
+
+def missed_fires(schedules: DataFrame, now: Column, lookback_days: int) -> DataFrame:
+    """(id, cron, last, missed): the first minute after the last completed run, or in the lookback, at which a schedule fired by ``now``; else null.
+
+    A schedule's minutes are made inside its row, lookback_days * 1440 at most; a cron line that does not parse never fires.
+    """
+    floor = F.greatest(F.coalesce("last", now - F.make_dt_interval(F.lit(lookback_days))), now - F.make_dt_interval(F.lit(lookback_days)))
+    begin = F.date_trunc("minute", floor) + F.make_dt_interval(mins=F.lit(1))
+    minutes = F.when(begin <= now, F.sequence(begin, now, F.make_dt_interval(mins=F.lit(1)))).otherwise(F.array().cast("array<timestamp>"))
+    return schedules.withColumn("missed", F.get(F.filter(minutes, lambda t: cron_fires(F.col("cron"), t)), F.lit(0)))

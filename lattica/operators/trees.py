@@ -68,3 +68,30 @@ def one_sided(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that only one of two link tables has: empty if they agree both ways."""
     l, r = left.select(*keys).distinct().withColumn("l", F.lit(1)), right.select(*keys).distinct().withColumn("r", F.lit(1))
     return l.join(r, keys, "full_outer").filter("l is null or r is null").select(*keys, F.when(F.col("l").isNull(), "right").otherwise("left").alias("side"))
+
+
+def walk_down(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node_id, depth): everything below each root, the root at depth 0, breadth first; a loop is walked once."""
+    level = materialize(roots.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("depth")).distinct(), "walk")
+    out, depth = level, 0
+    children = edges.select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("child"))
+    while True:
+        depth += 1
+        below = level.join(children, "node_id").select("root", F.col("child").alias("node_id"), F.lit(depth).alias("depth")).distinct()
+        level = materialize(below.join(out.select("root", "node_id"), ["root", "node_id"], "left_anti"), "walk")
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+
+
+def pruned(closure: DataFrame, leaves: DataFrame, hit: Column) -> DataFrame:
+    """(node_id, n): the containers that stay open when leaves (region_id, ...) are filtered by ``hit``, with the leaves left below."""
+    own = leaves.filter(hit).groupBy(F.col("region_id").alias("node_id")).agg(F.count("*").alias("n"))
+    return closure.join(own, "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.sum("n").alias("n"))
+
+
+def container_roots(rows: DataFrame, path: Column, group: str) -> DataFrame:
+    """(root, n, depth, members): the first container of each path, its rows, its deepest path and its distinct groups; rows without one are under ""."""
+    p = F.filter(path, lambda x: F.coalesce(x != "", F.lit(False)))
+    listed = rows.select(F.coalesce(F.get(p, F.lit(0)), F.lit("")).alias("root"), F.size(p).alias("d"), group)
+    return listed.groupBy("root").agg(F.count("*").alias("n"), F.max("d").alias("depth"), F.count_distinct(group).alias("members"))

@@ -117,10 +117,10 @@ def last_harvest(spark, sf_dir) -> DataFrame:
     return o.groupBy("source").agg(F.max(F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate"))).alias("last_harvest"), F.count("*").alias("runs"))
 
 
-@query("SELECT source, lang, count(*) AS n FROM documents WHERE lower(substr(text, 1, 200)) LIKE '%the%' GROUP BY source, lang")
+@query("SELECT source, lang, count(*) AS n FROM documents WHERE lower(text) LIKE '%the%' GROUP BY source, lang")
 def document_search(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.filter(F.lower(F.substring("text", 1, 200)).contains("the")).groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return d.filter(F.lower("text").contains("the")).groupBy("source", "lang").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT doc_id AS from_id, lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS to_id FROM documents QUALIFY to_id IS NOT NULL""")
@@ -452,11 +452,11 @@ def budgeted_expansion(spark, sf_dir) -> DataFrame:
     return retrieval.within_budget(c, "conv_id", [F.col("turn")], "text", "role", 3, 4000).select("conv_id", "turn", "role", "text")
 
 
-SCOREDL = "s AS (SELECT least(length(text), 5000) AS score, toxic = 1 AS positive FROM documents JOIN labels USING (doc_id))"
+SCOREDL = "s AS (SELECT length(text)::INT AS score, toxic = 1 AS positive FROM documents JOIN labels USING (doc_id))"
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.least(F.char_length("text"), F.lit(5000)).alias("score"), (F.col("toxic") == 1).alias("positive"), "quality")
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.char_length("text").alias("score"), (F.col("toxic") == 1).alias("positive"), "quality")
 
 
 @query(with_(SCOREDL, "c AS (SELECT score, count(*) AS n, sum(positive::INT) AS p FROM s GROUP BY score)", "r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM c)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import columns as C
-from lattica.operators import graph, serve, trees
+from lattica.operators import graph, ranking, serve, trees
 from lattica.plans.queries import CLOSURE, COS, DEGREE, ORACLE, PAIRS, QUERIES, STRONG, _strong, query, rec, with_
 from lattica.session import table
 from lattica.sources import derived as D
@@ -171,11 +171,11 @@ def hash_ids(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY try_cast(cell AS DOUBLE) NULLS LAST, cell, p_partkey) AS pos FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size::VARCHAR ELSE p_name END AS cell FROM part) ORDER BY pos LIMIT 200")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY try_cast(cell AS DOUBLE) NULLS LAST, cell, p_partkey) AS pos FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size::VARCHAR ELSE p_name END AS cell FROM part)")
 def sheet_order(spark, sf_dir) -> DataFrame:
     cells = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string")).otherwise(F.col("p_name")).alias("cell"))
-    top = cells.orderBy(*serve.numeric_first("cell"), "p_partkey").limit(200)
-    return top.select("p_partkey", F.row_number().over(Window.orderBy(*serve.numeric_first("cell"), "p_partkey")).cast("long").alias("pos"))
+    number = F.expr("try_cast(cell AS double)")
+    return ranking.positions(cells, [(number, "asc_nulls_last"), F.col("cell"), F.col("p_partkey")]).select("p_partkey", "pos")
 
 
 @query("""SELECT p_partkey, array_to_string(list_filter(range(1, length(p_name)), lambda i: substr(lower(p_name), i, 1) = 'a'), ',') AS at FROM (SELECT p_partkey, p_name || ' ' AS p_name FROM part) WHERE contains(lower(p_name), 'a')""")

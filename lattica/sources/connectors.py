@@ -390,3 +390,72 @@ def channel_day_markdown(messages: DataFrame, names: DataFrame) -> DataFrame:
     out = rows.groupBy("channel", "day").agg(F.count("*").alias("n"), F.count_distinct("who").alias("people"), listed.alias("l"))
     head = F.concat(F.lit("# "), F.col("channel"), F.lit(" — "), F.col("day").cast("string"), F.lit(" ("), F.col("n").cast("string"), F.when(F.col("n") == 1, " message, ").otherwise(" messages, "), F.col("people").cast("string"), F.when(F.col("people") == 1, " person)").otherwise(" people)"))
     return out.select("channel", "day", F.concat_ws("\n", head, F.lit(""), F.array_join(F.transform("l", lambda x: x["b"]), "\n")).alias("markdown"))
+
+
+# Tracker issues, comments and attachments ------------------------------------------------------------------------------
+
+#: The names of the estimate field, the preferred one first.
+POINTS_NAMES = ["story point estimate", "story points"]
+ISSUE = (
+    "key string, fields struct<summary: string, status: struct<name: string>, project: struct<key: string>, issuetype: struct<name: string>, labels: array<string>, assignee: struct<displayName: string>, "
+    "updated: string, description: string, comment: struct<comments: array<struct<created: string, author: struct<displayName: string>, body: string>>>>"
+)
+
+
+def points_field(fields: DataFrame) -> DataFrame:
+    """(site, field_id): each site's estimate field by name, the preferred name first, its first listed field; rows (site, pos, id, name)."""
+    name = F.lower(F.trim("name"))
+    rank = F.array_position(F.array(*map(F.lit, POINTS_NAMES)), name)
+    return fields.filter(name.isin(POINTS_NAMES) & F.col("id").isNotNull()).groupBy("site").agg(F.min_by("id", F.struct(rank, F.col("pos"))).alias("field_id"))
+
+
+def issue_markdown(issues: DataFrame, base_url: str | None = None) -> DataFrame:
+    """(source_id, markdown) of issue rows in ISSUE's shape: ordered frontmatter, heading, description, comments by time.
+
+    Frontmatter fields without a value are left out.
+    """
+    f = lambda name: F.col("fields." + name)
+    quote = lambda v: F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    values = [("key", F.col("key")), ("summary", f("summary")), ("status", f("status.name")), ("project_key", f("project.key")), ("issue_type", f("issuetype.name")), ("assignee", f("assignee.displayName")), ("updated", f("updated"))]
+    if base_url:
+        values.append(("url", F.concat(F.lit(base_url.rstrip("/") + "/browse/"), F.col("key"))))
+    lines = [F.when(v.isNotNull() & (v != ""), F.concat(F.lit(k + ": "), quote(v))) for k, v in values]
+    labels = F.when(F.size(f("labels")) > 0, F.concat(F.lit("labels: ["), F.array_join(F.transform(f("labels"), quote), ", "), F.lit("]")))
+    front = F.concat_ws("\n", F.lit("---"), *lines, labels, F.lit("---"))
+    key, summary = F.coalesce("key", F.lit("")), F.coalesce(f("summary"), F.lit(""))
+    heading = F.concat(F.lit("# "), F.when((key != "") & (summary != ""), F.concat(key, F.lit(" — "), summary)).otherwise(F.concat(key, summary)))
+    text = F.trim(F.coalesce(f("description"), F.lit("")))
+    said = F.array_sort(F.transform(F.coalesce(f("comment.comments"), F.array().cast("array<struct<created: string, author: struct<displayName: string>, body: string>>")), lambda c: F.struct(
+        F.coalesce(c["created"], F.lit("")).alias("at"), F.coalesce(c["author"]["displayName"], F.lit("Unknown")).alias("who"), F.coalesce(c["body"], F.lit("")).alias("body"))))
+    comments = F.transform(said, lambda c: F.concat_ws("\n", F.concat(F.lit("### "), c["at"], F.lit(" — "), c["who"]), F.when(F.trim(c["body"]) != "", c["body"])))
+    body = F.concat_ws("\n", heading, F.lit(""), F.lit("## Description"), F.when(text == "", "(no description)").otherwise(text), F.when(F.size(said) > 0, F.concat_ws("\n", F.lit(""), F.lit("## Comments"), F.array_join(comments, "\n"))))
+    return issues.select(F.col("key").alias("source_id"), F.concat(front, F.lit("\n"), F.regexp_replace(body, r"\n{3,}", "\n\n"), F.lit("\n")).alias("markdown"))
+
+
+COMMENTS = "results array<struct<id: string, discussion_id: string, parent: struct<type: string, page_id: string, block_id: string>, created_time: timestamp, created_by: struct<id: string>, rich_text: array<struct<plain_text: string>>>>"
+
+
+def comment_rows(payloads: DataFrame) -> DataFrame:
+    """One row a comment: ids, parent, author, time, text of its pieces joined."""
+    c = payloads.select(F.explode("results").alias("c"))
+    return c.select(
+        F.col("c.id").alias("comment_id"), "c.discussion_id", F.col("c.parent.type").alias("parent_type"), F.coalesce("c.parent.page_id", "c.parent.block_id").alias("parent_id"),
+        F.col("c.created_time").alias("created_at"), F.col("c.created_by.id").alias("created_by"), F.array_join(F.col("c.rich_text.plain_text"), "").alias("text"),
+    )
+
+
+ATTACHMENTS = "page_id string, results array<struct<id: string, title: string, extensions: struct<mediaType: string, fileSize: long>, metadata: struct<mediaType: string>, _links: struct<download: string>>>"
+
+
+def attachment_rows(payloads: DataFrame, base_url: str) -> DataFrame:
+    """(source_id, filename, url, mime_type, size) by owning page; attachments without a download link cannot be fetched and are left out."""
+    a = payloads.select("page_id", F.explode("results").alias("a")).filter("a._links.download IS NOT NULL AND a._links.download <> ''")
+    link = F.col("a._links.download")
+    url = F.when(link.rlike("^https?://"), link).otherwise(F.concat(F.lit(base_url.rstrip("/") + "/"), F.regexp_replace(link, "^/+", "")))
+    return a.select(F.col("page_id").alias("source_id"), F.coalesce("a.title", "a.id", F.lit("attachment")).alias("filename"), url.alias("url"), F.coalesce("a.extensions.mediaType", "a.metadata.mediaType").alias("mime_type"), F.col("a.extensions.fileSize").alias("size"))
+
+
+def named_users(rows: DataFrame, names: DataFrame, user: str = "user_id") -> DataFrame:
+    """``rows`` with user_name: the dimension's, else the id itself, as for a user who cannot be looked up."""
+    known = names.select(F.col("id").alias(user), F.col("name").alias("user_name")).dropDuplicates([user])
+    return rows.join(known, user, "left").withColumn("user_name", F.coalesce("user_name", F.col(user)))
