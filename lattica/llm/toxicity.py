@@ -37,7 +37,7 @@ GRAM = 3
 LONG, PIECE = 14, 6
 DISCOUNT = 0.75
 MARGIN = 1.0
-HOT_KEYS = 1_500_000
+HOT_KEYS = 2_000_000
 FILTER_BITS = 30
 #: At most so many labelled rows fit the calibration weights.
 CALIBRATION_ROWS = 20_000
@@ -167,7 +167,8 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
 
     one = words.select(F.col("word").alias("key"), F.col("both").alias("n"), (F.log(F.col("p_toxic") / F.col("p_ordinary")) - unknown).alias("value"))
     two = contexts.select("context", (F.col("all_toxic") + F.col("all_ordinary")).alias("n"), F.log(lost("toxic") / lost("ordinary")).alias("value"))
-    rows = counts.filter("toxic > 1 OR ordinary > 1").join(contexts, "context").join(words, "word")
+    often = contexts.filter("all_toxic > 1 OR all_ordinary > 1")
+    rows = counts.filter("toxic > 1 OR ordinary > 1").join(often, "context").join(words, "word")
 
     def whole(c: str) -> Column:
         own = F.when(F.col(f"all_{c}") > 0, (F.col(c) - freed(F.col(c))) / F.col(f"all_{c}")).otherwise(0.0)
@@ -184,7 +185,7 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
         return run
 
     table = one.unionByName(arrow_map(two, keyed(1), "key long, n long, value double")).unionByName(arrow_map(three, keyed(2), "key long, n long, value double"))
-    return table.select("key", "n", F.col("value").cast("float").alias("value")).filter("value <> 0"), unknown
+    return table.select("key", "n", F.col("value").cast("float").alias("value")).filter(F.abs("value") > 1e-6), unknown
 
 
 class KeyTable:
@@ -252,16 +253,19 @@ def evidence(docs: DataFrame, table: KeyTable, unknown: float, text_col: str, co
                 maybe[maybe] = marks[(p[maybe] >> np.uint64(3)).astype(np.int64)] >> (p[maybe] & np.uint64(7)).astype(np.uint8) & 1 == 1
             rest.append((row[maybe], key[maybe]))
         where, key = (np.concatenate(v) for v in zip(*rest))
-        order = np.argsort(where, kind="stable")
-        edges = np.searchsorted(where[order], np.arange(n + 1))
-        lists = [key[order][a:b].view(np.int64) for a, b in zip(edges[:-1], edges[1:])]
+        order = np.lexsort((key, where))
+        where, key = where[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(key)))
+        edges = np.searchsorted(where[first], np.arange(n + 1))
+        lists = [[{"key": k, "times": t} for k, t in zip(key[first[a:b]].view(np.int64).tolist(), times[a:b].tolist())] for a, b in zip(edges[:-1], edges[1:])]
         return {"__row": batch.column(0)} | {c: batch.column(names.index(c)) for c in columns} | {"__x": x, "__over": over, "__n": words, "__rest": lists}
 
     kept = ", ".join(["__row long", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)])
-    found = materialize(arrow_map(rows, run, f"{kept}, __x double, __over double, __n long, __rest array<long>", text=at), "evidence")
-    times = found.select("__row", F.explode("__rest").alias("key")).groupBy("__row", "key").count()
+    found = materialize(arrow_map(rows, run, f"{kept}, __x double, __over double, __n long, __rest array<struct<key: long, times: long>>", text=at), "evidence")
+    times = found.select("__row", F.inline("__rest"))
     more = times.join(table.rest, "key").groupBy("__row").agg(
-        F.sum(F.col("count") * F.col("value")).alias("__more"), F.sum(F.col("count") * F.greatest(F.col("value") - MARGIN, F.lit(0))).alias("__above"))
+        F.sum(F.col("times") * F.col("value")).alias("__more"), F.sum(F.col("times") * F.greatest(F.col("value") - MARGIN, F.lit(0))).alias("__above"))
     n, zero = F.greatest("__n", F.lit(1)), F.lit(0.0)
     joined = found.drop("__rest").join(small(materialize(more, "rare-evidence")), "__row", "left")
     return joined.select(*columns, ((F.col("__x") + F.coalesce("__more", zero)) / n).alias("__x"), ((F.col("__over") + F.coalesce("__above", zero)) / n).alias("__over"), "__n")
