@@ -358,12 +358,24 @@ def test_line_dedup_matches_brute_force(spark, dense, monkeypatch):
         degree[b] += 1
     text = {(i, k): line for i, k, line in lines}
     assert all(r.n_links == degree[first[text[r.doc_id, r.line_no]]] for r in got)
-    assert all(r.kept == ((r.doc_id, r.line_no) == (r.first_doc_id, r.first_line_no) or r.n_chars < 20) for r in got)
+    word = lambda r: re.search(r"\w", text[r.doc_id, r.line_no])
+    assert all(r.kept == ((r.doc_id, r.line_no) == (r.first_doc_id, r.first_line_no) or not word(r)) for r in got)
     kept = {(r.doc_id, r.line_no) for r in got if r.kept}
     cleaned = {r.doc_id: r.text for r in linededup.drop_duplicate_lines(docs(spark, rows)).collect()}
     assert cleaned == {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) in kept) for i, t in rows}
 
 
+def test_line_dedup_of_short_and_common_lines(spark):
+    """Copies of short lines go like others, lines without a letter or digit stay; one line in most documents is salted."""
+    rows = [(i, f"Read more\n\n---\n{prose(800 + i, 8)}\n}}") for i in range(60)]
+    got = linededup.near_duplicate_lines(docs(spark, rows)).collect()
+    kept = {(r.doc_id, r.line_no) for r in got if r.kept}
+    assert kept == {(i, k) for i in range(60) for k in range(5) if i == 0 or k}
+    assert {r.copies for r in got if r.line_no == 0} == {60}
+    with pytest.raises(Exception, match="0 to 2"):
+        linededup.near_duplicate_lines(docs(spark, [(1 << 39, "some line")])).collect()
+
+
 def test_line_dedup_empty_and_null_ids(spark):
     assert linededup.near_duplicate_lines(docs(spark, [])).count() == 0
     got = linededup.near_duplicate_lines(docs(spark, [(None, BASE), (1, BASE)])).collect()
@@ -399,7 +411,7 @@ def plain_suffix(rows):
 
 @pytest.mark.parametrize("block", [40_000, 1])
 def test_suffix_dedup_matches_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(suffixdedup, "BLOCK", block)
+    monkeypatch.setattr(suffixdedup, "BLOCK", block)  # 1: every anchor is hot and split
     rows = [*ROWS, (40, LONG[300:390] + LONG[5000:5120] + BASE[:99]), (41, "é" * 80 + BASE[3:150]), (42, ("ab" * 70 + "\n") * 3), (43, BASE[50:149]), (44, BASE[50:150])]
     got = {r.doc_id: (bytes(r.kept), len(r.spans)) for r in suffixdedup.deduplicate(docs(spark, rows)).collect()}
     assert got == plain_suffix(rows)
@@ -443,6 +455,68 @@ def test_chaining_matches_every_pair(spark):
     assert got[149].n_passages == 149 and 88 <= got[149].n_words <= 92 and got[0].n_words == 0
 
 
+def alike(a, b):
+    """Whether two lists share a passage: some windows of 50 to 90 words with a common subsequence of four fifths."""
+    return any(chaining.similarity(a[i : i + n], b[j : j + n]) >= 0.8 for n in (50, 60, 75) for i in range(0, len(a) - n + 1, 5) for j in range(0, len(b) - n + 1, 5))
+
+
+def test_chaining_counts_links_of_edited_families(spark, monkeypatch):
+    """Families whose members differ from each other by up to a third of their words: counts are those of all pairs aligned."""
+    rng = random.Random(9)
+    rows = []
+    for family in range(3):
+        base = prose(600 + family, 110).split()
+        for m in range(14):
+            words = list(base)
+            for _ in range(rng.choice([0, 2, 4, 9, 14])):
+                words[rng.randrange(len(words))] = prose(rng.randrange(10**6), 1) + "q"
+            rows.append((100 * family + m, " ".join(words)))
+    got = {r.doc_id: r for r in chaining.shared_passages(docs(spark, rows)).collect()}
+    monkeypatch.setattr(chaining, "cliques_of", lambda found: found.select("doc_id", F.lit(None).cast("long").alias("c1"), F.lit(None).cast("long").alias("c2")).limit(0))
+    plain = {r.doc_id: r for r in chaining.shared_passages(docs(spark, rows)).collect()}
+    assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (r.class_id, r.n_links) for i, r in plain.items()}
+    texts = {i: t.split() for i, t in rows}
+    true = {(i, j) for i in texts for j in texts if i < j and alike(texts[i], texts[j])}
+    assert sum(r.n_links for r in got.values()) / 2 >= 0.9 * len(true)
+
+
+def test_chaining_parts_of_a_passage_elsewhere(spark):
+    """Overlapping parts of a passage in documents before and between do not hide that two documents share all of it."""
+    p = prose(700, 90).split()
+    around = lambda i, t: (i, f"{prose(710 + 2 * i, 40)} {' '.join(t)} {prose(711 + 2 * i, 40)}")
+    rows = [around(10, p), around(20, p)] + [around(i, p[a : a + 40]) for i, a in ((1, 0), (2, 25), (3, 50), (11, 0), (12, 25), (13, 50))]
+    got = {r.doc_id: r for r in chaining.shared_passages(docs(spark, rows)).collect()}
+    assert got[20].class_id == got[10].class_id == 10 and got[10].n_links == got[20].n_links == 1
+    assert all(got[i].n_links == 0 for i in (1, 2, 3, 11, 12, 13))
+
+
+def test_chaining_edits_near_the_ends_and_odd_rows(spark):
+    p = prose(720, 55).split()
+    near = list(p)
+    near[5], near[49] = "changedone", "changedtwo"
+    every = prose(721, 90).split()
+    often = [w if k % 8 else "x" + w for k, w in enumerate(every)]
+    wide = " ".join("ж" * 20 + w for w in prose(722, 52).split())
+    rows = [(1, prose(730, 30) + " " + " ".join(p) + " " + prose(731, 30)), (2, prose(732, 30) + " " + " ".join(near) + " " + prose(733, 30)), (3, " ".join(every)), (4, " ".join(often)), (5, "a " + wide), (6, "b b " + wide)]
+    rows += [(7, prose(734, 60_000) + " " + " ".join(p)), (8, prose(735, 60)), (8, prose(735, 60)), (9, prose(736, 60)), (9, prose(737, 60)), (None, prose(735, 60)), (None, None)]
+    got = defaultdict(list)
+    for r in chaining.shared_passages(docs(spark, rows)).collect():
+        got[r.doc_id].append(r)
+    assert got[2][0].class_id == got[7][0].class_id == 1 and got[1][0].n_links == 2 and got[2][0].n_words >= 50
+    assert got[4][0].class_id == 3 and got[6][0].class_id == 5 and got[6][0].n_words == 52
+    assert [r.n_links for r in got[8]] == [0, 0] and [r.class_id for r in got[9]] == [9, 9]
+    assert [(r.class_id, r.n_links) for r in got[None]] == [(None, 0), (None, 0)]
+
+
+def test_chains_look_past_a_far_best_chain():
+    import numpy as np
+
+    # a long chain that stands too far before must not hide the near one
+    x = np.concatenate([np.arange(0, 201, 5), np.arange(265, 286, 5), np.arange(295, 326, 5)])
+    y = x + np.where(x < 265, 0, np.where(x < 295, 3, 5))
+    assert (41, 52) in [tuple(map(int, c)) for c in chaining.chains(x, y)]
+
+
 def test_chains_follow_order_and_gaps():
     import numpy as np
 
