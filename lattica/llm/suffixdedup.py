@@ -18,15 +18,15 @@ in document order go.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import SLICE, arrow_map, slices, utf8
+from lattica.llm.common import SLICE, arrow_map, slices, small, utf8
 from lattica.llm.hashing import BASE, UNBASE, VALUE, Spans, mix, powers
 from lattica.session import materialize
 
@@ -34,8 +34,9 @@ LENGTH = 100
 SEED = 32
 REACH = LENGTH - SEED  # the anchor stands 0 to REACH bytes after its window's start
 COLUMNS = LENGTH + REACH
+HALF = REACH // 2
 POSITION = np.uint64((1 << 21) - 1)
-#: Fragments that are built together at least, if a partition has so many; a group of one anchor is never cut.
+#: Fragments that are built together at least, if a partition has so many. An anchor with more is split by the bytes beside it.
 BLOCK = 40_000
 
 
@@ -73,16 +74,18 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
 
 
 def _known(data: np.ndarray, offsets: np.ndarray, row, start, n, lead, hashes) -> np.ndarray:
-    """Runs that repeat a run of their own text byte for byte: they go whichever other texts there are."""
+    """Runs that repeat a run of their own text, by two 64-bit hashes of their bytes: they go whichever other texts there are."""
     known = np.zeros(len(row), dtype=bool)
     order = np.lexsort((start, hashes, row))
     again = np.flatnonzero((row[order][1:] == row[order][:-1]) & (hashes[order][1:] == hashes[order][:-1]))
     if len(again):
         some = np.unique(np.concatenate([order[again], order[again + 1]]))
         begin = offsets[row[some]] + start[some]
-        whole = Spans(data).of(begin, begin + n[some] + LENGTH - 1) + mix(lead[some].astype(np.uint64))
-        by = np.lexsort((start[some], whole, row[some]))
-        same = (row[some][by][1:] == row[some][by][:-1]) & (whole[by][1:] == whole[by][:-1])
+        end = begin + n[some] + LENGTH - 1
+        whole = Spans(data).of(begin, end) + mix(lead[some].astype(np.uint64))
+        again = Spans(data ^ 0x5A).of(begin, end)
+        by = np.lexsort((start[some], again, whole, row[some]))
+        same = (row[some][by][1:] == row[some][by][:-1]) & (whole[by][1:] == whole[by][:-1]) & (again[by][1:] == again[by][:-1])
         known[some[by[1:][same]]] = True
     return known
 
@@ -140,16 +143,32 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, uids, texts, runs = (part.column(i).take(pa.array(order)).to_pylist() for i in range(4))
             for doc, uid, text, listed in zip(ids, uids, texts, runs):
                 text = (text or "").encode("utf-8")
-                for place in listed:
-                    start = place["place"] >> 16
-                    fragment = text[start : start + (place["place"] >> 8 & 255) + LENGTH - 1]
-                    whole = fragment + bytes([place["place"] & 255])
+                for key, place in (p for x in listed for p in (_halves(text, x["hash"], x["place"]) if x["hot"] else [(x["hash"], x["place"])])):
+                    start = place >> 16
+                    fragment = text[start : start + (place >> 8 & 255) + LENGTH - 1]
+                    whole = fragment + bytes([place & 255])
                     known = seen.setdefault(whole, uid) != uid  # an earlier document has it; in one document all are sent
-                    for column, value in zip(out, (place["hash"], doc, uid, place["place"], None if known else fragment)):
+                    for column, value in zip(out, (key, doc, uid, place, None if known else fragment)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["hash", "doc_id", "uid", "place", "fragment"])
 
 
+def _halves(text: bytes, key: int, place: int) -> list[tuple[int, int]]:
+    """A run of a hot anchor as one or two runs with keys of their own: (key, place) each.
+
+    A window has HALF more bytes after its anchor, or before it. Those bytes are part of the key, as two equal windows have
+    them alike; windows of the first kind are one run, the others another.
+    """
+    start, n, lead = place >> 16, place >> 8 & 255, place & 255
+    anchor, out = start + lead, []
+    after, before = range(max(start, anchor - REACH + HALF), start + n), range(start, min(start + n, anchor - REACH + HALF))
+    for side, windows, low in ((0, after, anchor + SEED), (1, before, anchor - HALF)):
+        if len(windows):
+            more = xxhash.xxh64_intdigest(text[low : low + HALF], seed=key & 0xFFFFFFFF | side) ^ key & 0xFFFFFFFFFFFFFFFF
+            out.append((more - (1 << 64) if more >> 63 else more, (windows[0] << 16) | (len(windows) << 8) | (anchor - windows[0])))
+    return out
+
+
 def repeated_windows(fragments: list[bytes], lead: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """For each fragment, aligned by its lead, which of the REACH + 1 window starts repeat a fragment of a lower rank.
 
@@ -208,19 +227,23 @@ def _construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["uid", "start", "end"]
     held: list[tuple] = []
     hashes: list[int] = []
+    open_ = 0  # where the last group, which may go on, begins
     for batch in batches:
         known = batch.filter(pa.compute.is_null(batch.column(4)))
         if known.num_rows:
             place = np.asarray(known.column(3))
             yield pa.RecordBatch.from_arrays([known.column(2), pa.array(place >> 16), pa.array((place >> 16) + (place >> 8 & 255) + LENGTH - 1)], names=names)
         fresh = batch.filter(pa.compute.is_valid(batch.column(4)))
-        hashes += fresh.column(0).to_pylist()
+        if not fresh.num_rows:
+            continue
+        added = np.asarray(fresh.column(0))
+        if not hashes or added[-1] != hashes[-1]:
+            open_ = len(hashes) + int(np.searchsorted(added, added[-1]))
+        hashes += added.tolist()
         held += zip(*(fresh.column(i).to_pylist() for i in range(1, 5)))
-        if len(held) >= BLOCK:
-            to = int(np.searchsorted(np.array(hashes), hashes[-1]))  # the last group may go on
-            if to:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _intervals(held[:to])], names=names)
-                held, hashes = held[to:], hashes[to:]
+        if len(held) >= BLOCK and open_:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _intervals(held[:open_])], names=names)
+            held, hashes, open_ = held[open_:], hashes[open_:], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in _intervals(held)], names=names)
 
@@ -229,7 +252,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(uid, spans array<struct<start, end>>) of the documents (doc_id, uid, text) with repeated bytes; spans may overlap."""
     seeds = _seeds(docs).repartition("hash").sortWithinPartitions("hash")
     shared = materialize(seeds.mapInArrow(_repeated, seeds.schema), "seeds")
-    runs = shared.filter("place >= 0").groupBy("uid").agg(F.collect_list(F.struct("hash", "place")).alias("runs"))
+    hot = shared.filter("place >= 0").groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("hash", F.lit(True).alias("hot"))
+    marked = shared.filter("place >= 0").join(small(materialize(hot, "hot-anchors")), "hash", "left").select("hash", "uid", "place", F.coalesce("hot", F.lit(False)).alias("hot"))
+    runs = marked.groupBy("uid").agg(F.collect_list(F.struct("hash", "place", "hot")).alias("runs"))
     texts = docs.join(runs, "uid").select("doc_id", "uid", "text", "runs")
     fragments = texts.mapInArrow(_fragments, "hash long, doc_id long, uid long, place long, fragment binary")
     built = fragments.repartition("hash").sortWithinPartitions("hash").mapInArrow(_construct, "uid long, start long, end long")
