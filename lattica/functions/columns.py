@@ -80,7 +80,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def recency(modified: Column, as_of: Column, half_life: float = 90.0) -> Column:
     """exp(-ln 2 * days / half life), at most 1; unknown dates count one half."""
     days = F.greatest(F.datediff(as_of, modified), F.lit(0))
-    return F.coalesce(F.exp(-F.log(F.lit(2.0)) * days / half_life), F.lit(0.5))
+    return F.when(modified.isNull(), 0.5).otherwise(F.exp(-F.log(F.lit(2.0)) * days / half_life))
 
 
 def due_bucket(due: Column, today: Column) -> Column:

@@ -28,10 +28,12 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8)
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only where that setting is missing (tests on one machine) a temporary folder takes its place.
+    Only where that setting is missing on a local master (tests on one machine) a temporary folder takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
