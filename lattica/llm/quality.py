@@ -19,6 +19,8 @@ from lattica.llm.common import SLICE, arrow_map, small, utf8
 from lattica.llm.hashing import BASE, Spans, mix, powers, runs
 from lattica.session import materialize
 
+#: Folds of the labelled rows that choose the threshold, and that nothing is learnt from.
+CUT_FOLD, HELD_OUT = 3, 2
 BUCKETS = 1 << 16
 GOOD_WEIGHT = 3.0
 BINS = 400
@@ -116,9 +118,14 @@ def base_rules(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str) -
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
+def fold(id_col: str):
+    """0 to 3 by the CRC of the id: what a labelled row is used for."""
+    return F.crc32(F.col(id_col).cast("string")) % 4
+
+
 def threshold(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> float:
-    """The cut with the least weighted error on all labelled rows that the base rules pass; -SPAN without bad rows."""
-    rows = scored.filter(~F.col("base_failed")).join(labels.select(id_col, quality_col), id_col)
+    """The cut with the least weighted error on the labelled rows of CUT_FOLD that the base rules pass; -SPAN without bad rows."""
+    rows = scored.filter(~F.col("base_failed")).join(labels.filter(fold(id_col) == CUT_FOLD).select(id_col, quality_col), id_col)
     bin_ = F.floor((F.greatest(F.least("verdict", F.lit(SPAN - 1e-9)), F.lit(-SPAN)) + SPAN) / (2 * SPAN) * BINS).cast("int")
     good, bad = np.zeros(BINS), np.zeros(BINS)
     for r in rows.groupBy(bin_.alias("bin")).agg(F.count(F.when(F.col(quality_col) == 1, 1)).alias("good"), F.count(F.when(F.col(quality_col) == 0, 1)).alias("bad")).collect():  # at most BINS rows
@@ -132,9 +139,10 @@ def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """Base counts, base_failed, verdict and kept for every row.
 
     Null and empty texts have no words and fail the base rules. Repeated rows each get a row and count each time; rows
-    with a null id or label belong to the raw corpus only; an empty table gives an empty result.
+    with a null id or label belong to the raw corpus only; an empty table gives an empty result. Good rows of the folds 0 and 1
+    are the trusted target, those of CUT_FOLD choose the threshold, those of HELD_OUT are not looked at.
     """
-    trusted = labels.filter(F.col(quality_col) == 1).select(id_col).distinct().withColumn("trusted", F.lit(1))
+    trusted = labels.filter((F.col(quality_col) == 1) & ~fold(id_col).isin(CUT_FOLD, HELD_OUT)).select(id_col).distinct().withColumn("trusted", F.lit(1))
     marked = docs.select(id_col, text_col).join(small(trusted), id_col, "left")
     ratio = log_ratio(count_ngrams(marked, text_col, "trusted"))
     scored = materialize(base_rules(docs, ratio, id_col, text_col), "quality")
