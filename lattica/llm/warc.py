@@ -21,6 +21,7 @@ from lattica.llm.common import small
 from lattica.session import materialize
 
 RECORDS_PER_FILE = 4_096
+LARGE, FILE_BYTES = 1 << 18, 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed values of the formats.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -70,7 +71,12 @@ def resolve_revisits(recs: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(recs: DataFrame, path: str, date: str = DATE) -> None:
-    """Write a response or revisit record for each row of resolve_revisits(), with fresh headers."""
+    """Write a response or revisit record for each row of resolve_revisits(), with fresh headers.
+
+    A file is read back as one value, so it stays under FILE_BYTES of payload: RECORDS_PER_FILE records of at most
+    LARGE bytes, and as few larger ones as the largest of all demands. Rows with one page_id and one payload are one capture
+    and share a record id.
+    """
     http = F.lit(BREAK.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "]))
     http = F.concat(http, F.col("n_bytes").cast("string"), F.lit(BREAK * 2))
     revisit = F.col("original").isNotNull()
@@ -86,8 +92,12 @@ def write_warc(recs: DataFrame, path: str, date: str = DATE) -> None:
         line("X-Page-ID", F.col("page_id").cast("string")), F.lit("Content-Type: application/http;msgtype=response"),
         line("Content-Length", F.octet_length(block).cast("string")),
     )
-    lines = recs.select(F.concat(head, F.lit(BREAK * 2), block).alias("value"))
-    lines.write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines = recs.select("n_bytes", F.concat(head, F.lit(BREAK * 2), block).alias("value"))
+    most = recs.agg(F.coalesce(F.max("n_bytes"), F.lit(0))).first()[0]
+    for part, rows, records in (("small", F.col("n_bytes") <= LARGE, RECORDS_PER_FILE), ("large", F.col("n_bytes") > LARGE, max(1, FILE_BYTES // max(most, 1)))):
+        if part == "small" or most > LARGE:
+            writer = lines.filter(rows).select("value").write.option("lineSep", BREAK * 2).option("compression", "gzip")
+            writer.option("maxRecordsPerFile", records).text(f"{path}/{part}")
 
 
 def parse_warc(content: bytes):
