@@ -98,3 +98,18 @@ def append_messages(thread: DataFrame, fresh: DataFrame) -> DataFrame:
 def missing_keys(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     """The distinct keys that a keyed cache does not hold yet: what an incremental run has to compute."""
     return wanted.select(key).distinct().join(cached.select(key), key, "left_anti")
+
+
+def reharvest_one(manifest: DataFrame, fetched: DataFrame, source_id) -> DataFrame:
+    """The manifest after one document was fetched again: its row upserted, all others as they are; an unknown id is added."""
+    return upsert_actions(manifest, fetched.filter(F.col("source_id") == source_id))
+
+
+def diagnostics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row about a built graph: nodes and edges, kinds of each, nodes without an edge, edges with a missing end, and the mean degree."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    known = nodes.select("id", "type").join(ends, "id", "full_outer")
+    of_nodes = known.agg(
+        F.count("type").alias("nodes"), F.count_distinct("type").alias("node_types"), F.count_if(F.col("type").isNotNull() & F.col("degree").isNull()).alias("isolated"),
+        F.coalesce(F.sum(F.when(F.col("type").isNull(), F.col("degree"))), F.lit(0)).alias("dangling_ends"), F.round(F.sum("degree") / F.count("type"), 4).alias("mean_degree"))
+    return of_nodes.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges"), F.count_distinct("type").alias("edge_types"))))  # one row each

@@ -116,12 +116,14 @@ def promote_entities(mentions: DataFrame, least: int = 2, top: int = 30, synthes
     return counted.join(best, ["label", "type"], "left").select("label", "type", "notes", F.coalesce("s", F.lit(False)).alias("synthesise"))
 
 
-def topology_hash(nodes: DataFrame, edges: DataFrame, buckets: int = 4096) -> DataFrame:
-    """(hash) of a graph whatever the order of its rows: sorted hashes of buckets, so no task holds all of it as one list."""
+def topology_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(hash) of a graph whatever the order of its rows; one row.
+
+    The rows' SHA-256 values are added up in eight pieces of 32 bits, so mappers combine them and no task holds a list.
+    """
     rows = nodes.select(F.sha2(F.col("id").cast("string"), 256).alias("h")).union(edges.select(F.sha2(F.concat_ws(">", "src", "dst"), 256)))
-    digests = lambda d: F.sha2(F.array_join(F.array_sort(F.collect_list(d)), ""), 256)
-    part = rows.groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("b")).agg(digests("h").alias("d"))
-    return part.agg(digests(F.concat_ws(":", F.lpad(F.col("b").cast("string"), 6, "0"), "d")).alias("hash"))
+    piece = lambda i: F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).cast("string")
+    return rows.agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *(piece(i) for i in range(8))), 256).alias("hash"))
 
 
 # Keyed stores and caches ----------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import display
-from lattica.operators import clustering, graph, layout, ranking, retrieval, serve, stores, strategies, trees
+from lattica.operators import clustering, graph, harvest, layout, ranking, retrieval, serve, stores, strategies, trees
 from lattica.plans.queries import COS, dimension, query, with_
 from lattica.plans.serve_queries import ORACLE, QUERIES
 from lattica.session import shared_dir, table
@@ -184,6 +184,23 @@ def graph_edges(spark, sf_dir) -> DataFrame:
     return _view(spark, sf_dir)[1].groupBy("type", "provenance").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"), F.round(F.sum("confidence"), 4).alias("confidence"))
 
 
+ALL_EDGES = """alle AS (SELECT 'contains' AS type, parent_id AS src, id AS dst FROM regions WHERE parent_id IS NOT NULL UNION ALL SELECT 'contains', region_id, id FROM tags UNION ALL SELECT 'linked-to', tag_id, other_id FROM links UNION ALL SELECT 'has-signal', owner_id, id FROM signals
+UNION ALL SELECT 'belongs-to', note_id, tag_id FROM nt UNION ALL SELECT 'region-rel', a, b FROM re UNION ALL SELECT 'co-occurs', a, b FROM te), alln AS (SELECT id, 'region' AS type FROM regions UNION ALL SELECT id, 'tag' FROM tags UNION ALL SELECT DISTINCT id, 'signal' FROM signals UNION ALL SELECT id, 'note' FROM nts),
+deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM alle UNION ALL SELECT dst FROM alle) GROUP BY id), j AS (SELECT n.type, d.degree FROM alln n FULL OUTER JOIN deg d USING (id))"""
+
+
+@query(GRAPH_SQL.rstrip() + ",\n" + ALL_EDGES + """ SELECT count(type) AS nodes, count(DISTINCT type) AS node_types, count(*) FILTER (type IS NOT NULL AND degree IS NULL) AS isolated, coalesce(sum(degree) FILTER (type IS NULL), 0)::BIGINT AS dangling_ends, round(sum(degree) / count(type), 4) AS mean_degree,
+ (SELECT count(*) FROM alle) AS edges, (SELECT count(DISTINCT type) FROM alle) AS edge_types FROM j""")
+def build_diagnostics(spark, sf_dir) -> DataFrame:
+    return harvest.diagnostics(*_view(spark, sf_dir))
+
+
+@query(with_(D.MANIFEST_SQL, D.LISTING_SQL) + """SELECT coalesce(m.source_id, n.source_id) AS source_id, CASE WHEN n.source_id IS NULL THEN 'unlisted' WHEN m.source_id IS NULL THEN 'new' WHEN n.modified <= m.modified OR n.content_hash = m.content_hash THEN 'unchanged' ELSE 'updated' END AS action,
+ CASE WHEN n.source_id IS NOT NULL THEN 'active' ELSE m.status END AS status FROM manifest m FULL OUTER JOIN (SELECT * FROM listing WHERE source_id = 7) n ON m.source_id = n.source_id""")
+def single_reharvest(spark, sf_dir) -> DataFrame:
+    return harvest.reharvest_one(D.manifest(spark, sf_dir), D.listing(spark, sf_dir), 7).select("source_id", "action", "status")
+
+
 @query("SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber, CASE WHEN l_orderkey % 3 = l_partkey % 3 AND l_orderkey % 10 <> 9 AND l_partkey % 10 <> 9 THEN least(1.0::DOUBLE, l_discount * 9 + 0.1::DOUBLE) ELSE l_discount * 9 END AS weight FROM lineitem")
 def community_bump(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_linenumber", (F.col("l_discount") * 9).alias("weight"))
