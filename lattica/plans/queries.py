@@ -521,7 +521,17 @@ def html_to_text(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", texts.html_to_text("html").alias("text"))
 
 
-@query()
+#: What each phrase of derived.PHRASES means, in their order, from the anchor a with its weekday w (Monday 0).
+DUE = [
+    "a + CASE WHEN (11 - w) % 7 = 0 THEN 7 ELSE (11 - w) % 7 END", "a + (8 - w) % 7 + 7", "a + 14", "a + 3", "(a + INTERVAL 1 MONTH)::DATE", "a + 1", "a", "last_day(a)", "last_day((date_trunc('quarter', a) + INTERVAL 2 MONTH)::DATE)", "make_date(year(a), 12, 31)", "a + 6 - w",
+    "last_day((date_trunc('quarter', a) + INTERVAL 5 MONTH)::DATE)", "a + 13 - w", "last_day((date_trunc('month', a) + INTERVAL 1 MONTH)::DATE)", "last_day(make_date(year(a) + (month(a) > 4)::INT, 4, 1))", "last_day(make_date(year(a) + (month(a) > 9)::INT, 9, 1))",
+    "make_date(year(a) + (a > make_date(year(a), 3, 31))::INT, 3, 31)", "DATE '2027-04-30'", "last_day(make_date(year(a) + (a > last_day(make_date(year(a), 2, 1)))::INT, 2, 1))", "DATE '2026-02-28'", "DATE '2027-05-31'", "last_day(make_date(year(a) + (a > make_date(year(a), 9, 30))::INT, 9, 1))", "DATE '2028-03-31'",
+    "NULL", "NULL", "make_date(year(a) + (a > make_date(year(a), 11, 30))::INT, 11, 30)",
+]
+DUE_SQL = "CASE k " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(DUE)) + " END"
+
+
+@query("SELECT o_orderkey, phrase, a AS anchor, (" + DUE_SQL + ")::DATE AS due FROM (SELECT o_orderkey, o_orderkey % " + str(len(DUE)) + " AS k, [" + ", ".join(f"'{p}'" for p in D.PHRASES) + "][o_orderkey % " + str(len(DUE)) + " + 1] AS phrase, o_orderdate::DATE AS a, (isodow(o_orderdate) - 1)::INT AS w FROM orders)")
 def deadlines(spark, sf_dir) -> DataFrame:
     phrases = F.array(*map(F.lit, D.PHRASES))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey"), F.get(phrases, (F.col("o_orderkey") % len(D.PHRASES)).cast("int")).alias("phrase"), F.to_date("o_orderdate").alias("anchor"))
@@ -548,11 +558,14 @@ def communities(spark, sf_dir) -> DataFrame:
     return graph.label_propagation(_strong(spark, sf_dir).withColumnRenamed("n", "weight"))
 
 
-@query()
+@query(with_(D.NOTE_TAGS_SQL, PAIRS, STRONG, "w AS (SELECT a AS src, b AS dst, n FROM strong UNION ALL SELECT b, a, n FROM strong)", "e AS (SELECT vec_id AS id, unnest(range(1, 65)) AS pos, unnest(embedding::DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (SELECT tag_id FROM note_tags))",
+             "m AS (SELECT src AS id, pos, sum(v * n) / sum(n) AS mean FROM w JOIN e ON dst = e.id GROUP BY 1, 2)", "x AS (SELECT id, pos, CASE WHEN mean IS NULL THEN v ELSE 0.5::DOUBLE * v + 0.5::DOUBLE * mean END AS m FROM e LEFT JOIN m USING (id, pos))", "l AS (SELECT id, sqrt(sum(m * m)) AS len FROM x GROUP BY id)")
+       + "SELECT id, (pos - 1)::INT AS pos, round(m / CASE WHEN len > 0 THEN len ELSE 1 END, 6) AS v FROM x JOIN l USING (id)")
 def context_vectors(spark, sf_dir) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     nodes = v.join(D.note_tags(spark, sf_dir).select(F.col("tag_id").alias("id")).distinct(), "id")  # a tag's vector is that of its id
-    return graph.context_vectors(nodes, _strong(spark, sf_dir).withColumnRenamed("n", "weight"), dimension(spark, sf_dir))
+    found = graph.context_vectors(nodes, _strong(spark, sf_dir).withColumnRenamed("n", "weight"), dimension(spark, sf_dir))
+    return found.select("id", F.posexplode("context").alias("pos", "v")).withColumn("v", F.round("v", 6))
 
 
 # Map, clusters, matching, streams ------------------------------------------------------------------------------------
