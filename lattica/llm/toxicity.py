@@ -8,17 +8,20 @@ of distinct contexts (continuation counts) below:
 
     P_c(w | v) = own_c(v, w) / all_c(v) + freed_c(v) / all_c(v) * P_c(w)
     P_c(w)     = own_c(w) / all_c + freed_c / all_c * P(w)            counts: distinct contexts of w in class c
-    P(w)       = own(w) / all + freed / all / (words + 1)             counts: distinct contexts of w in either class
+    P(w)       = own(w) / all + freed / all / (words + 1)             counts: classes that have w, one or two
 
-A count of one is given to the level below as a whole, a larger one less DISCOUNT; freed is what was given. So a rare
-expression costs both classes the same, by the counts that they share, and only what came twice tells them apart.
+In the first two levels a count of one is given to the level below as a whole, a larger one less DISCOUNT (in the third all
+counts are less DISCOUNT); freed is what was given. So a rare expression costs both classes the same, by the counts that they
+share, and only what came twice tells them apart. As the shared counts are of classes and not of occurrences, a word that one
+class has often does not become likely in the other.
 
 The log ratio of a text, log P_toxic - log P_ordinary, is a sum over keys: a known word adds log P_t(w) / P_o(w) less an
 unknown word's, a known context the log ratio of its freed shares, a known pair the rest. The table of these keys grows with
 the labelled text. Its HOT_KEYS most frequent keys are broadcast (24 MB at most); a filter of at most 2**FILTER_BITS bits over
 the rest tells which keys of a text may be among them, and those are joined by a shuffle, so nothing is folded or left out.
-A document's two length-normalised figures are the mean log ratio of its words and the mean of what its keys have above
-MARGIN, which a language's or a genre's share among the toxic documents does not move.
+A document's length-normalised figures are the mean log ratio of its words and the mean of what its keys have above MARGIN,
+which a language's or a genre's share among the toxic documents does not move: one mean of words and contexts and one of pairs,
+where two of a kind are more often chance. A logistic calibration weighs the three.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from lattica.session import materialize
 GRAM = 3
 LONG, PIECE = 14, 6
 DISCOUNT = 0.75
-MARGIN = 1.0
+MARGIN = 3.0
 HOT_KEYS = 2_000_000
 FILTER_BITS = 30
 #: At most so many labelled rows fit the calibration weights.
@@ -141,23 +144,24 @@ CLASSES = ("toxic", "ordinary")
 
 
 def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
-    """((key, n, value) of the keys that tell the classes apart, log ratio of an unknown word after an unknown context).
+    """((key, n, value, pair) of the keys that tell the classes apart, log ratio of an unknown word after an unknown context).
 
     A hot word is one key among few rows in every aggregation: contexts and words are summed before their shuffle.
     """
     contexts = counts.groupBy("context").agg(*(F.sum(c).alias(f"all_{c}") for c in CLASSES), *(F.sum(freed(F.col(c))).alias(f"freed_{c}") for c in CLASSES))
     contexts = materialize(contexts, "contexts")
-    words = counts.groupBy("word").agg(F.count("*").alias("both"), *(F.count_if(F.col(c) > 0).alias(c) for c in CLASSES))
-    words = materialize(words, "words")
-    total = words.agg(F.count("*").alias("words"), *(F.coalesce(f(F.col(c)), F.lit(0)).cast("double").alias(f"{n}_{c}") for c in ("both", *CLASSES) for n, f in (("all", F.sum), ("freed", lambda x: F.sum(freed(x)))))).first()
-
-    def level(n: str, below: Column) -> Column:
-        if not total[f"all_{n}"]:
-            return below
-        return (F.col(n) - freed(F.col(n)) + total[f"freed_{n}"] * below) / total[f"all_{n}"]
-
-    shared = level("both", F.lit(1.0 / (total.words + 1)))
-    words = words.select("word", "both", *(level(c, shared).alias(f"p_{c}") for c in CLASSES))
+    words = materialize(counts.groupBy("word").agg(*(F.count_if(F.col(c) > 0).alias(c) for c in CLASSES)), "words")
+    have = sum((F.col(c) > 0).cast("int") for c in CLASSES)
+    sums = [F.coalesce(f(F.col(c)), F.lit(0)).cast("double").alias(f"{n}_{c}") for c in CLASSES for n, f in (("all", F.sum), ("freed", lambda x: F.sum(freed(x))))]
+    total = words.agg(F.count("*").alias("words"), F.coalesce(F.sum(have), F.lit(0)).alias("have"), *sums).first()  # one row
+    shared = (have - DISCOUNT + DISCOUNT * total.words / (total.words + 1)) / max(total.have, 1)
+
+    def level(c: str) -> Column:
+        if not total[f"all_{c}"]:
+            return shared
+        return (F.col(c) - freed(F.col(c)) + total[f"freed_{c}"] * shared) / total[f"all_{c}"]
+
+    words = words.select("word", (F.col("toxic") + F.col("ordinary")).alias("both"), *(level(c).alias(f"p_{c}") for c in CLASSES))
     share = lambda c: total[f"freed_{c}"] / total[f"all_{c}"] if total[f"all_{c}"] and total[f"freed_{c}"] else 1.0
     unknown = float(np.log(share("toxic") / share("ordinary")))
 
@@ -180,16 +184,17 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, float]:
         def run(batch: pa.RecordBatch) -> dict:
             parts = [np.asarray(batch.column(i)).view(np.uint64) for i in range(kind)]
             key = context_key(*parts) if kind == 1 else pair_key(*parts)
-            return {"key": key.view(np.int64), "n": batch.column(kind), "value": batch.column(kind + 1)}
+            return {"key": key.view(np.int64), "n": batch.column(kind), "value": batch.column(kind + 1), "pair": [kind == 2] * len(key)}
 
         return run
 
-    table = one.unionByName(arrow_map(two, keyed(1), "key long, n long, value double")).unionByName(arrow_map(three, keyed(2), "key long, n long, value double"))
-    return table.select("key", "n", F.col("value").cast("float").alias("value")).filter(F.abs("value") > 1e-6), unknown
+    kind = "key long, n long, value double, pair boolean"
+    table = one.withColumn("pair", F.lit(False)).unionByName(arrow_map(two, keyed(1), kind)).unionByName(arrow_map(three, keyed(2), kind))
+    return table.select("key", "n", F.col("value").cast("float").alias("value"), "pair").filter(F.abs("value") > 1e-6), unknown
 
 
 class KeyTable:
-    """A table (key, n, value) split into its most frequent keys, held as arrays, and the rest with a filter over it."""
+    """A table (key, n, value, pair) split into its most frequent keys, held as arrays, and the rest with a filter over it."""
 
     def __init__(self, table: DataFrame, hot_keys: int = HOT_KEYS):
         spark = table.sparkSession
@@ -199,7 +204,7 @@ class KeyTable:
             if keys > left:
                 break
             least, left = n, left - keys
-        self.rest = table.filter(F.col("n") < least).select("key", "value")
+        self.rest = table.filter(F.col("n") < least).select("key", "value", "pair")
         hot = arrow_map(table.filter(F.col("n") >= least).select("key", "value"), lambda b: {"keys": [np.asarray(b.column(0)).tobytes()], "values": [np.asarray(b.column(1)).tobytes()]}, "keys binary, values binary")
         parts = [(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["values"], np.float32)) for r in hot.toLocalIterator()]  # at most hot_keys keys
         keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)]).view(np.uint64)
@@ -231,7 +236,7 @@ def places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def evidence(docs: DataFrame, table: KeyTable, unknown: float, text_col: str, columns: list[str]) -> DataFrame:
-    """``columns`` and __x: mean log ratio of the words, __over: mean above MARGIN, __n: words; no words give zeros."""
+    """``columns`` and __x: mean log ratio of the words, __over and __pairs: means above MARGIN, __n: words; no words give zeros."""
     shared, bits = table.shared, table.bits
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), *columns, *([] if text_col in columns else [text_col]))
     names, at = rows.columns, rows.columns.index(text_col)
@@ -240,14 +245,14 @@ def evidence(docs: DataFrame, table: KeyTable, unknown: float, text_col: str, co
         (keys, values, marks), n = shared.value, batch.num_rows
         row, context, word = pairs_of(*utf8(batch.column(at)))
         words = np.bincount(row, minlength=n)
-        x, over = unknown * words, np.zeros(n)
+        x, above = unknown * words, []
         rest: list[tuple[np.ndarray, np.ndarray]] = []
         for key in (word, context_key(context), pair_key(context, word)):
             place = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
             known = keys[place] == key if len(keys) else np.zeros(len(key), bool)
             value = np.where(known, values[place], 0) if len(keys) else np.zeros(len(key))
             x += np.bincount(row, weights=value, minlength=n)
-            over += np.bincount(row, weights=np.maximum(value - MARGIN, 0), minlength=n)
+            above.append(np.bincount(row, weights=np.maximum(value - MARGIN, 0), minlength=n))
             maybe = ~known
             for p in places(key, bits):
                 maybe[maybe] = marks[(p[maybe] >> np.uint64(3)).astype(np.int64)] >> (p[maybe] & np.uint64(7)).astype(np.uint8) & 1 == 1
@@ -259,24 +264,34 @@ def evidence(docs: DataFrame, table: KeyTable, unknown: float, text_col: str, co
         times = np.diff(np.append(first, len(key)))
         edges = np.searchsorted(where[first], np.arange(n + 1))
         lists = [[{"key": k, "times": t} for k, t in zip(key[first[a:b]].view(np.int64).tolist(), times[a:b].tolist())] for a, b in zip(edges[:-1], edges[1:])]
-        return {"__row": batch.column(0)} | {c: batch.column(names.index(c)) for c in columns} | {"__x": x, "__over": over, "__n": words, "__rest": lists}
+        return {"__row": batch.column(0)} | {c: batch.column(names.index(c)) for c in columns} | {"__x": x, "__over": above[0] + above[1], "__pairs": above[2], "__n": words, "__rest": lists}
 
     kept = ", ".join(["__row long", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)])
-    found = materialize(arrow_map(rows, run, f"{kept}, __x double, __over double, __n long, __rest array<struct<key: long, times: long>>", text=at), "evidence")
+    found = materialize(arrow_map(rows, run, f"{kept}, __x double, __over double, __pairs double, __n long, __rest array<struct<key: long, times: long>>", text=at), "evidence")
     times = found.select("__row", F.inline("__rest"))
+    above = F.col("times") * F.greatest(F.col("value") - MARGIN, F.lit(0))
     more = times.join(table.rest, "key").groupBy("__row").agg(
-        F.sum(F.col("times") * F.col("value")).alias("__more"), F.sum(F.col("times") * F.greatest(F.col("value") - MARGIN, F.lit(0))).alias("__above"))
-    n, zero = F.greatest("__n", F.lit(1)), F.lit(0.0)
+        F.sum(F.col("times") * F.col("value")).alias("__more_x"), F.sum(F.when(F.col("pair"), 0).otherwise(above)).alias("__more_over"), F.sum(F.when(F.col("pair"), above).otherwise(0)).alias("__more_pairs"))
+    n = F.greatest("__n", F.lit(1))
     joined = found.drop("__rest").join(small(materialize(more, "rare-evidence")), "__row", "left")
-    return joined.select(*columns, ((F.col("__x") + F.coalesce("__more", zero)) / n).alias("__x"), ((F.col("__over") + F.coalesce("__above", zero)) / n).alias("__over"), "__n")
+    return joined.select(*columns, *(((F.col(f"__{c}") + F.coalesce(f"__more_{c}", F.lit(0.0))) / n).alias(f"__{c}") for c in FIGURES), "__n")
+
+
+#: What the calibration weighs beside a constant.
+FIGURES = ("x", "over", "pairs")
+
+
+def _weighed(figure: str) -> Column:
+    """A figure as the calibration takes it: means above MARGIN by their logarithm, as one clear word in a thousand says much."""
+    return F.col("__x") if figure == "x" else F.log1p(1000 * F.col(f"__{figure}"))
 
 
-def calibrate(rows: list[tuple[float, float, int]]) -> list[float]:
-    """Logistic weights of the two figures and the constant by Newton steps on rows (x, over, toxic)."""
+def calibrate(rows: list[tuple]) -> list[float]:
+    """Logistic weights of the figures and the constant by Newton steps on rows (x, over, pairs, toxic)."""
     if len({r[-1] for r in rows}) < 2:
-        return [0.0, 40.0, -2.0]
-    x, over, y = (np.array(v, dtype=float) for v in zip(*rows))
-    f = np.stack([x, over, np.ones(len(y))], axis=1)
+        return [0.0, 1.0, 0.5, -2.0]
+    *figures, y = (np.array(v, dtype=float) for v in zip(*rows))
+    f = np.stack([*figures, np.ones(len(y))], axis=1)
     scale = np.maximum(np.abs(f).mean(axis=0), 1e-9)
     f /= scale
     w = np.zeros(f.shape[1])
@@ -306,12 +321,12 @@ class ToxicityModel:
         chosen = rows.filter(held).select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(CALIBRATION_ROWS)
         fitting = rows.filter(held).join(F.broadcast(chosen.distinct()), id_col, "left_semi")
         figures = evidence(fitting, self.table, self.unknown, text_col, [label_col])
-        self.weights = calibrate([tuple(r) for r in figures.select("__x", "__over", label_col).toLocalIterator()])
+        self.weights = calibrate([tuple(r) for r in figures.select(*map(_weighed, FIGURES), label_col).toLocalIterator()])
 
     def _scored(self, docs: DataFrame, columns: list[str], text_col: str, name: str) -> DataFrame:
-        a, b, c = self.weights
+        logit = sum((w * _weighed(c) for w, c in zip(self.weights, FIGURES)), F.lit(self.weights[-1]))
         figures = evidence(docs, self.table, self.unknown, text_col, columns)
-        return figures.withColumn(name, 1 / (1 + F.exp(-(a * F.col("__x") + b * F.col("__over") + c)))).drop("__x", "__over", "__n")
+        return figures.withColumn(name, 1 / (1 + F.exp(-logit))).drop(*(f"__{c}" for c in FIGURES), "__n")
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, score): 0 to 1 for every row, null and empty texts and repeated rows too."""

@@ -198,14 +198,15 @@ def plain_kneser_ney(texts, text):
             pairs[toxic][p] += 1
     both = set(pairs[0]) | set(pairs[1])
     given = lambda n: n if n < 2 else 0.75
-    contexts = {w: {c: sum(1 for v, x in pairs[c] if x == w) for c in (0, 1)} | {2: sum(1 for v, x in both if x == w)} for w in {w for _, w in both}}
-    total = {c: sum(n[c] for n in contexts.values()) for c in (0, 1, 2)}
-    freed = {c: sum(given(n[c]) for n in contexts.values()) for c in (0, 1, 2)}
+    contexts = {w: {c: sum(1 for v, x in pairs[c] if x == w) for c in (0, 1)} for w in {w for _, w in both}}
+    total = {c: sum(n[c] for n in contexts.values()) for c in (0, 1)}
+    freed = {c: sum(given(n[c]) for n in contexts.values()) for c in (0, 1)}
+    classes = {w: sum(1 for c in (0, 1) if n[c]) for w, n in contexts.items()}
 
     def single(c, w):
-        n = contexts.get(w, {0: 0, 1: 0, 2: 0})
-        level = lambda c, below: (n[c] - given(n[c]) + freed[c] * below) / total[c]
-        return level(c, level(2, 1 / (len(contexts) + 1)))
+        n = contexts.get(w, {0: 0, 1: 0})[c]
+        shared = (max(classes.get(w, 0) - 0.75, 0) + 0.75 * len(classes) / (len(classes) + 1)) / sum(classes.values())
+        return (n - given(n) + freed[c] * shared) / total[c]
 
     def prob(c, v, w):
         row = {x: n for (u, x), n in pairs[c].items() if u == v}
