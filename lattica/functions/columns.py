@@ -144,7 +144,8 @@ def end_of(anchor: Column, unit: Column) -> Column:
 def resolve_deadline(text: Column, anchor: Column) -> Column:
     """The first deadline in ``text`` as a date: explicit dates first, then phrases relative to ``anchor``; else null.
 
-    One expression of branches from the most explicit to the most ambiguous. It never fails on impossible dates.
+    One expression of branches from the most explicit to the most ambiguous. It never fails on impossible dates. The patterns
+    and the order of the branches are fixed values of the format.
     """
     number = lambda s: F.nullif(s, F.lit("")).cast("int")
     months = "(" + "|".join(f"{m}|{m[:3]}" for m in MONTHS).replace("september|sep", "september|sept|sep") + ")"

@@ -187,7 +187,7 @@ def nearest_scope(closure: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def checkbox_done(content: Column, draft: Column, stopwords: list[str]) -> Column:
-    """True if the task-list line that shares half or more of its words with ``draft`` is ticked; the first best line counts."""
+    """True if the task-list line that shares half or more of its words with ``draft`` is ticked; the first best line counts. The pattern of a task box is a fixed value."""
     words = lambda t: F.filter(F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), F.lit(0))), lambda w: (F.char_length(w) > 1) & ~w.isin(stopwords))
     box = r"^\s*(?:(?:[-*+]|\d+[.)])\s*)?\[([ xX])\]\s*(.+)$"
     lines = F.filter(F.split(content, "\n"), lambda x: x.rlike(box))
