@@ -30,7 +30,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one with the smallest doc_id."""
+    """One document of each SimHash component stays, the one with the smallest doc_id.
+
+    A document is its doc_id: rows that repeat one id with one text stay or go together, rows with a null id stay.
+    """
     found = simhash.near_duplicates(docs).filter("doc_id <> component").select("doc_id")
     return docs.join(small(materialize(found, "near-copies")), "doc_id", "left_anti")
 
