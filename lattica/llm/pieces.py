@@ -20,6 +20,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -303,10 +304,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", name: str = "text") -> DataFrame:
     """``rows`` with the text that an array of ids decodes to; null where the array is null, empty for an empty one."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def texts(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    @F.pandas_udf("string")
+    def texts(ids: pd.Series) -> pd.Series:
         m = model(model_path)
         return ids.map(lambda row: None if row is None else m.decode(row))
 
