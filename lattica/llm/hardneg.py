@@ -25,10 +25,12 @@ from lattica.session import materialize
 
 POSITIVES = 5
 NEGATIVES = 3
-#: Rows and anchors of a block at most, the bytes of its vectors at most, and rows of a block that are compared at once.
+#: Rows and anchors of a block at most, the bytes of its vectors at most, rows of a
+#: block that are compared at once, and bytes of pairs whose integers are multiplied at once.
 ROWS, ANCHORS = 8_192, 1_024
 BLOCK_BYTES = 8 << 20
-TILE = 1_024
+TILE = 512
+PAIR_BYTES = 8 << 20
 #: Shares of the components after which pairs are looked at and discarded.
 STAGES = (0.25, 0.5, 0.75)
 LOWEST = np.iinfo(np.int64).min
@@ -135,6 +137,16 @@ class Block:
             self.high = np.array([[min(max(95 * s // 100, LOWEST), -LOWEST - 1) for s in r] for r in scores.tolist()], dtype=np.int64).reshape(n, -1)
 
 
+def scores(a: Block, r: Block, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exact scores of pairs of rows, and which have equal vectors; some pairs at a time, as their vectors are copied."""
+    step = max(1, PAIR_BYTES // (8 * max(a.q.shape[1], 1)))
+    score, equal = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+    for k in range(0, len(rows), step):
+        x, y = a.q[rows[k : k + step]], r.q[cols[k : k + step]]
+        score[k : k + step], equal[k : k + step] = products(x, y), (x == y).all(axis=1)
+    return score, equal
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of the rows of two integer matrices; what a long cannot hold ends at its limits."""
     most = (int(np.abs(a.astype(np.float64)).max(initial=0)) + 1) * (int(np.abs(b.astype(np.float64)).max(initial=0)) + 1) * max(a.shape[1], 1)
@@ -233,8 +245,8 @@ def scan(pairs: DataFrame, size: int, directions: np.ndarray, bands: bool) -> Da
             same = a.label[:, None] == r.label[None, tile]
             if not bands:
                 rows, cols = survivors(a, r, tile, same, best.least, k)
-                score = products(a.q[rows], r.q[cols])
-                best.add(slot=rows, score=score, id=r.id[cols], known=r.known[cols], own=(a.q[rows] == r.q[cols]).all(axis=1))
+                score, equal = scores(a, r, rows, cols)
+                best.add(slot=rows, score=score, id=r.id[cols], known=r.known[cols], own=equal)
                 continue
             width = a.low.shape[1]
             real = a.low <= a.high
@@ -243,7 +255,7 @@ def scan(pairs: DataFrame, size: int, directions: np.ndarray, bands: bool) -> Da
             low = np.where(real, a.low, -LOWEST - 1).min(axis=1).astype(np.float64)
             floor = np.where(real, best.least.reshape(-1, width), np.inf).min(axis=1)
             rows, cols = survivors(a, r, tile, ~same & real.any(axis=1)[:, None], np.where(np.isinf(floor), -np.inf, floor), k, low, high, limit)
-            score = products(a.q[rows], r.q[cols])
+            score, _ = scores(a, r, rows, cols)
             for slot in range(width):
                 fits = (score >= a.low[rows, slot]) & (score <= a.high[rows, slot])
                 i, j = rows[fits], cols[fits]

@@ -91,7 +91,8 @@ class Model:
         self.joined = np.array(sorted({ord(a) << 21 | ord(b) for p in names for a, b in zip(p, p[1:])}), dtype=np.int64)
         self.spaced = not any(SPACE in p.lstrip(SPACE) for p in names)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.known: dict[str, tuple[bytes, str, str]] = {}
+        self.spelled = [p.replace(SPACE, " ") for p, _, _ in self.pieces]
 
     def _read(self, data: bytes) -> None:
         self.pieces: list[tuple[str, float, int]] = []
@@ -105,6 +106,8 @@ class Model:
             elif number == 3:
                 normal = dict(_fields(value))
         other = {kind for _, _, kind in self.pieces} - {NORMAL, UNKNOWN, CONTROL, BYTE}
+        if SPACE not in {p for p, _, kind in self.pieces if kind == NORMAL}:
+            raise ValueError("the space is a piece of its own in every vocabulary that is served")
         if trainer.get(3) != 2 or not trainer.get(35) or normal.get(2) or not normal.get(3, 1) or normal.get(4, 1) or not normal.get(5, 1) or trainer.get(24) or other:
             raise ValueError("only BPE with byte fallback, identity normalisation, a leading space and all white space kept is served")
 
@@ -209,9 +212,13 @@ class Model:
             yield self.words.findall(text, at, end)
             at = end
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian int32, ids as text) of each text; the new words of all short texts are merged together."""
-        out: list[tuple[bytes, str]] = []
+    def encode(self, texts: list[str]) -> list[tuple[bytes, str, str]]:
+        """(ids as little-endian int32, ids as text, text that they decode to) of each text.
+
+        The new words of all short texts are merged together. A word's ids are decoded once: as a word begins with a piece, not
+        with a byte, a text decodes to what its words do, without the leading space.
+        """
+        out: list[tuple[bytes, str, str]] = []
         brief = [[w for words in self.split(normalised(t)) for w in words] if len(t) < WINDOW else None for t in texts]
         found = iter(self.look_up([w for words in brief if words for w in words]))
         for text, words in zip(texts, brief):
@@ -219,10 +226,12 @@ class Model:
                 parts = [p for some in self.split(normalised(text)) for p in self.look_up(some)]
             else:
                 parts = list(itertools.islice(found, len(words)))
-            out.append((b"".join([p[0] for p in parts]), ",".join([p[1] for p in parts])))
+            ids, said, spelled = zip(*parts) if parts else ((), (), ())
+            spelled = "".join(spelled)
+            out.append((b"".join(ids), ",".join(said), spelled[1:] if spelled.startswith(" ") else spelled))
         return out
 
-    def look_up(self, words: list[str]) -> list[tuple[bytes, str]]:
+    def look_up(self, words: list[str]) -> list[tuple[bytes, str, str]]:
         """What is remembered of each word; the others are merged now, and remembered if they are short."""
         known = self.known
         new = list({w for w in words if w not in known})
@@ -231,18 +240,20 @@ class Model:
         fresh = {}
         for word, symbols in zip(new, self.merge(new)):
             ids = self.ids_of(symbols)
-            fresh[word] = np.array(ids, dtype="<i4").tobytes(), ",".join(map(str, ids))
+            fresh[word] = np.array(ids, dtype="<i4").tobytes(), ",".join(map(str, ids)), self.decode(ids, begun=True)
         out = [known.get(w) or fresh[w] for w in words]
         if len(known) + len(fresh) > REMEMBERED:
             known.clear()
         known.update((w, f) for w, f in itertools.islice(fresh.items(), REMEMBERED) if len(w) <= LONGEST)
         return out
 
-    def decode(self, ids) -> str:
-        """The text of a list of ids, as the library gives it: bytes that are no UTF-8 become U+FFFD one by one."""
+    def decode(self, ids, begun: bool = False) -> str:
+        """The text of a list of ids, as the library gives it: bytes that are no UTF-8 become U+FFFD one by one.
+
+        ``begun``: they stand inside of a text, so that a space in front stays.
+        """
         out: list[str] = []
         held = bytearray()
-        begun = False
 
         def flush() -> None:
             if held:
@@ -261,7 +272,7 @@ class Model:
             if kind == UNKNOWN:
                 out.append(" ⁇ ")
             else:
-                out.append((piece[1:] if not begun and piece.startswith(SPACE) else piece).replace(SPACE, " "))
+                out.append(self.spelled[i][1:] if not begun and piece.startswith(SPACE) else self.spelled[i])
             begun = True
         flush()
         return "".join(out)
@@ -295,7 +306,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batch: pa.RecordBatch) -> dict:
         m = model(model_path)
         got = m.encode(batch.column("text").to_pylist())
-        decoded = [m.decode(np.frombuffer(ids, dtype="<i4").tolist()).encode("utf-8", "surrogatepass") for ids, _ in got]
+        decoded = [g[2].encode("utf-8", "surrogatepass") for g in got]
         return {"id": batch.column("id"), "ids": ids_column([g[0] for g in got]), "decoded": decoded, "ids_text": [g[1] for g in got]}
 
     out = arrow_map(rows, run, f"id {kind}, ids array<int>, decoded binary, ids_text string", text=1, limit=BATCH)
