@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.columns import cosine, dot, norm
+from lattica.operators import vector_index
 from lattica.operators.ranking import running
 
-#: A stated set of queries or centroids is held by every task only up to so many rows.
+#: A stated set of queries or centroids is held by every task only up to so many rows; beyond, an index is searched.
 QUERY_ROWS = 20_000
 
 
@@ -19,11 +20,19 @@ def _held(side: DataFrame) -> DataFrame:
     return F.broadcast(side)
 
 
+def _many(side: DataFrame, floor: float) -> bool:
+    """Whether ``side`` is too large to be held; an index serves then, if the floor is above zero."""
+    return floor > 0 and side.limit(QUERY_ROWS + 1).count() > QUERY_ROWS
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, floor: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): for each of a stated set of queries the ``k`` best other rows at ``floor`` or more.
+    """(query_id, id, score, rank): for each of a set of queries the ``k`` best other rows at ``floor`` or more.
 
-    Vectors stay where they are; the queries go to them. Each task keeps the k best a query before the shuffle.
+    Vectors stay where they are; the queries go to them. Each task keeps the k best a query before the shuffle. More than
+    QUERY_ROWS queries are searched in an index, with the same result.
     """
+    if _many(queries, floor):
+        return vector_index.nearest(vector_index.build(vectors, id_col, vector), queries, k, floor, id_col=id_col, vector=vector)
     q = _held(queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("q")))
     scored = vectors.crossJoin(q).filter(F.col(id_col) != F.col("query_id")).select("query_id", F.col(id_col).alias("id"), F.round(cosine(F.col(vector), F.col("q")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
@@ -51,7 +60,17 @@ def coherence(vectors: DataFrame, group: str, dim: int, vector: str = "embedding
 
 
 def memberships(vectors: DataFrame, centres: DataFrame, floor: float, id_col: str = "vec_id", vector: str = "embedding", home: str = "label") -> DataFrame:
-    """(id, region, weight): weight 1 for the home region, the cosine for every other centre at ``floor`` or more."""
+    """(id, region, weight): weight 1 for the home region, the cosine for every other centre at ``floor`` or more.
+
+    More than QUERY_ROWS centres are found through an index of them.
+    """
+    if _many(centres, floor):
+        size = vectors.agg(F.max(F.size(vector))).first()[0]
+        near = vector_index.within(vector_index.build(centres, home, "centroid", size), vectors, floor, id_col, vector)
+        own = vectors.select(F.col(id_col).alias("query_id"), F.col(home).alias("own"))
+        others = near.join(own, "query_id").filter(~F.col("id").eqNullSafe(F.col("own"))).select(F.col("query_id").alias("id"), F.col("id").alias("region"), F.col("score").alias("weight"))
+        at_home = own.join(centres.select(F.col(home).alias("own")), "own").select(F.col("query_id").alias("id"), F.col("own").alias("region"), F.lit(1.0).alias("weight"))
+        return others.unionByName(at_home)
     c = _held(centres.select(F.col(home).alias("region"), "centroid"))
     near = F.round(cosine(F.col(vector), F.col("centroid")), 6)
     joined = vectors.crossJoin(c).select(F.col(id_col).alias("id"), "region", F.when(F.col("region") == F.col(home), 1.0).otherwise(near).alias("weight"))
@@ -67,7 +86,13 @@ def best_centre(vectors: DataFrame, centres: DataFrame, floor: float, id_col: st
 
 
 def centre_pairs(centres: DataFrame, floor: float, top: int, name: str = "label") -> DataFrame:
-    """(a, b, score): pairs of centres at ``floor`` or more, the ``top`` best: candidates for a merge. Centres are few."""
+    """(a, b, score): pairs of centres at ``floor`` or more, the ``top`` best: candidates for a merge.
+
+    The centroids have length one. More than QUERY_ROWS of them are joined through an index.
+    """
+    if _many(centres, floor):
+        met = vector_index.within(vector_index.build(centres, name, "centroid"), centres, floor, name, "centroid").filter("query_id < id")
+        return met.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "score").orderBy(F.desc("score"), "a", "b").limit(top)
     l, r = centres.select(F.col(name).alias("a"), F.col("centroid").alias("x")), _held(centres.select(F.col(name).alias("b"), F.col("centroid").alias("y")))
     return l.join(r, F.col("a") < F.col("b")).select("a", "b", F.round(dot(F.col("x"), F.col("y")), 6).alias("score")).filter(F.col("score") >= floor).orderBy(F.desc("score"), "a", "b").limit(top)
 

@@ -574,10 +574,10 @@ GRID = """grid AS (SELECT q, r, 3.0::DOUBLE * (2 * q + r) AS x, 3.0::DOUBLE * sq
 regions AS (SELECT n_nationkey AS region, ((n_nationkey * 37) % 100 - 50)::DOUBLE AS cx, ((n_nationkey * 53) % 100 - 50)::DOUBLE AS cz, (8 + n_nationkey % 9)::DOUBLE AS radius FROM nation)"""
 
 
-def _warp_sql(x: str, z: str) -> tuple[str, str]:
+def _warp_sql(x: str, z: str, amplitude: float = 4.0) -> tuple[str, str]:
     return (
-        f"({x} + 4.0 * (sin(0.045 * {x}) * cos(0.038 * {z}) + 0.55 * sin(0.11 * {x} + 1.0) * sin(0.09 * {z} + 0.5) + 0.30 * cos(0.18 * {x}) * sin(0.21 * {z})))",
-        f"({z} + 4.0 * (cos(0.052 * {x} + 0.7) * sin(0.041 * {z}) + 0.55 * cos(0.115 * {z}) * sin(0.097 * {x} + 1.2) + 0.30 * cos(0.16 * {z}) * sin(0.20 * {x})))",
+        f"({x} + {amplitude} * (sin(0.045 * {x}) * cos(0.038 * {z}) + 0.55 * sin(0.11 * {x} + 1.0) * sin(0.09 * {z} + 0.5) + 0.30 * cos(0.18 * {x}) * sin(0.21 * {z})))",
+        f"({z} + {amplitude} * (cos(0.052 * {x} + 0.7) * sin(0.041 * {z}) + 0.55 * cos(0.115 * {z}) * sin(0.097 * {x} + 1.2) + 0.30 * cos(0.16 * {z}) * sin(0.20 * {x})))",
     )
 
 
