@@ -30,12 +30,12 @@ from lattica.llm.common import arrow_map
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Words a Python worker remembers before it starts anew, the longest of them, and characters of a text handled at once.
-REMEMBERED = 150_000
+#: Words of a generation that a Python worker remembers, the longest of them, and characters of a text handled at once.
+REMEMBERED = 200_000
 LONGEST = 200
 WINDOW = 1 << 20
 #: Bytes of text whose words are merged together.
-BATCH = 2 << 20
+BATCH = 1 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -91,7 +91,10 @@ class Model:
         self.joined = np.array(sorted({ord(a) << 21 | ord(b) for p in names for a, b in zip(p, p[1:])}), dtype=np.int64)
         self.spaced = not any(SPACE in p.lstrip(SPACE) for p in names)
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.symbol_id = np.array([self.ids.get(x, -1) for x in self.symbols], dtype=np.int64)
+        self.said = [str(i) for i in range(len(self.pieces))]
         self.known: dict[str, tuple[bytes, str, str]] = {}
+        self.former: dict[str, tuple[bytes, str, str]] = {}
         self.spelled = [p.replace(SPACE, " ") for p, _, _ in self.pieces]
 
     def _read(self, data: bytes) -> None:
@@ -120,73 +123,82 @@ class Model:
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """The symbols of each word; -1 - c stands for a character c that no piece has."""
+        symbols, ends = self.merged(words)
+        flat = symbols.tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+    def merged(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The symbols of all words, one after the other, and where each word's end."""
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        if not len(points):
+            return points, [0] * len(words)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
         at = np.minimum(np.searchsorted(self.chars, points), len(self.chars) - 1)
         symbols = np.where(self.chars[at] == points, self.char_symbol[at], -1 - points).astype(np.int64)
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        if not len(points):
-            return [[] for _ in words]
+        word = np.repeat(np.arange(len(words)), sizes)
         # segments: within a word, cut where two characters stand together in no piece
         near = points[:-1] << 21 | points[1:]
         place = np.minimum(np.searchsorted(self.joined, near), max(len(self.joined) - 1, 0))
-        cut = (self.joined[place] != near) if len(self.joined) else np.ones(len(near), bool)
-        segment = np.concatenate([[0], np.cumsum(cut | (word[1:] != word[:-1]))])
-        order = np.arange(len(points))
+        cut = ((self.joined[place] != near) if len(self.joined) else np.ones(len(near), bool)) | (word[1:] != word[:-1])
+        segment, order = np.concatenate([[0], np.cumsum(cut)]), np.arange(len(points))
+        rank, made = self.pairs(symbols[:-1], symbols[1:])
+        rank, made = np.append(np.where(cut, NONE, rank), NONE), np.append(made, 0)  # of the pair that begins here
         done = []
         while len(symbols):
-            symbols, segment, order, left = self._round(symbols, segment, order)
+            symbols, segment, order, rank, made, left = self._round(symbols, segment, order, rank, made)
             done.append(left)
         symbols, order = (np.concatenate([d[k] for d in done]) for k in (0, 1))
         by = np.argsort(order)
-        symbols, ends = symbols[by], np.searchsorted(order[by], np.cumsum([len(w) for w in words]))
-        flat = symbols.tolist()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return symbols[by], np.searchsorted(order[by], np.cumsum(sizes)).tolist()
 
-    def _round(self, symbols: np.ndarray, segment: np.ndarray, order: np.ndarray):
+    def _round(self, symbols: np.ndarray, segment: np.ndarray, order: np.ndarray, rank: np.ndarray, made: np.ndarray):
         """One round: segments without a pair leave, the others merge all their leftmost pairs of least rank."""
-        inside = segment[1:] == segment[:-1]
-        rank, made = self.pairs(symbols[:-1], symbols[1:])
-        rank = np.append(np.where(inside, rank, NONE), NONE)  # of the pair that begins here
-        made = np.append(made, 0)
-        starts = np.flatnonzero(np.concatenate([[True], ~inside]))
+        starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
         least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(symbols))))
         over = least == NONE
         left = symbols[over], order[over]
-        if over.all():
-            return symbols[:0], segment[:0], order[:0], left
         pick = ~over
         symbols, segment, order, rank, made, least = (x[pick] for x in (symbols, segment, order, rank, made, least))
+        if not len(symbols):
+            return symbols, segment, order, rank, made, left
         chosen = rank == least
         # of overlapping neighbours every second one stays, counted from the left
         n = np.arange(len(chosen))
         began = np.maximum.accumulate(np.where(chosen & ~np.concatenate([[False], chosen[:-1]]), n, 0))
         chosen &= (n - began) % 2 == 0
-        first = np.zeros(len(chosen), bool)
         picked = np.flatnonzero(chosen)
-        first[picked[np.concatenate([[True], segment[picked[1:]] != segment[picked[:-1]]])]] = True
-        early = self._early(symbols, segment, made, least, chosen)
-        if early.any():
-            alone = np.isin(segment, segment[early])
-            chosen &= ~alone | first
-        merged = np.where(chosen, made, symbols)
+        first = np.concatenate([[True], segment[picked[1:]] != segment[picked[:-1]]])
+        several = ~first
+        several[:-1] |= ~first[1:]
+        if several.any():
+            early = self._early(symbols, segment, made, least, chosen, picked[several])
+            if len(early):
+                alone = np.isin(segment[picked], segment[early])
+                chosen[picked[alone & ~first]] = False
+        symbols = np.where(chosen, made, symbols)
         stay = ~np.concatenate([[False], chosen[:-1]])
-        return merged[stay], segment[stay], order[stay], left
-
-    def _early(self, symbols: np.ndarray, segment: np.ndarray, made: np.ndarray, least: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """Chosen pairs whose merge makes a pair that the library would merge before the next chosen one."""
-        n = len(symbols)
-        at = np.flatnonzero(chosen)
-        found = np.zeros(n, bool)
-        after = at[at + 2 < n]
+        fresh = np.flatnonzero(chosen[stay])
+        symbols, segment, order, rank, made = (x[stay] for x in (symbols, segment, order, rank, made))
+        # pairs that begin at a merged symbol or end at one are new
+        touched = np.zeros(len(symbols), bool)
+        touched[fresh] = touched[fresh[fresh > 0] - 1] = True
+        again = np.flatnonzero(touched)
+        ahead = np.minimum(again + 1, len(symbols) - 1)
+        inside = (segment[ahead] == segment[again]) & (again + 1 < len(symbols))
+        found, piece = self.pairs(symbols[again], symbols[ahead])
+        rank[again], made[again] = np.where(inside, found, NONE), piece
+        return symbols, segment, order, rank, made, left
+
+    def _early(self, symbols: np.ndarray, segment: np.ndarray, made: np.ndarray, least: np.ndarray, chosen: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the chosen pairs ``at`` those whose merge makes a pair that the library would merge before the next chosen one."""
+        after = at[at + 2 < len(symbols)]
         after = after[segment[after] == segment[after + 2]]
-        rank, _ = self.pairs(made[after], symbols[after + 2])
-        found[after[rank <= least[after]]] = True
+        ahead, _ = self.pairs(made[after], symbols[after + 2])
         before = at[at > 0]
         before = before[segment[before] == segment[before - 1]]
         lefts = np.where((before >= 2) & chosen[before - 2], made[before - 2], symbols[before - 1])
-        rank, _ = self.pairs(lefts, made[before])
-        found[before[rank <= least[before]]] = True
-        return found
+        behind, _ = self.pairs(lefts, made[before])
+        return np.concatenate([after[ahead <= least[after]], before[behind <= least[before]]])
 
     def ids_of(self, symbols: list[int]) -> list[int]:
         out = []
@@ -232,21 +244,43 @@ class Model:
         return out
 
     def look_up(self, words: list[str]) -> list[tuple[bytes, str, str]]:
-        """What is remembered of each word; the others are merged now, and remembered if they are short."""
+        """What is remembered of each word; the others are merged now.
+
+        Two generations are kept: when the younger one is full it takes the place of the older one, and words that are met
+        again come over.
+        """
         known = self.known
-        new = list({w for w in words if w not in known})
+        new = {w for w in words if w not in known}
         if not new:
-            return [known[w] for w in words]
-        fresh = {}
-        for word, symbols in zip(new, self.merge(new)):
-            ids = self.ids_of(symbols)
-            fresh[word] = np.array(ids, dtype="<i4").tobytes(), ",".join(map(str, ids)), self.decode(ids, begun=True)
-        out = [known.get(w) or fresh[w] for w in words]
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-        known.update((w, f) for w, f in itertools.islice(fresh.items(), REMEMBERED) if len(w) <= LONGEST)
+            return list(map(known.__getitem__, words))
+        back = {w: self.former[w] for w in new if w in self.former}
+        known.update(back)
+        known.update(self.described([w for w in new if w not in back]))
+        out = list(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        if len(known) > REMEMBERED:
+            self.known, self.former = {}, known
         return out
 
+    def described(self, words: list[str]) -> Iterator[tuple[str, tuple[bytes, str, str]]]:
+        """(word, (ids as bytes, ids as text, what they decode to)) of new words, merged together."""
+        symbols, ends = self.merged(words)
+        ids = np.where(symbols >= 0, self.symbol_id[np.maximum(symbols, 0)], -1)
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), side="right"))  # words with characters that become bytes
+        odd = set(odd.tolist())
+        whole, flat = ids.astype("<i4").tobytes(), np.maximum(ids, 0).tolist()
+        said, spelled = [self.said[i] for i in flat], [self.spelled[i] for i in flat]
+        begin = 0
+        for k, (word, end) in enumerate(zip(words, ends)):
+            if k in odd:
+                own = self.ids_of(symbols[begin:end].tolist())
+                yield word, (np.array(own, dtype="<i4").tobytes(), ",".join(map(str, own)), self.decode(own, begun=True))
+            else:
+                yield word, (whole[4 * begin : 4 * end], ",".join(said[begin:end]), "".join(spelled[begin:end]))
+            begin = end
+
     def decode(self, ids, begun: bool = False) -> str:
         """The text of a list of ids, as the library gives it: bytes that are no UTF-8 become U+FFFD one by one.
 

@@ -99,7 +99,7 @@ def test_pieces_windows_and_forgetting(monkeypatch):
     monkeypatch.setattr(pieces, "LONGEST", 8)
     texts = ["".join(rng.choice("ab cdé   ") for _ in range(rng.choice([40, 49, 50, 51, 500]))) for _ in range(60)] + ["x" * 400, " " * 400, "ab" + " " * 60 + "cd" * 40 + "   "]
     assert [np.frombuffer(ids, "<i4").tolist() for ids, _, _ in m.encode(texts)] == sp.encode(texts)
-    assert len(m.known) <= 30
+    assert len(m.known) <= 30 and not any(len(w) > 8 for w in [*m.known, *m.former])
 
 
 def test_pieces_that_merge_out_of_order():
