@@ -128,3 +128,113 @@ def placed_tags(spark, sf_dir) -> DataFrame:
     tags = table(spark, sf_dir, "part").select(key.alias("tag_id"), (key % 25).cast("long").alias("region"), ((key * 7919) % 101).cast("double").alias("elevation"))
     tags = tags.withColumn("depth", territory.tag_depth(F.col("elevation"), F.col("tag_id")))
     return territory.place_tags(_owned(spark, sf_dir), _regions(spark, sf_dir), tags)
+
+
+# Todos ----------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def curated_todos(spark, sf_dir) -> DataFrame:
+    """Todos made of orders and their parts' names, in three buckets by days until due."""
+    from lattica.operators import curation
+
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    lines = table(spark, sf_dir, "lineitem").join(part, "l_partkey").groupBy("l_orderkey").agg(F.array_join(F.slice(F.array_sort(F.collect_list("p_name")), 1, 3), " and ").alias("names"))
+    days = F.datediff("o_orderdate", F.lit("1998-06-01").cast("date"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    verb = F.element_at(F.array(*map(F.lit, ["Send", "Review the", "call about", "“Order", "Ship"])), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    bucket = F.when(days < 0, "overdue").when(days <= 7, "due_soon").when(days <= 90, "upcoming").otherwise("later")
+    items = orders.select("o_orderkey", F.concat(F.lit("Todo: "), verb, F.lit(" "), "names").alias("title"), bucket.alias("bucket"), days.alias("days"))
+    ordered = items.withColumn("place", F.abs("days").cast("long") * 1_000_000_000_000 + F.col("o_orderkey"))
+    return curation.curated(ordered, "place").select("o_orderkey", "text", "bucket", "days")
+
+
+# Tour numbers ---------------------------------------------------------------------------------------------------------
+
+
+#: A forest over all customers: three below each, the roots are those that their third would be their own parent.
+HEAP_SQL = """heap AS (SELECT c_custkey AS node_id, CASE WHEN c_custkey >= 3 THEN c_custkey // 3 END AS parent_id, c_acctbal AS worth FROM customer),
+walk AS (SELECT node_id, parent_id, [{'w': -worth, 'n': node_id}] AS way FROM heap WHERE parent_id IS NULL UNION ALL
+  SELECT h.node_id, h.parent_id, list_append(way, {'w': -h.worth, 'n': h.node_id}) FROM walk JOIN heap AS h ON h.parent_id = walk.node_id)"""
+
+
+def _heap(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("node_id"), F.when(k >= 3, F.floor(k / 3).cast("long")).alias("parent_id"), (-F.col("c_acctbal")).alias("less"))
+
+
+@query("WITH RECURSIVE " + HEAP_SQL + """
+SELECT a.node_id, a.parent_id, row_number() OVER (ORDER BY a.way) - 1 AS pre, (SELECT count(*) FROM walk AS b WHERE b.way[:len(a.way)] = a.way) AS size, len(a.way) - 1 AS depth FROM walk AS a""")
+def tour_numbers(spark, sf_dir) -> DataFrame:
+    from lattica.operators import tours
+
+    return tours.tour(_heap(spark, sf_dir), ["less"])
+
+
+@query("WITH RECURSIVE " + HEAP_SQL + """, own AS (SELECT o_custkey AS node_id, count(*) AS n FROM orders GROUP BY 1)
+SELECT a.node_id, coalesce(max(o.n), 0)::BIGINT AS own, (SELECT coalesce(sum(x.n), 0) FROM walk AS b JOIN own AS x ON x.node_id = b.node_id WHERE b.way[:len(a.way)] = a.way)::BIGINT AS total FROM walk AS a LEFT JOIN own AS o USING (node_id) GROUP BY a.node_id, a.way""")
+def subtree_orders(spark, sf_dir) -> DataFrame:
+    """Orders of each customer and of all below, from the tour's intervals."""
+    from lattica.operators import tours
+
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node_id"), F.lit(1).cast("long").alias("n"))
+    return tours.subtree_sums(tours.tour(_heap(spark, sf_dir), ["less"]), own, "n")
+
+
+# VARIANT --------------------------------------------------------------------------------------------------------------
+
+
+def _nested_values(spark, sf_dir) -> DataFrame:
+    """An order as one VARIANT: dates, decimals, bytes, a set of flags, a map of its lines' parts, an object two levels down."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("flags"), F.map_from_entries(F.collect_set(F.struct(F.concat(F.lit("p"), F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")), F.lit(True)))).alias("parts"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    inner = F.struct(F.struct(F.col("o_orderpriority").alias("label"), F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3))).alias("grid")).alias("deep"), F.col("flags"), F.col("parts"))
+    whole = F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("decimal(12,2)").alias("price"), F.encode("o_orderstatus", "UTF-8").alias("raw"), F.lit(None).cast("string").alias("nothing"), (F.col("o_orderkey") % 2 == 0).alias("even"), inner.alias("inner"))
+    return orders.select("o_orderkey", F.to_variant_object(whole).alias("v"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, list_sort(list(DISTINCT l_returnflag)) AS flags, list_sort(list(DISTINCT 'p' || l_linenumber || '-' || l_partkey)) AS parts FROM lineitem GROUP BY 1),
+o AS (SELECT *, o_totalprice::DECIMAL(12,2) AS p FROM orders JOIN l ON o_orderkey = l_orderkey)
+SELECT o_orderkey, '{"day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","even":' || (o_orderkey % 2 = 0) || ',"inner":{"deep":{"grid":[[1,2],[3]],"label":"' || o_orderpriority || '"},"flags":["' || array_to_string(flags, '","') || '"],"parts":{"' || array_to_string(parts, '":true,"') || '":true}},"key":' || o_orderkey
+  || ',"nothing":null,"price":' || CASE WHEN contains(p::VARCHAR, '.') THEN rtrim(rtrim(p::VARCHAR, '0'), '.') ELSE p::VARCHAR END || ',"raw":"' || lower(hex(o_orderstatus)) || '"}' AS json FROM o""")
+def safe_json(spark, sf_dir) -> DataFrame:
+    from lattica.functions import variants
+
+    return variants.json_safe(_nested_values(spark, sf_dir), "o_orderkey", "v")
+
+
+# Paged sources --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000 AND o_orderkey % 3 = 0")
+def paged_orders(spark, sf_dir) -> DataFrame:
+    """Two filters go down to the pages, the third stays with Spark."""
+    from lattica.sources import paged
+
+    rows = paged.read_paged(spark, f"{sf_dir}/orders.parquet", 2_000)
+    found = rows.filter((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000.0) & (F.col("o_orderkey") % 3 == 0))
+    return found.select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+# Changes since a boundary ---------------------------------------------------------------------------------------------
+
+CHANGES_SQL = """e AS (SELECT 's' || (user_id % 40) AS source, ts, event_id, CASE WHEN event_type <> 'error' OR event_id % 7 <> 0 THEN event_type END AS change FROM events),
+b AS (SELECT source, max(ts) FILTER (change IS NULL) AS boundary FROM e GROUP BY source)"""
+
+
+@query(with_(CHANGES_SQL) + """SELECT b.source, boundary, e.change, count(e.change) AS n FROM b LEFT JOIN e ON e.source = b.source AND e.change IS NOT NULL AND (boundary IS NULL OR e.ts > boundary) GROUP BY 1, 2, 3""")
+def stream_since_boundary(spark, sf_dir) -> DataFrame:
+    """The events as a stream of files, in two runs: the second goes on from the first one's checkpoint."""
+    import uuid
+
+    from lattica.session import shared_dir
+    from lattica.streaming import boundaries
+
+    rows = table(spark, sf_dir, "events")
+    mark = (F.col("event_type") == "error") & (F.col("event_id") % 7 == 0)
+    rows = rows.select(F.concat(F.lit("s"), (F.col("user_id") % 40).cast("string")).alias("source"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.when(~mark, F.col("event_type")).alias("change"))
+    path = f"{shared_dir(spark)}/since-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        rows.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{path}/landing")
+        boundaries.run_since(spark.readStream.schema(rows.schema).parquet(f"{path}/landing"), path)
+    return boundaries.standing(spark, path)
