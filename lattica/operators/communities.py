@@ -60,6 +60,9 @@ def _moves(level: Level, votes: DataFrame, turn: int) -> DataFrame:
     allowed = away & (_coin(F.col("own"), turn) < _coin(F.col("comm"), turn))
     row = F.struct("value", "tie", "comm")
     each = scored.groupBy("id", "own").agg(F.max(F.when(~away, F.col("value"))).alias("stay"), F.max(F.when(away, row)).alias("any"), F.max(F.when(allowed, row)).alias("free"))
+    alone = F.struct(F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("tie"), F.xxhash64("id", "own", F.lit(turn)).alias("comm"))  # a community of its own
+    better = lambda c: F.when(F.col(f"{c}.value") > 0, F.col(c)).otherwise(alone)
+    each = each.select("id", "own", "stay", better("any").alias("any"), better("free").alias("free"))
     gain = lambda c: F.col(f"{c}.value") - F.col("stay")
     return each.select("id", "own", F.col("any.comm").alias("best"), gain("any").alias("gain"), F.when(gain("free") > 0, F.col("free.comm")).alias("free")).filter("gain > 0")
 
@@ -134,45 +137,57 @@ def refine(level: Level, members: DataFrame, rounds: int) -> DataFrame:
     return parts.drop("all")
 
 
-def leiden(edges: DataFrame, resolution: float = 1.0, rounds: int = 60, levels: int = 10, least_gain: float = 1e-6) -> DataFrame:
-    """(id, community) of undirected weighted edges (a, b, weight); a community is named by its least node.
-
-    Repeated edges add up; loops, null ends and weights that are not above zero are ignored; a node without an edge does not
-    appear, an empty table gives no rows. ``resolution`` above one gives smaller communities. Local moves of a level end when no node
-    gains by moving, when two rounds running raise modularity by less than ``least_gain``, or after ``rounds`` rounds. Every
-    community is connected. The result depends on the edges alone, not on their order or partitions, up to gains that tie beyond
-    nine digits.
-    """
-    good = edges.filter("a <> b AND weight > 0").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("weight").cast("double").alias("w"))
-    both = good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
-    first = both = materialize(both, "edges")
-    total = both.agg(F.sum("w")).first()[0]
-    if not total:
-        return both.select(F.col("src").alias("id"), F.col("dst").alias("community"))
-    members = materialize(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).select("id", F.col("id").alias("comm"), "k", F.lit(0.0).alias("loop")), "members")
+def _pass(both: DataFrame, members: DataFrame, total: float, resolution: float, rounds: int, levels: int, least_gain: float) -> tuple[DataFrame, float]:
+    """(id, community) and its modularity after moves, refinement and aggregation, level by level, from ``members`` on."""
     names = members.select("id", F.col("id").alias("node"))  # of the first level's nodes: the node that they are in
     inside = 0.0
     for _ in range(levels):
         level = Level(both, inside, total, resolution)
-        members, _, changed = local_moves(level, members, rounds, least_gain)
+        members, now, changed = local_moves(level, members, rounds, least_gain)
         found = materialize(names.join(members.select(F.col("id").alias("node"), "comm"), "node").select("id", "node", F.col("comm").alias("community")), "found")
-        if not changed:
+        if not changed and inside:
             break
         parts = refine(level, members, rounds)
         n, m = parts.agg(F.count("*"), F.count_distinct("part")).first()
         if n == m:
             break
-        part = lambda end, name: parts.select(F.col("id").alias(end), F.col("part").alias(name))
+        part = lambda end, name: parts.select(F.col("id").alias(end), F.col("part").alias(name))  # noqa: B023, E731
         lifted = materialize(both.join(part("src", "p"), "src").join(part("dst", "q"), "dst").groupBy("p", "q").agg(F.sum("w").alias("w")), "lifted")
         both = lifted.filter("p <> q").select(F.col("p").alias("src"), F.col("q").alias("dst"), "w")
         loops = lifted.filter("p = q").select(F.col("p").alias("part"), F.col("w").alias("inside"))
         nodes = parts.groupBy("part").agg(F.first("comm").alias("comm"), F.sum("k").alias("k"), F.sum("loop").alias("loop")).join(loops, "part", "left")
-        nodes = nodes.select(F.col("part").alias("id"), "comm", "k", (F.col("loop") + F.coalesce("inside", F.lit(0.0))).alias("loop"))
-        members = materialize(nodes, "members")
+        members = materialize(nodes.select(F.col("part").alias("id"), "comm", "k", (F.col("loop") + F.coalesce("inside", F.lit(0.0))).alias("loop")), "members")
         inside = members.agg(F.sum("loop")).first()[0] or 0.0
         names = materialize(found.join(part("node", "p"), "node").select("id", F.col("p").alias("node")), "names")
-    at = lambda end, name: found.select(F.col("id").alias(end), F.col("community").alias(name))
-    kept = first.filter("src < dst").join(at("src", "c"), "src").join(at("dst", "d"), "dst").filter("c = d")
+    return found.select("id", "community"), now
+
+
+def leiden(edges: DataFrame, resolution: float = 1.0, passes: int = 3, rounds: int = 60, levels: int = 10, least_gain: float = 1e-6) -> DataFrame:
+    """(id, community) of undirected weighted edges (a, b, weight); a community is named by its least node.
+
+    Repeated edges add up; loops, null ends and weights that are not above zero are ignored; a node without an edge does not
+    appear, an empty table gives no rows. ``resolution`` above one gives smaller communities. Local moves of a level end when no node
+    gains by moving, when two rounds running raise modularity by less than ``least_gain``, or after ``rounds`` rounds. A pass goes
+    through all levels; the next one starts with single nodes in the communities found, and so can take apart what was joined
+    too early. At most ``passes`` are made, fewer if one gains less than ``least_gain``. Every community is connected. The result
+    depends on the edges alone, not on their order or partitions, up to gains that tie beyond nine digits.
+    """
+    good = edges.filter("a <> b AND weight > 0").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("weight").cast("double").alias("w"))
+    both = good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+    both = materialize(both, "edges")
+    total = both.agg(F.sum("w")).first()[0]
+    if not total:
+        return both.select(F.col("src").alias("id"), F.col("dst").alias("community"))
+    single = materialize(both.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).select("id", F.col("id").alias("comm"), "k", F.lit(0.0).alias("loop")), "members")
+    found, now = _pass(both, single, total, resolution, rounds, levels, least_gain)
+    for _ in range(passes - 1):
+        members = materialize(single.drop("comm").join(found, "id").select("id", F.col("community").alias("comm"), "k", "loop"), "members")
+        again, after = _pass(both, members, total, resolution, rounds, levels, least_gain)
+        if after - now < least_gain:
+            break
+        found, now = again, after
+    at = lambda end, name: found.select(F.col("id").alias(end), F.col("community").alias(name))  # noqa: B023, E731
+    kept = both.filter("src < dst").join(at("src", "c"), "src").join(at("dst", "d"), "dst").filter("c = d")
     whole = connected_components(kept, "src", "dst")
     return found.select("id").join(whole, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("community"))
 

@@ -211,8 +211,8 @@ def paged_orders(spark, sf_dir) -> DataFrame:
     """Two filters go down to the pages, the third stays with Spark."""
     from lattica.sources import paged
 
-    rows = paged.read_paged(spark, f"{sf_dir}/orders.parquet", 2_000)
-    found = rows.filter((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000.0) & (F.col("o_orderkey") % 3 == 0))
+    where = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000.0) & (F.col("o_orderkey") % 3 == 0)
+    found = paged.fetch(spark, f"{sf_dir}/orders.parquet", where, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], 2_000)
     return found.select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice"))
 
 

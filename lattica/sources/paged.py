@@ -15,13 +15,15 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringStartsWith,
 )
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
+from lattica.session import materialize
+
 COMPARED = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
@@ -123,11 +125,25 @@ class PagedReader(DataSourceReader):
         return test(column, value.cast(column.type) if not isinstance(f.value, float) else value)
 
 
-def read_paged(spark: SparkSession, path: str, page_rows: int = 10_000) -> DataFrame:
-    """The rows behind a paged source. Filters on plain columns go down to the pages; files have to be readable by Python.
+def scan(spark: SparkSession, path: str, page_rows: int = 10_000) -> DataFrame:
+    """The rows behind a paged source, for one query only.
 
-    Turns on Spark's push-down into Python sources for the session.
+    Spark 4.1 keeps what was pushed down with the source that ``load`` made, not with the query: a second query on the same
+    DataFrame, or a self-join of it, would read with the filters of another. So every query takes a scan of its own; ``fetch``
+    does that.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedSource)
     return spark.read.format("paged").option("page_rows", str(page_rows)).load(path)
+
+
+def fetch(spark: SparkSession, path: str, where: Column | None = None, columns: list[str] | None = None, page_rows: int = 10_000) -> DataFrame:
+    """The rows of a paged source that pass ``where``, landed in a table of the shared folder and read from there.
+
+    Pages are asked once, however often the result is used. Conditions on plain columns that are joined by AND go down to the pages,
+    the others are Spark's. A folder without files raises; files have to be readable by Python. Turns on Spark's push-down into
+    Python sources for the session.
+    """
+    rows = scan(spark, path, page_rows)
+    rows = rows if where is None else rows.filter(where)
+    return materialize(rows if columns is None else rows.select(*columns), "pages")

@@ -28,7 +28,7 @@ class SinceBoundary(StatefulProcessor):
         self.boundary = handle.getValueState("boundary", "ts timestamp")
         self.changes = handle.getMapState("changes", "ts timestamp, event_id long", "change string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.boundary.get()[0] if self.boundary.exists() else None
         newest = None
         for part in rows:
@@ -50,7 +50,7 @@ class SinceBoundary(StatefulProcessor):
             self.handle.registerTimer(int(newest.timestamp() * 1000) + self.silence_ms)
         yield self.told(key, last, False)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self.told(key, self.boundary.get()[0] if self.boundary.exists() else None, True)
 
     def told(self, key, last, closed: bool) -> pd.DataFrame:
