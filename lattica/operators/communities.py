@@ -162,7 +162,7 @@ def _pass(both: DataFrame, members: DataFrame, total: float, resolution: float,
     return found.select("id", "community"), now
 
 
-def leiden(edges: DataFrame, resolution: float = 1.0, passes: int = 3, rounds: int = 60, levels: int = 10, least_gain: float = 1e-6) -> DataFrame:
+def leiden(edges: DataFrame, resolution: float = 1.0, passes: int = 2, rounds: int = 60, levels: int = 10, least_gain: float = 1e-6) -> DataFrame:
     """(id, community) of undirected weighted edges (a, b, weight); a community is named by its least node.
 
     Repeated edges add up; loops, null ends and weights that are not above zero are ignored; a node without an edge does not

@@ -238,3 +238,74 @@ def stream_since_boundary(spark, sf_dir) -> DataFrame:
         rows.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(f"{path}/landing")
         boundaries.run_since(spark.readStream.schema(rows.schema).parquet(f"{path}/landing"), path)
     return boundaries.standing(spark, path)
+
+
+# Workspace state ------------------------------------------------------------------------------------------------------
+
+
+def _memory_log(spark, sf_dir) -> DataFrame:
+    k = F.col("o_orderkey")
+    op = F.when(k % 7 == 0, "delete").when(k % 3 == 0, "create").otherwise("update")
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), k.alias("at"), op.alias("op"), F.when(k % 2 == 0, F.concat(F.lit("r"), (k % 25).cast("string"))).alias("region_key"), F.when(k % 5 < 3, F.col("o_orderpriority")).alias("title"), F.col("o_orderstatus").alias("body"), F.when(k % 3 == 0, "answer").alias("kind"))
+
+
+@query("""WITH l AS (SELECT o_custkey AS id, o_orderkey AS at_, CASE WHEN o_orderkey % 7 = 0 THEN 'delete' WHEN o_orderkey % 3 = 0 THEN 'create' ELSE 'update' END AS op,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'r' || (o_orderkey % 25) END AS region_key, CASE WHEN o_orderkey % 5 < 3 THEN o_orderpriority END AS title, o_orderstatus AS body, CASE WHEN o_orderkey % 3 = 0 THEN 'answer' END AS kind FROM orders),
+s AS (SELECT id, list({'op': op, 'r': region_key, 't': title, 'b': body, 'k': kind, 'c': at_, 'u': at_} ORDER BY at_) AS x FROM l GROUP BY id),
+f AS (SELECT id, list_reduce([{'op': 'none', 'r': NULL::VARCHAR, 't': NULL::VARCHAR, 'b': NULL::VARCHAR, 'k': NULL::VARCHAR, 'c': NULL::BIGINT, 'u': NULL::BIGINT}] || x, lambda a, e:
+  CASE WHEN e.op = 'delete' THEN {'op': 'none', 'r': NULL, 't': NULL, 'b': NULL, 'k': NULL, 'c': NULL, 'u': NULL} WHEN a.op = 'none' AND e.op = 'create' THEN e WHEN a.op <> 'none' AND e.op = 'update' THEN
+  {'op': 'create', 'r': coalesce(e.r, a.r), 't': coalesce(e.t, a.t), 'b': coalesce(e.b, a.b), 'k': coalesce(e.k, a.k), 'c': a.c, 'u': e.u} ELSE a END) AS z FROM s)
+SELECT id, z.r AS region_key, z.t AS title, z.b AS body, z.k AS kind, z.c AS created, z.u AS updated FROM f WHERE z.op = 'create'""")
+def workspace_memory(spark, sf_dir) -> DataFrame:
+    """Orders as entries of their customers' memory items; the SQL folds each item's entries one by one."""
+    from lattica.operators import workspace
+
+    return workspace.memory_items(_memory_log(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT o_custkey AS key, o_orderkey AS a, CASE WHEN o_orderkey % 4 <> 0 THEN 'g' || (o_orderkey % 5) END AS region_id, o_orderpriority AS region_name FROM orders),
+s AS (SELECT key, list({'r': region_id, 'n': region_name, 'a': a} ORDER BY a) AS x FROM l GROUP BY key),
+f AS (SELECT key, list_reduce([{'r': NULL::VARCHAR, 'n': NULL::VARCHAR, 'c': NULL::BIGINT, 'u': NULL::BIGINT, 'h': []::VARCHAR[]}] || list_transform(x, lambda e: {'r': e.r, 'n': e.n, 'c': e.a, 'u': e.a, 'h': []::VARCHAR[]}), lambda s, e:
+  CASE WHEN s.c IS NULL AND e.r IS NULL THEN s ELSE {'r': e.r, 'n': CASE WHEN e.r IS NULL THEN s.n ELSE e.n END, 'c': coalesce(s.c, e.c), 'u': e.u, 'h': CASE WHEN s.r IS NOT NULL AND s.r IS DISTINCT FROM e.r AND NOT list_contains(s.h, s.r) THEN list_append(s.h, s.r) ELSE s.h END} END) AS z FROM s)
+SELECT key, z.r AS region_id, z.n AS region_name, CASE WHEN z.r IS NULL THEN 'orphaned' ELSE 'attached' END AS status, array_to_string(z.h, ' ') AS history, z.c AS created, z.u AS updated FROM f WHERE z.c IS NOT NULL""")
+def workspace_anchors(spark, sf_dir) -> DataFrame:
+    from lattica.operators import workspace
+
+    k = F.col("o_orderkey")
+    log = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), k.alias("at"), F.when(k % 4 != 0, "attach").otherwise("orphan").alias("op"), F.concat(F.lit("g"), (k % 5).cast("string")).alias("region_id"), F.col("o_orderpriority").alias("region_name"), F.lit(1).alias("level"))
+    return workspace.anchors(log).withColumn("history", F.array_join("history", " ")).drop("level")
+
+
+@query("""SELECT user_id % 25 AS region_key, ts AS seen, lag(ts) OVER (PARTITION BY user_id % 25 ORDER BY ts) AS previous FROM (SELECT DISTINCT user_id % 25 AS user_id, ts FROM events WHERE event_id % 3 <> 0 UNION SELECT user_id % 25, max(ts) FROM events WHERE event_id % 3 = 0 AND ts < TIMESTAMP '2024-01-01 12:00:00' GROUP BY 1) QUALIFY ts NOT IN (SELECT max(ts) FROM events WHERE event_id % 3 = 0 AND ts < TIMESTAMP '2024-01-01 12:00:00' GROUP BY user_id % 25)""")
+def workspace_visits(spark, sf_dir) -> DataFrame:
+    from lattica.operators import workspace
+
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("region_key"), F.col("ts").alias("at"), "event_id")
+    stored = e.filter("event_id % 3 = 0 AND at < TIMESTAMP_NTZ '2024-01-01 12:00:00'").drop("event_id")
+    return workspace.touched(stored, e.filter("event_id % 3 <> 0")).withColumnRenamed("at", "seen")
+
+
+# Node trees -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey AS id, '## Order ' || o_orderkey || chr(10) || chr(10) || '***' || o_orderpriority || '*** by [@C' || o_custkey || '](https://x/' || o_custkey || ')' || chr(10) || chr(10) || '- open' || chr(10) || '  1. ' || o_orderstatus || chr(10) || '  2. `x`' || chr(10) || chr(10)
+  || '| Key | Status |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderkey || ' | ' || o_orderstatus || ' \\| ' || (o_orderkey % 3) || ' |' || chr(10) || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '> ⚠️ late' ELSE '```sql' || chr(10) || 'select ' || o_orderkey || chr(10) || '```' END AS markdown FROM orders""")
+def tree_markdown(spark, sf_dir) -> DataFrame:
+    """An order as a node tree: heading, marks and a linked mention, a list in a list, a table, a panel or a code block."""
+    from lattica.plans.knowledge_queries import text_of
+    from lattica.sources import adf
+
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    para = lambda *inner: text_of('{"type":"paragraph","content":[', *inner, "]}")
+    say = lambda *t: text_of('{"type":"text","text":"', *t, '"}')
+    marked = lambda marks, *t: text_of('{"type":"text","marks":[', marks, '],"text":"', *t, '"}')
+    item = lambda *inner: text_of('{"type":"listItem","content":[', *inner, "]}")
+    cell = lambda kind, inner: text_of('{"type":"', kind, '","content":[', inner, "]}")
+    row = lambda a, b: text_of('{"type":"tableRow","content":[', a, ",", b, "]}")
+    link = text_of('{"type":"link","attrs":{"href":"https://x/', F.col("o_custkey"), '"}}')
+    inner = text_of('{"type":"orderedList","content":[', item(para(say(status))), ",", item(para(marked('{"type":"code"}', "x"))), "]}")
+    listed = text_of('{"type":"bulletList","content":[', item(para(say("open")), ",", inner), "]}")
+    grid = text_of('{"type":"table","content":[', row(cell("tableHeader", para(say("Key"))), cell("tableHeader", para(say("Status")))), ",", row(cell("tableCell", para(say(k))), cell("tableCell", para(say(status, " | ", k % 3)))), "]}")
+    last = F.when(k % 2 == 0, text_of('{"type":"panel","attrs":{"panelType":"warning"},"content":[', para(say("late")), "]}")).otherwise(text_of('{"type":"codeBlock","attrs":{"language":"sql"},"content":[', say("select ", k), "]}"))
+    body = text_of('{"type":"doc","content":[', '{"type":"heading","attrs":{"level":2},"content":[', say("Order ", k), "]},", para(marked('{"type":"em"},{"type":"strong"}', F.col("o_orderpriority")), ",", say(" by "), ",", marked(link, "@C", F.col("o_custkey"))), ",", listed, ",", grid, ",", last, "]}")
+    return table(spark, sf_dir, "orders").select(k.alias("id"), adf.adf_markdown(body).alias("markdown"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lattica.operators.texts import html_to_text
 from lattica.session import materialize
@@ -32,10 +34,30 @@ def mime_parts(payloads: DataFrame, id_col: str = "id", payload: str = "payload"
             return out
 
 
+#: Charsets that Spark decodes itself, all others are left to Python's codecs.
+LATIN, UTF = ["iso-8859-1", "latin-1", "latin1"], ["", "utf-8", "utf8", "us-ascii", "ascii"]
+
+
+@F.pandas_udf(StringType())
+def _by_codec(raw: pd.Series, charset: pd.Series) -> pd.Series:
+    def one(data, name):
+        try:
+            return bytes(data).decode(name, "replace")
+        except LookupError:  # nobody knows that charset
+            return bytes(data).decode("utf-8", "replace")
+
+    return pd.Series([None if d is None else one(d, n) for d, n in zip(raw, charset)], dtype="object")
+
+
 def decoded(data: Column, charset: Column) -> Column:
-    """URL-safe base64 as text: Latin-1 where the part says so, else UTF-8 with what is not valid replaced."""
+    """URL-safe base64 as text by the part's own charset; UTF-8 if it names none or an unknown one. Invalid bytes are replaced.
+
+    UTF-8 and Latin-1 stay in the JVM; only parts of other charsets go to Python.
+    """
     raw = F.unbase64(F.translate(F.coalesce(data, F.lit("")), "-_", "+/"))
-    return F.when(charset.isin("iso-8859-1", "latin-1", "latin1", "windows-1252"), F.decode(raw, "ISO-8859-1")).otherwise(F.make_valid_utf8(raw.cast("string")))
+    plain = F.when(charset.isin(LATIN), F.decode(raw, "ISO-8859-1")).otherwise(F.make_valid_utf8(raw.cast("string")))
+    other = ~charset.isin(LATIN + UTF)
+    return F.when(other, _by_codec(F.when(other, raw), charset)).otherwise(plain)
 
 
 def best_text(parts: DataFrame) -> DataFrame:
