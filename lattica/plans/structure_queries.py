@@ -309,3 +309,33 @@ def tree_markdown(spark, sf_dir) -> DataFrame:
     last = F.when(k % 2 == 0, text_of('{"type":"panel","attrs":{"panelType":"warning"},"content":[', para(say("late")), "]}")).otherwise(text_of('{"type":"codeBlock","attrs":{"language":"sql"},"content":[', say("select ", k), "]}"))
     body = text_of('{"type":"doc","content":[', '{"type":"heading","attrs":{"level":2},"content":[', say("Order ", k), "]},", para(marked('{"type":"em"},{"type":"strong"}', F.col("o_orderpriority")), ",", say(" by "), ",", marked(link, "@C", F.col("o_custkey"))), ",", listed, ",", grid, ",", last, "]}")
     return table(spark, sf_dir, "orders").select(k.alias("id"), adf.adf_markdown(body).alias("markdown"))
+
+
+# Chunks ---------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT o_custkey AS d, o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 1 + o_orderkey % 2 END AS lvl, 'T' || o_orderkey AS t, 'Order ' || o_orderkey || ' of @c' || (o_orderkey % 4) || ' at https://x/' || (o_orderkey % 5) || ', ABC-' || (o_orderkey % 3) AS line FROM orders),
+n AS (SELECT *, count(lvl) OVER w - (CASE WHEN count(lvl) OVER w > 0 AND first_value(lvl) OVER w IS NOT NULL THEN 1 ELSE 0 END) AS sec, max(CASE WHEN lvl = 1 THEN k END) OVER w AS h1, max(CASE WHEN lvl = 2 THEN k END) OVER w AS h2 FROM o WINDOW w AS (PARTITION BY d ORDER BY k)),
+s AS (SELECT d, sec, string_agg(CASE WHEN lvl IS NULL THEN '' ELSE repeat('#', lvl::INT) || ' ' || t || chr(10) END || line, chr(10) ORDER BY k) AS content, min(h1) AS h1, min(h2) AS h2, list('https://x/' || (k % 5) ORDER BY k) AS u, list('@c' || (k % 4) ORDER BY k) AS m, list('ABC-' || (k % 3) ORDER BY k) AS j FROM n GROUP BY d, sec),
+c AS (SELECT d, sec, {'id': 'chunk_' || substr(sha256(d || ':' || sec || ':' || 'sha256:' || sha256(content)), 1, 20), 'p': list_filter([CASE WHEN h1 IS NOT NULL THEN 'T' || h1 END, CASE WHEN h2 IS NOT NULL AND (h1 IS NULL OR h2 > h1) THEN 'T' || h2 END], lambda x: x IS NOT NULL), 'c': content, 'u': u, 'm': list_concat(m, j), 'end': false} AS c FROM s),
+l AS (SELECT d, list(c ORDER BY sec) AS c FROM c GROUP BY d),
+f AS (SELECT d, list_reduce(list_transform(c, lambda x: [x]), lambda a, b: CASE WHEN len(regexp_split_to_array(a[len(a)].c, '\\s+')) < 40 THEN list_concat(a[1:len(a) - 1], [{'id': a[len(a)].id, 'p': list_concat(a[len(a)].p, list_filter(b[1].p, lambda x: NOT list_contains(a[len(a)].p, x))), 'c': a[len(a)].c || chr(10) || chr(10) || b[1].c, 'u': list_concat(a[len(a)].u, b[1].u), 'm': list_concat(a[len(a)].m, b[1].m), 'end': false}]) ELSE list_concat(a, b) END) AS c FROM l),
+e AS (SELECT d, unnest(c) AS c, generate_subscripts(c, 1) - 1 AS pos FROM f),
+w AS (SELECT d, pos, c, regexp_split_to_array(c.c, '\\s+') AS w FROM e),
+x AS (SELECT *, unnest(CASE WHEN len(w) > 60 THEN range(1, len(w) + 1, 30) ELSE [1] END) AS st FROM w)
+SELECT c.id || CASE WHEN len(w) > 60 THEN '_' || ((st - 1) // 30 + 1) ELSE '' END AS id, d::VARCHAR AS doc_id, pos::INT AS pos, array_to_string(c.p, ' > ') AS path, 'Top > ' || c_mktsegment || ' > ' || c_name AS breadcrumbs,
+  'sha256:' || sha256(CASE WHEN len(w) > 60 THEN array_to_string(w[st : st + 29], ' ') ELSE c.c END) AS content_hash, (CASE WHEN len(w) > 60 THEN least(30, len(w) - st + 1) ELSE len(w) END)::INT AS n_words, array_to_string(list_sort(list_distinct(c.u)), ' ') AS urls, array_to_string(list_sort(list_distinct(c.m)), ' ') AS mentions FROM x JOIN customer ON c_custkey = d""")
+def chunk_rows(spark, sf_dir) -> DataFrame:
+    """A customer's orders as a document with headings of two levels; chunks of 40 to 60 words."""
+    from lattica.operators import chunks
+
+    k = F.col("o_orderkey")
+    s = lambda c: c.cast("string")
+    head = F.when(k % 3 == 0, F.concat(F.repeat(F.lit("#"), (1 + k % 2).cast("int")), F.lit(" T"), s(k), F.lit("\n"))).otherwise("")
+    line = F.concat(head, F.lit("Order "), s(k), F.lit(" of @c"), s(k % 4), F.lit(" at https://x/"), s(k % 5), F.lit(", ABC-"), s(k % 3), F.lit("\n"))
+    texts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"]), "").alias("text"))
+    node = lambda i, t: F.struct(i.alias("id"), t.alias("title"))
+    docs = table(spark, sf_dir, "customer").join(texts, "c_custkey").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("title"), F.array(node(F.lit("1"), F.lit("Top")), node(F.lit("2"), F.col("c_mktsegment"))).alias("ancestors"), "text")
+    out = chunks.document_chunks(docs, 40, 60, 30)
+    joined = lambda c: F.array_join(F.array_sort(c), " ").alias(c)
+    return out.select("id", "doc_id", "pos", F.array_join("path", " > ").alias("path"), F.array_join("breadcrumbs", " > ").alias("breadcrumbs"), "content_hash", "n_words", joined("urls"), joined("mentions"))
