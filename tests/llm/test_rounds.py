@@ -199,3 +199,34 @@ def test_manifest_of_one_row_and_of_none(spark):
     one = merkle.verify(merkle.manifest(spark.createDataFrame([(1, "x", None, None, None)], schema))).collect()
     assert [tuple(r) for r in one] == plain_manifest([(1, "x", None, None, None)]) and one[0].leaf == one[0].root
     assert merkle.verify(merkle.manifest(spark.createDataFrame([], schema))).collect() == []
+
+
+def test_chains_that_run_on_over_short_phrases_keep_their_passage(spark):
+    """Two documents share 60 words and then, every 20 words, a phrase of 9; a third one has the 60 words alone."""
+    from lattica.llm import chaining
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared, phrases = [word() for _ in range(60)], [[word() for _ in range(9)] for _ in range(20)]
+    other = lambda n: [word() for _ in range(n)]
+    tail = lambda: [w for p in phrases for w in [*other(11), *p]]
+    rows = [(1, " ".join([*other(30), *shared, *tail()])), (2, " ".join([*other(20), *shared, *tail(), *other(5)])), (3, " ".join([*other(40), *shared, *other(40)])), (4, " ".join(other(200)))]
+    got = {r.doc_id: (r.n_links, r.links) for r in chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (2, []), 2: (2, [1]), 3: (2, [1, 2]), 4: (0, [])}
+
+
+def test_stretches_are_alike_and_miss_none():
+    from lattica.llm import chaining
+
+    rng = random.Random(32)
+    for _ in range(60):
+        a, b = [], []
+        for _ in range(rng.randrange(1, 6)):
+            same = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([3, 8, 30, 60]))]
+            a += [*(f"a{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 5, 25]))), *same]
+            b += [*(f"b{rng.randrange(10**6)}" for _ in range(rng.choice([0, 1, 5, 25]))), *same]
+        found = chaining.stretches(a, b)
+        assert all(min(n, m) >= 50 and chaining.similarity(a[i : i + n], b[j : j + m]) >= 0.8 for i, n, j, m in found)
+        assert all(p[0] + p[1] <= q[0] and p[2] + p[3] <= q[2] for p, q in zip(found, found[1:]))
+        long = [r for r in chaining.equal_runs(a, b) if r[2] >= 50]
+        assert all(any(i <= r[0] and r[0] + r[2] <= i + n for i, n, _, _ in found) for r in long)
