@@ -246,6 +246,8 @@ def scan(pairs: DataFrame, size: int, directions: np.ndarray, bands: bool) -> Da
             if not bands:
                 rows, cols = survivors(a, r, tile, same, best.least, k)
                 score, equal = scores(a, r, rows, cols)
+                fits = score >= best.least[rows]
+                rows, cols, score, equal = rows[fits], cols[fits], score[fits], equal[fits]
                 best.add(slot=rows, score=score, id=r.id[cols], known=r.known[cols], own=equal)
                 continue
             width = a.low.shape[1]
@@ -257,7 +259,7 @@ def scan(pairs: DataFrame, size: int, directions: np.ndarray, bands: bool) -> Da
             rows, cols = survivors(a, r, tile, ~same & real.any(axis=1)[:, None], np.where(np.isinf(floor), -np.inf, floor), k, low, high, limit)
             score, _ = scores(a, r, rows, cols)
             for slot in range(width):
-                fits = (score >= a.low[rows, slot]) & (score <= a.high[rows, slot])
+                fits = (score >= a.low[rows, slot]) & (score <= a.high[rows, slot]) & (score >= best.least[rows * width + slot])
                 i, j = rows[fits], cols[fits]
                 best.add(slot=i * width + slot, score=score[fits], id=r.id[j], known=r.known[j], own=np.zeros(len(i), bool))
 
