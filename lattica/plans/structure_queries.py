@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lattica.operators import communities, layout, territory, vector_index
 from lattica.plans.payload_queries import ORACLE, QUERIES
 from lattica.plans.queries import COS, GRID, OWNED, _owned, _regions, _strong, _warp_sql, query, with_
-from lattica.session import table
+from lattica.session import materialize, table
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -339,3 +339,64 @@ def chunk_rows(spark, sf_dir) -> DataFrame:
     out = chunks.document_chunks(docs, 40, 60, 30)
     joined = lambda c: F.array_join(F.array_sort(c), " ").alias(c)
     return out.select("id", "doc_id", "pos", F.array_join("path", " > ").alias("path"), F.array_join("breadcrumbs", " > ").alias("breadcrumbs"), "content_hash", "n_words", joined("urls"), joined("mentions"))
+
+
+# Folders --------------------------------------------------------------------------------------------------------------
+
+
+def _folders(spark, sf_dir) -> dict[str, str]:
+    """A folder tree of customers by nation and segment: one file each, those of even nations .txt under one root, the others .log under another."""
+    import uuid
+
+    from lattica.session import shared_dir
+
+    top = f"{shared_dir(spark)}/folders-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("nation"), F.lower("c_mktsegment").alias("segment"), F.concat(F.lit("---\ntitle: T\n---\n"), "c_name").alias("value"), "c_nationkey", "c_custkey")
+    per = rows.groupBy("nation", "segment", "c_nationkey").agg(F.max_by("value", "c_custkey").alias("value"))
+    for scope, rest, kind in (("even", 0, None), ("odd", 1, "log")):
+        part = per.filter(F.col("c_nationkey") % 2 == rest).select("nation", "segment", "value").repartition("nation", "segment")
+        writer = part.write.partitionBy("nation", "segment")
+        if kind:
+            writer.option("extension", kind).option("quoteAll", "false").option("quote", "").option("lineSep", "\n").csv(f"{top}/{scope}")
+        else:
+            writer.text(f"{top}/{scope}")
+    return {scope: f"{top}/{scope}" for scope in ("even", "odd")}
+
+
+def _found(spark, sf_dir) -> DataFrame:
+    from lattica.sources import files
+
+    return files.scan_folders(spark, _folders(spark, sf_dir), ["txt", "log"], [r"segment=machinery/"])
+
+
+@query("""SELECT scope, format, folder, CASE WHEN folder LIKE 'nation=n4/%' THEN 'four' WHEN folder = 'nation=n2/segment=building' THEN 'deep' WHEN scope = 'odd' THEN 'rest' WHEN folder LIKE 'nation=n2/%' THEN 'two' END AS origin_scope_id FROM (
+  SELECT DISTINCT CASE WHEN c_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS scope, CASE WHEN c_nationkey % 2 = 0 THEN 'txt' ELSE 'log' END AS format, 'nation=n' || c_nationkey || '/segment=' || lower(c_mktsegment) AS folder FROM customer WHERE lower(c_mktsegment) <> 'machinery')""")
+def folder_scan(spark, sf_dir) -> DataFrame:
+    """Two roots, two formats, one segment ignored; configured folders say which scope a file comes from."""
+    from lattica.sources import files
+
+    scopes = spark.createDataFrame([("even", "four", "nation=n4"), ("even", "two", "/nation=n2/"), ("even", "deep", "nation=n2/segment=building"), ("odd", "rest", "")], "scope string, origin_scope_id string, folder string")
+    found = files.origin_scopes(_found(spark, sf_dir), scopes)
+    return found.select("scope", "format", F.regexp_extract("relative", "^(.*)/", 1).alias("folder"), "origin_scope_id")
+
+
+@query("SELECT CASE WHEN c_nationkey % 2 = 0 THEN 'txt' ELSE 'log' END AS format, count(DISTINCT (c_nationkey, c_mktsegment)) AS n FROM customer WHERE lower(c_mktsegment) <> 'machinery' GROUP BY 1")
+def folder_formats(spark, sf_dir) -> DataFrame:
+    from lattica.sources import files
+
+    return files.count_formats(_found(spark, sf_dir))
+
+
+@query("""SELECT 'nation=n' || c_nationkey || '/segment=' || lower(c_mktsegment) AS source_id, 'T' AS title, max_by(c_name, c_custkey) AS body FROM customer WHERE lower(c_mktsegment) <> 'machinery' AND c_nationkey % 2 = 0 AND c_nationkey % 3 <> 0 GROUP BY ALL""")
+def active_files(spark, sf_dir) -> DataFrame:
+    """Manifest rows of files: every third nation is deleted, and a row without a file vanishes."""
+    from lattica.sources import files
+
+    found = _found(spark, sf_dir).filter("format = 'txt'").select("path", "content", F.regexp_extract("relative", "^(.*)/", 1).alias("source_id"))
+    found = materialize(found, "folder-files")
+    gone = F.regexp_extract("source_id", r"nation=n(\d+)/", 1).cast("int") % 3 == 0
+    rows = found.select("source_id", F.lit("T").alias("title"), F.when(gone, "deleted").otherwise("active").alias("status"), F.col("path").alias("normalized_path"))
+    lost = spark.range(1).select(F.lit("lost").alias("source_id"), F.lit("L").alias("title"), F.lit("active").alias("status"), F.lit("/nowhere/x.txt").alias("normalized_path"))
+    out = files.active_bodies(rows.unionByName(lost), found)
+    return out.withColumn("body", F.trim(F.regexp_replace("body", r"\n", " ")))

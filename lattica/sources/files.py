@@ -59,6 +59,31 @@ def list_notes(files: DataFrame) -> DataFrame:
     )
 
 
+def origin_scopes(files: DataFrame, scopes: DataFrame, path: str = "relative") -> DataFrame:
+    """``files`` with origin_scope_id: the scope of the longest configured folder (scope, origin_scope_id, folder) that holds the file, else null.
+
+    A file's folders are listed in its own row and met by equality, so that any number of folders may be configured.
+    """
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    above = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    each = files.select("scope", path, F.explode(above).alias("folder"))
+    clean = F.regexp_replace("folder", "^/+|/+$", "")
+    named = scopes.select("scope", "origin_scope_id", clean.alias("folder")).dropDuplicates(["scope", "folder"])
+    best = each.join(named, ["scope", "folder"]).groupBy("scope", path).agg(F.max_by("origin_scope_id", F.char_length("folder")).alias("origin_scope_id"))
+    return files.join(best, ["scope", path], "left")
+
+
+def active_bodies(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(source_id, title, body) of active manifest rows (source_id, title, status, normalized_path) whose file is there, frontmatter stripped.
+
+    ``files`` is (path, content); rows without a file vanish. Paths compare without their scheme.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^[a-z0-9+.-]+:(//)?(?=/)", "")
+    there = files.select(bare(F.col("path")).alias("__path"), strip_frontmatter(F.decode("content", "UTF-8")).alias("body"))
+    wanted = manifest.filter("status = 'active' AND normalized_path IS NOT NULL").withColumn("__path", bare(F.col("normalized_path")))
+    return wanted.join(there, "__path").select("source_id", "title", "body")
+
+
 def count_formats(files: DataFrame) -> DataFrame:
     return files.groupBy("format").agg(F.count("*").alias("n"))
 
