@@ -400,3 +400,44 @@ def active_files(spark, sf_dir) -> DataFrame:
     lost = spark.range(1).select(F.lit("lost").alias("source_id"), F.lit("L").alias("title"), F.lit("active").alias("status"), F.lit("/nowhere/x.txt").alias("normalized_path"))
     out = files.active_bodies(rows.unionByName(lost), found)
     return out.withColumn("body", F.trim(F.regexp_replace("body", r"\n", " ")))
+
+
+# SQL twins of earlier queries whose rules are regular expressions or rounds -------------------------------------------
+
+
+def _text_twins() -> dict[str, str]:
+    from lattica.operators import texts as T
+    from lattica.plans.queries import CLEAN
+
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    has = lambda pattern: f"regexp_matches(line, {q(pattern)})"
+    sentences = lambda c: f"string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    joined = f"trim(array_to_string({sentences('c')}[1:3], ' '))"
+    base = " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.SEVERITY.items())
+    signals = f"""WITH l AS (SELECT doc_id, i - 1 AS line_no, regexp_replace(x[i], '^[ \\-*\\t]+|[ \\-*\\t]+$', '', 'g') AS line FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+g AS (SELECT doc_id, line_no, CASE WHEN length(line) > 360 THEN {sentences('line')} ELSE [line] END AS p FROM l WHERE length(line) >= 10 AND NOT regexp_matches(line, '^\\|(.*\\|)?$')),
+c AS (SELECT * FROM (SELECT doc_id, line_no, i - 1 AS part, trim(p[i]) AS line FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM g)) WHERE length(line) >= 10),
+o AS (SELECT *, coalesce(nullif(regexp_replace(regexp_extract(line, {q(T.OWNER)}, 1), '^[ .,:;]+|[ .,:;]+$', '', 'g'), ''), nullif(regexp_extract(line, {q(T.NAME_TO)}, 1), '')) AS owner,
+  CASE WHEN {has(T.NAME_TO)} THEN 'todo' WHEN suffix(line, '?') OR {has(T.OPEN_Q)} THEN 'open_question' WHEN {has(T.RISK)} THEN 'risk' WHEN {has(T.ACTION)} THEN 'todo' WHEN {has(T.DECISION)} THEN 'decision' END AS k FROM c),
+k AS (SELECT *, coalesce(k, CASE WHEN owner IS NOT NULL THEN 'owner' END) AS kind, CASE WHEN {has(T.RESOLVED)} THEN 'resolved' ELSE 'open' END AS status, regexp_replace(regexp_replace(line, '[*_`]+', '', 'g'), '\\s+', ' ', 'g') AS t FROM o)
+SELECT doc_id, line_no::INT AS line_no, part::INT AS part, kind, owner, status, greatest(0, least(100, CASE kind {base} ELSE 0 END + CASE WHEN {has(T.URGENT)} THEN 18 ELSE 0 END - CASE WHEN status = 'resolved' THEN 25 ELSE 0 END + CASE WHEN regexp_matches(lower(line), 'customer|contract') THEN 6 ELSE 0 END))::INT AS severity,
+  CASE WHEN length(t) <= 96 THEN t ELSE regexp_replace(regexp_replace(substr(t, 1, 96), '[ .,:;]+$', ''), '^(.+) [^ ]*$', '\\1') || '…' END AS title, 'signal.' || kind || '.' || substr(sha256(kind || '|' || doc_id || '|' || line), 1, 12) AS signal_id FROM k WHERE kind IS NOT NULL"""
+    summaries = with_(CLEAN) + f"SELECT doc_id, CASE WHEN {joined} <> '' THEN substr({joined}, 1, 700) ELSE substr(c, 1, 300) END AS summary, (CASE WHEN len(string_split(c, ' ')) < 80 THEN 0.55 ELSE 0.7 END)::DOUBLE AS confidence FROM c"
+    stop, far = "(?:" + "|".join(T.STOPWORDS) + ")", r"[À-ÖØ-öø-ɏ\p{Greek}\p{Cyrillic}\p{Han}\p{Hiragana}\p{Katakana}\p{Arabic}\p{Hebrew}\p{M}]"
+    plain = f"regexp_replace(c, '[A-Za-z0-9_]*{far}(?:[A-Za-z0-9_]|{far})*', chr(1), 'g')"  # words with other letters begin and end no run
+    found = f"regexp_extract_all({plain}, '\\b[A-Z][A-Za-z0-9]*(?:\\s+[A-Z][A-Za-z0-9]*){{0,3}}\\b')"
+    bare = f"trim(regexp_replace(regexp_replace(e, '(?i)^(?:{stop}\\s+)*(?:{stop}$)?', ''), '(?i)(?:\\s+{stop})+$', ''))"
+    named = with_(CLEAN) + f"""SELECT doc_id, entity, n, rank FROM (SELECT doc_id, entity, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS rank FROM (
+  SELECT doc_id, f[pos] AS entity, pos FROM (SELECT doc_id, f, unnest(range(1, len(f) + 1)) AS pos FROM (SELECT doc_id, list_filter(list_transform({found}, lambda e: {bare}), lambda e: length(e) > 2) AS f FROM c))) GROUP BY 1, 2) WHERE rank <= 15"""
+    return {"signal_lines": signals, "document_summaries": summaries, "document_entities": named.replace("rank FROM (", "rank::INTEGER AS rank FROM (", 1)}
+
+
+def _diffused(rounds: int) -> str:
+    """CTEs of layout.diffuse: each round a hex that is not pinned goes half the way to its neighbours' mean."""
+    out = ["h0 AS (SELECT q, r, region IS NULL AS pinned, CASE WHEN region IS NULL THEN 0.0 ELSE region % 5 + 1 END::DOUBLE AS h FROM owned)", "near AS (SELECT a.q, a.r, b.q AS nq, b.r AS nr FROM owned a JOIN owned b ON (b.q - a.q, b.r - a.r) IN ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)))"]
+    for k in range(rounds):
+        out.append(f"h{k + 1} AS (SELECT q, r, pinned, CASE WHEN pinned OR m IS NULL THEN h ELSE h + 0.5::DOUBLE * (m - h) END AS h FROM h{k} LEFT JOIN (SELECT near.q, near.r, avg(h) AS m FROM near JOIN h{k} x ON x.q = nq AND x.r = nr GROUP BY 1, 2) USING (q, r))")
+    return with_(GRID, OWNED, *out) + f"SELECT q::INT AS q, r::INT AS r, round(h, 6) AS height FROM h{rounds}"
+
+
+ORACLE |= _text_twins() | {"hex_heights": _diffused(10)}
