@@ -87,6 +87,18 @@ def chain_links(rows: DataFrame, keys: list[str], order: list[str], id_col: str)
     return rows.select(F.col(id_col).alias("from_id"), nxt.alias("to_id")).filter("to_id is not null")
 
 
+def chain_graph(rows: DataFrame, keys: list[str], order: list, id_col: str, most_rows: int = 200, most_links: int = 320) -> DataFrame:
+    """(from_id, to_id) among the first ``most_rows`` rows by ``order``: each tied to the next one of its group, the first ``most_links`` ties.
+
+    A page of a graph for display: the caps are what is asked for. Ties come group by group, the group of the first row first. Rows
+    whose keys are null are a group like any other.
+    """
+    page = rows.orderBy(*order).limit(most_rows).withColumn("__at", F.row_number().over(Window.orderBy(*order)))  # most_rows rows
+    group = Window.partitionBy(*keys)
+    tied = page.select("__at", F.min("__at").over(group).alias("__first"), F.lag(id_col).over(group.orderBy("__at")).alias("from_id"), F.col(id_col).alias("to_id"))
+    return tied.filter("from_id IS NOT NULL").orderBy("__first", "__at").limit(most_links).select("from_id", "to_id")
+
+
 def append_messages(thread: DataFrame, fresh: DataFrame) -> DataFrame:
     """``thread`` with ``fresh`` (thread_id, created, text) added; seq goes on from each thread's largest."""
     top = thread.groupBy("thread_id").agg(F.max("seq").alias("top"))

@@ -402,6 +402,17 @@ def active_files(spark, sf_dir) -> DataFrame:
     return out.withColumn("body", F.trim(F.regexp_replace("body", r"\n", " ")))
 
 
+@query("""WITH p AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_custkey % 5 > 0 THEN o_custkey % 5 END AS space, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders QUALIFY n <= 200),
+t AS (SELECT lag(o_orderkey) OVER w AS from_id, o_orderkey AS to_id, n, min(n) OVER (PARTITION BY o_orderstatus, space) AS first FROM p WINDOW w AS (PARTITION BY o_orderstatus, space ORDER BY n))
+SELECT from_id, to_id FROM t WHERE from_id IS NOT NULL ORDER BY first, n LIMIT 120""")
+def chain_page(spark, sf_dir) -> DataFrame:
+    """The newest 200 orders tied within status and space, the first 120 ties."""
+    from lattica.operators import harvest
+
+    rows = table(spark, sf_dir, "orders").withColumn("space", F.when(F.col("o_custkey") % 5 > 0, F.col("o_custkey") % 5))
+    return harvest.chain_graph(rows, ["o_orderstatus", "space"], [F.desc("o_orderdate"), F.col("o_orderkey")], "o_orderkey", 200, 120)
+
+
 # SQL twins of earlier queries whose rules are regular expressions or rounds -------------------------------------------
 
 

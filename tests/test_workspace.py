@@ -145,3 +145,20 @@ def test_chunks_equal_a_plain_walk(spark):
         assert rows == want[i]
     assert {tuple(r.breadcrumbs) for r in got if r.doc_id == "0"} == {("Top", "T")} and {tuple(r.breadcrumbs) for r in got if r.doc_id == "20"} == {("Top",)}
     assert len({r.id for r in got}) == len(got) and all(r.n_words == len(r.content.split()) for r in got)
+
+
+def test_the_longest_folder_names_the_scope(spark):
+    from lattica.sources import files
+
+    found = spark.createDataFrame([("v", "a/b/c.md"), ("v", "a/x.md"), ("v", "top.md"), ("v", "ab/y.md"), ("w", "a/b/c.md")], "scope string, relative string")
+    scopes = spark.createDataFrame([("v", "one", "a"), ("v", "two", "/a/b/"), ("v", "two", "a/b"), ("w", "all", "")], "scope string, origin_scope_id string, folder string")
+    got = {(r.scope, r.relative): r.origin_scope_id for r in files.origin_scopes(found, scopes).collect()}
+    assert got == {("v", "a/b/c.md"): "two", ("v", "a/x.md"): "one", ("v", "top.md"): None, ("v", "ab/y.md"): None, ("w", "a/b/c.md"): "all"}
+
+
+def test_a_chain_page_is_capped_in_its_order(spark):
+    from lattica.operators import harvest
+
+    rows = spark.createDataFrame([(i, "x" if i % 2 else None) for i in range(9)], "id int, space string")
+    tied = lambda *caps: [tuple(r) for r in harvest.chain_graph(rows, ["space"], ["id"], "id", *caps).collect()]
+    assert tied(6, 99) == [(0, 2), (2, 4), (1, 3), (3, 5)] and tied(6, 3) == [(0, 2), (2, 4), (1, 3)] and tied(0, 5) == []
