@@ -21,12 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lattica.functions.columns import cosine
 from lattica.operators.ranking import positions
 from lattica.session import materialize
 
 #: Centres are learnt from at most so many rows; there are at most so many of them; rows of a slice; rounds of learning.
 SAMPLE, LISTS, SLICE, ROUNDS = 100_000, 4_096, 4_096, 4
+#: Queries that meet a slice at once, on average.
+QUERIES = 8_192
 #: Scores are rounded to six digits, so a search looks a little farther than its radius.
 SLACK = 2e-6
 
@@ -133,12 +134,46 @@ def _lists(index: Index, queries: DataFrame, probes: int | None) -> DataFrame:
     return queries.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema) + ", list int, d double")
 
 
-def _met(index: Index, queries: DataFrame, probes: int | None) -> DataFrame:
-    """(query_id, id, score, reach) of the pairs that lists, slices and rho leave; score is the cosine, at six digits."""
+def _met(index: Index, queries: DataFrame, probes: int | None, floor: float, k: int | None = None) -> DataFrame:
+    """(query_id, id, score) of pairs at ``floor`` or more that lists, slices and rho leave; score is the cosine, at six digits.
+
+    Queries and the rows of a slice meet as two matrices. A slice is bounded; its queries are dealt to as many parts as keep each
+    at QUERIES on average, and the slice goes to all of them. With ``k`` a query takes its k best rows of a slice (and what ties).
+    """
     asked = _lists(index, queries, probes).join(index.slices, "list")
     asked = asked.filter((F.col("d") - F.col("most") <= F.col("reach")) & (F.col("least") - F.col("d") <= F.col("reach"))).drop("least", "most")
-    met = asked.join(index.rows, ["list", "slice"]).filter(F.abs(F.col("d") - F.col("rho")) <= F.col("reach"))
-    return met.select("query_id", "id", "reach", F.round(cosine(F.col("vector"), F.col("q")), 6).alias("score"))
+    parts = max(1, math.ceil(queries.count() / QUERIES))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    rows = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    size = index.centres.shape[1]
+
+    def meet(mine, theirs):
+        out = {"query_id": [], "id": [], "score": []}
+        theirs, mine = theirs.combine_chunks(), mine.combine_chunks()
+        if mine.num_rows and theirs.num_rows:
+            units, rho = _matrix(theirs.column("vector").combine_chunks(), size), theirs.column("rho").to_numpy()
+            for at in range(0, mine.num_rows, 512):
+                tile = mine.slice(at, 512).combine_chunks()
+                d, reach_ = tile.column("d").to_numpy()[:, None], tile.column("reach").to_numpy()[:, None]
+                score = np.round(np.clip(_matrix(tile.column("q").combine_chunks(), size) @ units.T, -1, 1), 6)
+                fits = (np.abs(d - rho[None, :]) <= reach_) & (score >= floor)
+                if k is not None and fits.shape[1] > k:
+                    masked = np.where(fits, score, -2.0)
+                    fits &= masked >= -np.partition(-masked, k, axis=1)[:, k : k + 1]  # one more, as a query may meet itself
+                row, col = np.nonzero(fits)
+                out["query_id"].append(tile.column("query_id").take(pa.array(row)))
+                out["id"].append(theirs.column("id").take(pa.array(col)))
+                out["score"].append(pa.chunked_array([pa.array(score[row, col])]))
+        if not out["score"]:
+            return fields.empty_table()
+        return pa.table([pa.chunked_array([c for x in out[f.name] for c in x.chunks], f.type) for f in fields], schema=fields)
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.rows.schema['id'].dataType.simpleString()}, score double"
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields = to_arrow_schema(_parse_datatype_string(kinds))
+    keys = ["list", "slice", "part"]
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(meet, kinds)
 
 
 def reach(score: Column) -> Column:
@@ -158,7 +193,7 @@ def within(index: Index, queries: DataFrame, floor: float, id_col: str = "vec_id
     if floor <= 0:
         raise ValueError("an index finds cosines above zero")
     asked = _asked(queries, id_col, vector, index.centres.shape[1]).withColumn("reach", reach(F.lit(float(floor))))
-    return _met(index, asked, None).filter(F.col("score") >= floor).select("query_id", "id", "score")
+    return _met(index, asked, None, floor)
 
 
 def nearest(index: Index, queries: DataFrame, k: int, floor: float, probes: int | None = None, id_col: str = "vec_id", vector: str = "embedding", start: int = 4) -> DataFrame:
@@ -170,16 +205,16 @@ def nearest(index: Index, queries: DataFrame, k: int, floor: float, probes: int
     if floor <= 0:
         raise ValueError("an index finds cosines above zero")
     asked = materialize(_asked(queries, id_col, vector, index.centres.shape[1]).withColumn("reach", reach(F.lit(float(floor)))), "index-queries")
-    first = _ranked(_met(index, asked, probes or start), k, floor)
+    first = _ranked(_met(index, asked, probes or start, floor, k), k)
     if probes is not None:
         return first
     known = first.groupBy("query_id").agg(F.max("rank").alias("n"), F.min("score").alias("s")).filter(F.col("n") == k).select("query_id", reach(F.col("s")).alias("closer"))
     asked = asked.join(materialize(known, "index-radius"), "query_id", "left").select("query_id", "q", F.least("reach", "closer").alias("reach"))
-    return _ranked(_met(index, asked, None), k, floor)
+    return _ranked(_met(index, asked, None, floor, k), k)
 
 
-def _ranked(met: DataFrame, k: int, floor: float) -> DataFrame:
-    good = met.filter((F.col("score") >= floor) & (F.col("query_id") != F.col("id"))).select("query_id", "id", "score")
+def _ranked(met: DataFrame, k: int) -> DataFrame:
+    good = met.filter(F.col("query_id") != F.col("id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return good.withColumn("rank", rank).filter(F.col("rank") <= k)
 
