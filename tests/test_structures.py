@@ -41,7 +41,7 @@ def test_communities_beat_label_propagation_and_hang_together(spark):
     rng = random.Random(4)
     edges = [(i, j, rng.choice([1.0, 0.5])) for i in range(60) for j in range(i + 1, 60) if rng.random() < (0.5 if i // 12 == j // 12 else 0.04)]
     df = spark.createDataFrame([*edges, (3, 3, 9.0), (1, 2, 0.0), (None, 4, 1.0), (5, 6, -1.0)], "a long, b long, weight double")
-    found = communities.leiden(df)
+    found = communities.leiden(df, passes=3)
     got = {r.id: r.community for r in found.collect()}
     other = {r.id: r.label for r in graph.label_propagation(df.filter("a <> b AND weight > 0")).collect()}
     q = plain_modularity(edges, got)
