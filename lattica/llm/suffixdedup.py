@@ -100,13 +100,15 @@ def _seeds(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         data, offsets = utf8(batch.column(1))
         row, start, n, lead, hashes = runs = anchor_runs(data, offsets)
-        known = _known(data, offsets, *runs)
-        k = np.flatnonzero(known)
+        uid = np.asarray(batch.column(0))
+        known, one = _known(data, offsets, *runs), np.zeros(len(uid), dtype=bool)
+        one[np.unique(uid, return_index=True)[1]] = True  # copies of one row have the same runs
+        k = np.flatnonzero(known & one[row])
         begin, end = start[k], start[k] + n[k] + LENGTH - 1
         cut = np.flatnonzero(np.concatenate([[True], (row[k][1:] != row[k][:-1]) | (begin[1:] > end[:-1])])) if len(k) else k
         last = np.append(cut[1:], len(k)) - 1 if len(k) else k
         spans = -((begin[cut] << 31) | (end[last] - begin[cut])) - 1
-        uid, rest = np.asarray(batch.column(0)), ~known
+        rest = ~known & one[row]
         own = mix(uid[row[k][cut]].view(np.uint64) + begin[cut].astype(np.uint64))
         return {
             "hash": np.concatenate([hashes[rest], own]).view(np.int64), "uid": np.concatenate([uid[row[rest]], uid[row[k][cut]]]),
@@ -116,13 +118,22 @@ def _seeds(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("uid", "text"), run, "hash long, uid long, place long", text=1)
 
 
+def _once(rows: pa.RecordBatch, columns: tuple[int, ...]) -> pa.RecordBatch:
+    """Of neighbouring rows that agree in these columns of whole numbers, the first."""
+    differ = [np.asarray(rows.column(i))[1:] != np.asarray(rows.column(i))[:-1] for i in columns]
+    return rows.filter(pa.array(np.concatenate([[True], np.logical_or.reduce(differ)])))
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash, those whose hash is also the next or the last row's, and known spans; one row is held back."""
+    """Of rows sorted by (hash, uid, place), each once, those whose hash is also the next or the last row's, and known spans.
+
+    Copies of one row (equal id and text) so stand once, and a hash that only they have is not repeated. One row is held back.
+    """
     held, again = None, False
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        table = _once(batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0], (0, 1, 2))
         hashes = np.asarray(table.column(0))
         same = hashes[1:] == hashes[:-1]
         keep = np.concatenate([[again], same]) | np.concatenate([same, [False]]) | (np.asarray(table.column(2)) < 0)
@@ -134,20 +145,27 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, uid, text, runs): the bytes of each run. A fragment that a batch holds before needs no bytes."""
+    """From (doc_id, uid, text, runs): the bytes of each run, once a uid.
+
+    A fragment that the batch holds under a smaller doc_id needs no bytes: all of it is repeated, whatever else there is.
+    """
     for batch in batches:
         for part in slices(batch, 2, 16 * SLICE):
-            seen: dict[bytes, int] = {}
+            seen: dict[bytes, int | None] = {}
+            sent: set[int] = set()
             out: tuple[list, ...] = ([], [], [], [], [])
             order = np.argsort(np.asarray(part.column(0).fill_null(-(1 << 63))), kind="stable")
             ids, uids, texts, runs = (part.column(i).take(pa.array(order)).to_pylist() for i in range(4))
             for doc, uid, text, listed in zip(ids, uids, texts, runs):
+                if uid in sent:
+                    continue
+                sent.add(uid)
                 text = (text or "").encode("utf-8")
                 for key, place in (p for x in listed for p in (_halves(text, x["hash"], x["place"]) if x["hot"] else [(x["hash"], x["place"])])):
                     start = place >> 16
                     fragment = text[start : start + (place >> 8 & 255) + LENGTH - 1]
                     whole = fragment + bytes([place & 255])
-                    known = seen.setdefault(whole, uid) != uid  # an earlier document has it; in one document all are sent
+                    known = seen.setdefault(whole, doc) != doc  # ids ascend; of rows with one id all are sent
                     for column, value in zip(out, (key, doc, uid, place, None if known else fragment)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["hash", "doc_id", "uid", "place", "fragment"])
@@ -214,7 +232,7 @@ def _intervals(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by = np.lexsort((start + lead, doc))
     at = np.stack([doc[by], (start + lead)[by]])
     rank = np.empty(len(rows), dtype=np.int64)
-    rank[by] = np.concatenate([[0], np.cumsum((at[:, 1:] != at[:, :-1]).any(axis=0))])  # equal places: one document's copies
+    rank[by] = np.concatenate([[0], np.cumsum((at[:, 1:] != at[:, :-1]).any(axis=0))])  # equal places: texts under one id
     found = repeated_windows([r[3] for r in rows], lead, rank)
     change = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, first = np.nonzero(change == 1)
@@ -236,6 +254,11 @@ def _construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = batch.filter(pa.compute.is_valid(batch.column(4)))
         if not fresh.num_rows:
             continue
+        fresh = _once(fresh, (0, 2, 3))
+        if held and (hashes[-1], *held[-1][1:3]) == tuple(fresh.column(i)[0].as_py() for i in (0, 2, 3)):
+            fresh = fresh.slice(1)
+            if not fresh.num_rows:
+                continue
         added = np.asarray(fresh.column(0))
         if not hashes or added[-1] != hashes[-1]:
             open_ = len(hashes) + int(np.searchsorted(added, added[-1]))
@@ -250,14 +273,14 @@ def _construct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(uid, spans array<struct<start, end>>) of the documents (doc_id, uid, text) with repeated bytes; spans may overlap."""
-    seeds = _seeds(docs).repartition("hash").sortWithinPartitions("hash")
+    seeds = _seeds(docs).repartition("hash").sortWithinPartitions("hash", "uid", "place")
     shared = materialize(seeds.mapInArrow(_repeated, seeds.schema), "seeds")
     hot = shared.filter("place >= 0").groupBy("hash").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("hash", F.lit(True).alias("hot"))
     marked = shared.filter("place >= 0").join(small(materialize(hot, "hot-anchors")), "hash", "left").select("hash", "uid", "place", F.coalesce("hot", F.lit(False)).alias("hot"))
     runs = marked.groupBy("uid").agg(F.collect_list(F.struct("hash", "place", "hot")).alias("runs"))
     texts = docs.join(runs, "uid").select("doc_id", "uid", "text", "runs")
     fragments = texts.mapInArrow(_fragments, "hash long, doc_id long, uid long, place long, fragment binary")
-    built = fragments.repartition("hash").sortWithinPartitions("hash").mapInArrow(_construct, "uid long, start long, end long")
+    built = fragments.repartition("hash").sortWithinPartitions("hash", "uid", "place").mapInArrow(_construct, "uid long, start long, end long")
     span = -(F.col("place") + 1)
     start = F.shiftright(span, 31)
     known = shared.filter("place < 0").select("uid", start.alias("start"), (start + span.bitwiseAND(F.lit((1 << 31) - 1))).alias("end"))
@@ -268,7 +291,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, kept binary, spans array<struct<start, end>>, n_bytes, n_removed) for every row, spans maximal and in order.
 
     Texts are UTF-8 bytes; null is empty; texts under LENGTH bytes lose nothing. Rows with equal id and text are one document
-    that stands several times: neither copy comes earlier, and both lose the same. A null id comes before all others.
+    that stands several times: neither copy comes earlier, and both lose the same. Different texts under one id are one document
+    too: of two equal strings that with the earlier start in its text comes first, at equal starts neither does, so the result is
+    the same however the rows are dealt. A null id comes before all others.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text_col, F.octet_length(text_col)).alias("uid"), F.col(text_col).alias("text"))
     joined = keyed.join(repeated_spans(keyed), "uid", "left").select("doc_id", "text", "spans")
