@@ -51,3 +51,25 @@ def test_suffix_dedup_of_equal_rows_costs_no_more_than_their_number(spark, monke
         assert removed == {(None, 0), (7, len(text)), (8, 400)}
         sizes[copies] = sizes["seeds"]
     assert sizes[50] == sizes[500]
+
+
+def test_chaining_of_a_hot_short_footer_makes_no_pairs(spark, monkeypatch):
+    """A footer of 40 words in every document: matches grow with the documents; a passage that goes on from it is found."""
+    matches, more = {}, chaining.more_matches
+
+    def counted(*args):
+        out = more(*args)
+        matches["n"] = out.count()
+        return out
+
+    monkeypatch.setattr(chaining, "more_matches", counted)
+    footer, tail = prose(11, 40), prose(12, 25)
+    seen = {}
+    for n in (200, 400):
+        rows = [(i, prose(100 + i, 60) + " " + footer + " " + prose(9000 + i, 30)) for i in range(n)]
+        rows += [(n + k, prose(20000 + k, 60) + " " + footer + " " + tail + " " + prose(30000 + k, 30)) for k in range(3)]
+        got = {r.doc_id: r for r in chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {i: r.n_links for i, r in got.items() if r.n_links} == {n: 2, n + 1: 2, n + 2: 2}
+        assert got[n + 2].links == [n, n + 1]
+        seen[n] = matches["n"]
+    assert seen[400] <= 2 * seen[200] + 100 and seen[400] < 4000
