@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators import communities, layout, territory, vector_index
+from lattica.operators import agent, communities, layout, territory, vector_index
 from lattica.plans.payload_queries import ORACLE, QUERIES
-from lattica.plans.queries import COS, GRID, OWNED, _owned, _regions, _strong, _warp_sql, query, with_
+from lattica.plans.queries import COS, GRID, OWNED, PAIRS, STRONG, _owned, _regions, _strong, _warp_sql, query, with_
 from lattica.session import materialize, table
+from lattica.sources import derived as D
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -451,4 +452,45 @@ def _diffused(rounds: int) -> str:
     return with_(GRID, OWNED, *out) + f"SELECT q::INT AS q, r::INT AS r, round(h, 6) AS height FROM h{rounds}"
 
 
+# The agent's survey and its look at one node -----------------------------------------------------------------------------
+
+MAP = (
+    D.TREE_SQL, D.NOTE_TAGS_SQL, PAIRS, STRONG,
+    """nodes AS (SELECT node_id AS id, 'region' AS type, name AS label, 'level ' || level || chr(10) || 'of the map' AS summary FROM tree
+  UNION ALL SELECT DISTINCT 't' || tag_id, 'tag', 'Tag ' || tag_id, NULL FROM note_tags)""",
+    """edges AS (SELECT parent_id AS src, node_id AS dst, 1 AS weight FROM tree WHERE parent_id IS NOT NULL UNION ALL SELECT 't' || a, 't' || b, n FROM strong)""",
+    "ends AS (SELECT src AS id, dst AS other, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)",
+)
+
+
+def _map(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the region tree and of the tags that often stand together."""
+    tree, tag = D.tree(spark, sf_dir), lambda c: F.concat(F.lit("t"), F.col(c).cast("string"))
+    summary = F.concat(F.lit("level "), F.col("level").cast("string"), F.lit("\nof the map"))
+    regions = tree.select(F.col("node_id").alias("id"), F.lit("region").alias("type"), F.col("name").alias("label"), summary.alias("summary"))
+    tags = D.note_tags(spark, sf_dir).select("tag_id").distinct().select(tag("tag_id"), F.lit("tag"), F.concat(F.lit("Tag "), F.col("tag_id").cast("string")), F.lit(None).cast("string"))
+    contains = tree.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("src"), F.col("node_id").alias("dst"), F.lit(1).cast("long").alias("weight"))
+    return regions.union(tags), contains.union(_strong(spark, sf_dir).select(tag("a"), tag("b"), "n"))
+
+
+@query(with_(*MAP) + """SELECT 'type' AS section, type AS key, '' AS text, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edges', 'edges', '', count(*) FROM edges
+UNION ALL SELECT 'region', id, label || ': ' || replace(summary, chr(10), ' '), NULL FROM nodes WHERE type = 'region'
+UNION ALL (SELECT 'tag', id, label, coalesce(d, 0)::BIGINT FROM nodes LEFT JOIN (SELECT id, sum(weight) AS d FROM ends GROUP BY id) USING (id) WHERE type = 'tag' ORDER BY coalesce(d, 0) DESC, id LIMIT 10)""")
+def graph_overview(spark, sf_dir) -> DataFrame:
+    return agent.overview(*_map(spark, sf_dir))
+
+
+@query(with_(*MAP, """refs AS (SELECT 'n3' AS ref UNION SELECT 'nowhere at all' UNION SELECT 'r1' UNION SELECT lower(n_name) FROM nation UNION SELECT substr(n_name, 1, 3) FROM nation UNION SELECT c_mktsegment FROM customer UNION SELECT 'tag ' || p_size FROM part)""",
+    """ways AS (SELECT ref, id, label, CASE WHEN ref = id THEN 0 WHEN lower(ref) = lower(label) THEN 1 ELSE 2 END AS way FROM refs JOIN nodes ON ref = id OR contains(lower(label), lower(ref)))""",
+    """told AS (SELECT ref, id, label, row_number() OVER (PARTITION BY ref ORDER BY id) AS position, count(*) OVER (PARTITION BY ref) AS n FROM (SELECT *, min(way) OVER (PARTITION BY ref) AS best FROM ways) WHERE way = best)""",
+    """near AS (SELECT ref, other, weight, row_number() OVER (PARTITION BY ref ORDER BY weight DESC, other) AS position FROM told JOIN ends USING (id) WHERE n = 1)""")
+    + """SELECT ref, CASE WHEN n = 1 THEN 'node' ELSE 'candidate' END AS kind, position, id, label, NULL::BIGINT AS weight FROM told WHERE position <= 8
+UNION ALL SELECT ref, 'connection', position, other, label, weight FROM near LEFT JOIN nodes ON nodes.id = other WHERE position <= 15""")
+def explored_nodes(spark, sf_dir) -> DataFrame:
+    n, named = table(spark, sf_dir, "nation"), spark.createDataFrame([("n3",), ("nowhere at all",), ("r1",)], "ref string")
+    refs = named.union(n.select(F.lower("n_name"))).union(n.select(F.substring("n_name", 1, 3))).union(table(spark, sf_dir, "customer").select("c_mktsegment"))
+    refs = refs.union(table(spark, sf_dir, "part").select(F.concat(F.lit("tag "), F.col("p_size").cast("string"))))
+    return agent.explored(refs, *_map(spark, sf_dir))
+
+
 ORACLE |= _text_twins() | {"hex_heights": _diffused(10)}
