@@ -18,6 +18,7 @@ to the mentions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -87,6 +88,11 @@ def gender_of(value: Column) -> Column:
     return F.when(bare.isin(FEMALE), "f").when(bare.isin(MALE), "m").otherwise("n")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, and stands once in the plan, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stream(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """128 hex digits drawn for an entity."""
     part = lambda n: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"), F.lit(n)), 256)
@@ -105,31 +111,31 @@ def _mapped(drawn: Column, value: Column, kept: Column) -> Column:
     """
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
-    def one(c: Column, i: Column) -> Column:
-        rank = F.char_length(F.regexp_replace(F.substr(value, F.lit(1), i), "[^A-Za-z0-9]", ""))
+    def one(c: Column, rank: Column) -> Column:
         pick = lambda of: F.substr(F.lit(of), _draw(drawn, rank, len(of)) + 1, F.lit(1))
         mapped = F.when(c.rlike("[a-z]"), pick(lower)).when(c.rlike("[A-Z]"), pick(upper)).when(c.rlike("[0-9]"), pick(digits)).otherwise(c)
         return F.when(rank < kept, c).otherwise(mapped)
 
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+    rank = lambda i: F.char_length(F.regexp_replace(F.substr(value, F.lit(1), i), "[^A-Za-z0-9]", ""))
+    return F.array_join(F.transform(F.split(value, ""), lambda c, i: _let(rank(i), lambda r: one(c, r))), "")
 
 
 def _luhn(digits: Column) -> Column:
     """The Luhn sum modulo 10 of a string of 16 digits."""
-    total = F.lit(0)
-    for i in range(16):
-        d = F.substring(digits, i + 1, 1).cast("int")
-        total = total + (d if i % 2 else F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2))
-    return total % 10
+
+    def add(total: Column, i: Column) -> Column:
+        # twice the digit at even places, less 9 from 10 on
+        return total + _let(F.substr(digits, i + 1, F.lit(1)).cast("int"), lambda d: F.when(i % 2 == 1, d).when(d > 4, d * 2 - 9).otherwise(d * 2))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0), add) % 10
 
 
 def _card(drawn: Column, value: Column) -> Column:
     """A drawn number of the same network digit and separators; its last digit gives the original's Luhn sum."""
-    body = _mapped(drawn, value, F.lit(1))
-    digits = F.regexp_replace(body, r"\D", "")
-    last = F.substring(digits, 16, 1).cast("int")
-    check = F.pmod(last + _luhn(F.regexp_replace(value, r"\D", "")) - _luhn(digits), F.lit(10))
-    return F.concat(F.substr(body, F.lit(1), F.char_length(body) - 1), check.cast("string"))
+    last = lambda digits: F.substr(digits, F.lit(16), F.lit(1)).cast("int")
+    wanted = _let(F.regexp_replace(value, r"\D", ""), _luhn)
+    check = lambda body: _let(F.regexp_replace(body, r"\D", ""), lambda digits: F.pmod(last(digits) + wanted - _luhn(digits), F.lit(10)))
+    return _let(_mapped(drawn, value, F.lit(1)), lambda body: F.concat(F.substr(body, F.lit(1), F.char_length(body) - 1), check(body).cast("string")))
 
 
 def _ip(drawn: Column, value: Column, attempt: Column) -> Column:

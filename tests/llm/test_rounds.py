@@ -230,3 +230,12 @@ def test_stretches_are_alike_and_miss_none():
         assert all(p[0] + p[1] <= q[0] and p[2] + p[3] <= q[2] for p, q in zip(found, found[1:]))
         long = [r for r in chaining.equal_runs(a, b) if r[2] >= 50]
         assert all(any(i <= r[0] and r[0] + r[2] <= i + n for i, n, _, _ in found) for r in long)
+
+
+def test_pii_plans_stay_small(spark):
+    """What a surrogate is drawn from stands in the plan once, not once a digit of a card and a place of a text."""
+    from lattica.llm import pii
+
+    rows = spark.createDataFrame([("card", "4111 1111 1111 1111")], "kind string, value string")
+    drawn = rows.select(pii.surrogate(F.col("kind"), F.col("value"), F.lit(0), "key").alias("s"))
+    assert len(drawn._jdf.queryExecution().optimizedPlan().toString()) < 30_000
