@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -239,3 +240,26 @@ def test_pii_plans_stay_small(spark):
     rows = spark.createDataFrame([("card", "4111 1111 1111 1111")], "kind string, value string")
     drawn = rows.select(pii.surrogate(F.col("kind"), F.col("value"), F.lit(0), "key").alias("s"))
     assert len(drawn._jdf.queryExecution().optimizedPlan().toString()) < 30_000
+
+
+def test_materialized_tables_leave_no_shuffle_and_can_go(spark, tmp_path):
+    """A write's shuffle files go with it, what was set stays set; a table that is let go leaves no file."""
+    from pathlib import Path
+
+    from lattica.session import CLEANUP, materialize, release, shared_dir
+
+    before = spark.conf.get(CLEANUP, None)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName() for f in (manager.getAllFiles().apply(i) for i in range(manager.getAllFiles().size())) if f.getName().endswith(".data")}
+    old = files()
+    out = materialize(spark.range(10_000).repartition(3, "id"), "let-go")
+    for _ in range(50):
+        left = files() - old
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP, None) == before and out.count() == 10_000
+    folder = Path(out.materialized_at.removeprefix("file:").replace("//", "/"))
+    assert folder.is_dir() and out.materialized_at.startswith(shared_dir(spark))
+    release(out)
+    assert not folder.exists()
