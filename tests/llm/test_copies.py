@@ -73,3 +73,28 @@ def test_chaining_of_a_hot_short_footer_makes_no_pairs(spark, monkeypatch):
         assert got[n + 2].links == [n, n + 1]
         seen[n] = matches["n"]
     assert seen[400] <= 2 * seen[200] + 100 and seen[400] < 4000
+
+
+def test_chaining_makes_the_second_rounds_matches_in_parts(spark, monkeypatch):
+    """No write has more than a part of them, none is lost, and the filter stands below the joins that make them."""
+    rows, more, sizes = [(i, prose(500 + i, 30) + " " + prose(7, 40) + " " + prose(8 + i % 2, 70)) for i in range(140)], chaining.more_matches, []
+    whole, chained = [], chaining.materialize
+
+    def kept(*args):
+        whole.append(more(*args))
+        return whole[0]
+
+    def written(df, name):
+        if whole and name == "chains":
+            sizes.append(df.agg({"*": "count"}).first()[0])
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            below = plan[plan.index("Join") :]
+            assert below.count("pmod(xxhash64(doc_id") >= 2
+        return chained(df, name)
+
+    monkeypatch.setattr(chaining, "more_matches", kept)
+    monkeypatch.setattr(chaining, "materialize", written)
+    monkeypatch.setattr(chaining, "cliques_of", lambda found: found.selectExpr("doc_id", "CAST(NULL AS long) AS c1", "CAST(NULL AS long) AS c2").limit(0))
+    got = {r.doc_id: r for r in chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(sizes) == chaining.PARTS and max(sizes) < sum(sizes) / 2
+    assert all(r.n_links == 69 and r.class_id == r.doc_id % 2 for r in got.values())
