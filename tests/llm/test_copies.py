@@ -98,3 +98,31 @@ def test_chaining_makes_the_second_rounds_matches_in_parts(spark, monkeypatch):
     got = {r.doc_id: r for r in chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(sizes) == chaining.PARTS and max(sizes) < sum(sizes) / 2
     assert all(r.n_links == 69 and r.class_id == r.doc_id % 2 for r in got.values())
+
+
+def test_chaining_of_phrases_written_again_and_again_makes_no_pairs(spark, monkeypatch):
+    """Documents that repeat a phrase are linked and counted without being matched pair by pair; also a ragged repetition, not a short one."""
+    rng, matches, more = random.Random(5), [], chaining.more_matches
+
+    def counted(*args):
+        matches.append(more(*args))
+        matches[-1] = matches[-1].count()
+        return more(*args)
+
+    monkeypatch.setattr(chaining, "more_matches", counted)
+    held = [rng.sample(["der", "die", "das", "ein", "und", "zu", "mit", "von", "auf"], 5) for _ in range(60)]
+    rows = [(i, prose(700 + i, 12) + "".join(" " + f"{w} " * rng.randint(60, 200) + prose(100 * i + len(w), 12) for w in words)) for i, words in enumerate(held)]
+    rows.append((100, prose(1, 60) + " der" * 30 + " und" + " der" * 30 + " " + prose(2, 60)))
+    rows.append((101, prose(3, 60) + " die" * 40 + " " + prose(4, 60)))
+    turns = ["tick tack tock"] * 25
+    rows += [(200 + k, prose(50 + k, 20) + " " + " ".join(" ".join(turns).split()[k:]) + " " + prose(60 + k, 20)) for k in range(3)]
+    rows += [(210, prose(70, 20) + " " + "tack tick tock " * 25)]
+    want = {i: sum(bool(set(held[i]) & set(other)) for other in held) - 1 + ("der" in held[i]) for i in range(60)}
+    want |= {100: sum("der" in words for words in held), 101: 0, 200: 2, 201: 2, 202: 2, 210: 0}
+    for hot in (chaining.HOT, 16):
+        monkeypatch.setattr(chaining, "HOT", hot)
+        got = {r.doc_id: r for r in chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {i: r.n_links for i, r in got.items()} == want
+        assert all(got[i].class_id == 0 for i in [*range(60), 100]) and {i: got[i].class_id for i in (101, 200, 201, 202, 210)} == {101: 101, 200: 200, 201: 200, 202: 200, 210: 210}
+        assert all(r.links and r.n_words >= 50 for i, r in got.items() if i not in (0, 101, 200, 210))
+    assert max(matches) < 10_000
