@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from lattica.llm import chaining, suffixdedup
 
 
@@ -126,3 +128,40 @@ def test_chaining_of_phrases_written_again_and_again_makes_no_pairs(spark, monke
         assert all(got[i].class_id == 0 for i in [*range(60), 100]) and {i: got[i].class_id for i in (101, 200, 201, 202, 210)} == {101: 101, 200: 200, 201: 200, 202: 200, 210: 210}
         assert all(r.links and r.n_words >= 50 for i, r in got.items() if i not in (0, 101, 200, 210))
     assert max(matches) < 10_000
+
+
+def test_chaining_proves_links_of_a_family_by_what_it_shares_with_one_document(spark, monkeypatch):
+    """Copies too much edited for a clique are neither matched nor aligned with each other, and all linked."""
+    rng, matches, more = random.Random(8), [], chaining.more_matches
+    words = prose(77, 300).split()
+
+    def edited(share, k):
+        # a sentence of its own, which no small step gets over, and words edited here and there
+        at = 20 + 4 * k
+        mine = [prose(5000 + 300 * k + i, 1) if rng.random() < share else w for i, w in enumerate(words)]
+        return " ".join(mine[:at] + prose(90000 + k, 6).split() + mine[at + 6 :])
+
+    def counted(*args):
+        out = more(*args)
+        matches.append(out.count())
+        return out
+
+    monkeypatch.setattr(chaining, "more_matches", counted)
+    rows = [(i, " ".join(words[: 290 + i])) for i in range(5)] + [(5 + k, edited(0.055, k)) for k in range(40)]
+    got = {r.doc_id: r for r in chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.n_links == 44 and r.class_id == 0 for r in got.values())
+    assert matches[0] < 1000
+
+
+def test_chains_of_many_blocks_are_the_trees_chains(monkeypatch):
+    """A phrase of 13 words again and again in both texts: the scores column by column are those of the trees."""
+    x, y = np.repeat(np.arange(24) * 13, 24), np.tile(np.arange(24) * 13 + np.arange(24) // 9, 24)
+    told = []
+    for way in (chaining._by_trees, chaining._by_columns):
+        scored = []
+        monkeypatch.setattr(chaining, "_by_trees", lambda *a, f=way: scored.append(f(*a)) or scored[0])
+        monkeypatch.setattr(chaining, "MANY", 1 << 30)
+        chaining.chains(x, y)
+        told.append(scored[0][0])
+        monkeypatch.undo()
+    assert np.allclose(*told)
