@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from lattica.functions.columns import cosine, dot, norm
 from lattica.operators import vector_index
 from lattica.operators.ranking import running
+from lattica.session import materialize
 
 #: A stated set of queries or centroids is held by every task only up to so many rows; beyond, an index is searched.
 QUERY_ROWS = 20_000
+#: Rows and queries that meet as two matrices at once, and rows that are worth a task of their own.
+TILE, TASK_ROWS = 1_024, 4_096
+#: Results that are broadcast at most.
+FOUND_ROWS = 1_000_000
 
 
 def _held(side: DataFrame) -> DataFrame:
@@ -28,15 +41,141 @@ def _many(side: DataFrame, floor: float) -> bool:
 def search(vectors: DataFrame, queries: DataFrame, k: int, floor: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): for each of a set of queries the ``k`` best other rows at ``floor`` or more.
 
-    Vectors stay where they are; the queries go to them. Each task keeps the k best a query before the shuffle. More than
-    QUERY_ROWS queries are searched in an index, with the same result.
+    The queries go to the vectors (``best_scored``). More than QUERY_ROWS queries are searched in an index, with the same result.
     """
     if _many(queries, floor):
         return vector_index.nearest(vector_index.build(vectors, id_col, vector), queries, k, floor, id_col=id_col, vector=vector)
-    q = _held(queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("q")))
-    scored = vectors.crossJoin(q).filter(F.col(id_col) != F.col("query_id")).select("query_id", F.col(id_col).alias("id"), F.round(cosine(F.col(vector), F.col("q")), 6).alias("score"))
+    scored = best_scored(vectors, queries, k, floor, True, id_col, vector)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly to as many tasks as they are worth, four a core at most: a file may be one task however much work its rows are."""
+    return rows.repartition(max(1, min(math.ceil(rows.count() / TASK_ROWS), 4 * rows.sparkSession.sparkContext.defaultParallelism)))
+
+
+def candidates(vectors: DataFrame, queries: DataFrame, cap: int = 40, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, id, semantic): each query's ``cap`` best rows by cosine, ties by id; its own row counts as any other."""
+    scored = best_scored(vectors, queries, cap, None, False, id_col, vector)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.filter(F.col("score") >= floor).withColumn("rank", rank).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= cap).select("query_id", "id", F.col("score").alias("semantic"))
+
+
+def best_scored(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None, others: bool, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, id, score): cosines at six digits, at ``floor`` or more; of each task's rows a query's ``k`` best, ties by id.
+
+    The queries are a stated set (QUERY_ROWS). They are sent to every task once and meet its rows as matrices, TILE by TILE;
+    a task keeps k rows a query. ``others`` leaves out rows under the query's own id and null ids. As in ``cosine``, an empty
+    or zero vector, one with a null part or one of another length scores 0; a score that is not a number is above all others.
+    """
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector).alias("q"))
+    if asked.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
+        raise ValueError(f"more than {QUERY_ROWS} queries at once: search them in blocks")
+    rows = spread(vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")))
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    out, held = to_arrow_schema(_parse_datatype_string(kinds)), asked.toArrow().combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = held.column("query_id").combine_chunks()
+        own = _codes(names, names)
+        tiles = [(at, own[at : at + TILE], _parts(held.column("q").slice(at, TILE))) for at in range(0, held.num_rows, TILE)]
+        best = [_Best(len(codes), k, out.field("id").type) for _, codes, _ in tiles]
+        for batch in batches:
+            for at in range(0, batch.num_rows, TILE):
+                ids, mine = batch.column("id").slice(at, TILE), _parts(batch.column("v").slice(at, TILE))
+                codes = _codes(ids, names)
+                for b, (_, asked_codes, theirs) in zip(best, tiles, strict=True):
+                    score = _scores(theirs, mine)
+                    fits = np.ones(score.shape, dtype=bool) if floor is None else (score >= floor) | np.isnan(score)
+                    if others:
+                        fits &= (asked_codes[:, None] != codes[None, :]) & (codes >= -1)[None, :] & (asked_codes >= 0)[:, None]
+                    b.add(score, fits, ids)
+        for b, (at, _, _) in zip(best, tiles, strict=True):
+            row, score, ids = b.rows()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(row + at)).cast(out.field("query_id").type), ids, pa.array(score)], schema=out)
+
+    return rows.mapInArrow(run, kinds)
+
+
+def _codes(ids: pa.Array, names: pa.Array) -> np.ndarray:
+    """The place of each id among ``names`` (its first), -1 of one that is not there, -2 of null."""
+    place = pc.fill_null(pc.index_in(ids.cast(names.type), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), -2, place)
+
+
+def _parts(column: pa.ChunkedArray | pa.Array) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, places, vectors, norms) of the vectors of each length; those that are null, empty or have a null part are in none."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.list_value_length(whole), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, ends = whole.flatten(), np.cumsum(sizes)
+    bad = np.searchsorted(ends, np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False)), side="right")
+    sizes_ok = sizes.copy()
+    sizes_ok[bad] = 0
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+    found = []
+    for size in np.unique(sizes_ok[sizes_ok > 0]):
+        at = np.flatnonzero(sizes_ok == size)
+        units = values if len(at) == len(sizes) else values[((ends[at] - size)[:, None] + np.arange(size)[None, :]).ravel()]
+        units = units.reshape(-1, size)
+        with np.errstate(all="ignore"):
+            found.append((int(size), at, units, np.sqrt((units * units).sum(axis=1))))
+    return found + [(0, np.arange(len(sizes)), np.zeros((0, 0)), np.zeros(0))]
+
+
+def _scores(asked: list, rows: list) -> np.ndarray:
+    """The cosines of all queries (down) with all rows (across), at six digits."""
+    out, by_size = np.zeros((len(asked[-1][1]), len(rows[-1][1]))), {size: part for size, *part in rows[:-1]}
+    with np.errstate(all="ignore"):
+        for size, at, units, norms in asked[:-1]:
+            if size in by_size:
+                to, theirs, lengths = by_size[size]
+                product = norms[:, None] * lengths[None, :]
+                score = np.round(np.where(product == 0, 0.0, (units @ theirs.T) / product), 6) + 0.0  # + 0.0: no -0.0
+                out[np.ix_(at, to)] = score
+    return out
+
+
+class _Best:
+    """The ``k`` best (score, id) of each of ``n`` queries among all rows added; not-a-number is above all, ties go by id."""
+
+    def __init__(self, n: int, k: int, kind: pa.DataType):
+        self.k, self.least, self.kind = k, np.full(n, -np.inf), kind
+        self.row, self.key, self.ids, self.waiting = [], [], [], 0
+
+    def add(self, score: np.ndarray, fits: np.ndarray, ids: pa.Array) -> None:
+        key = np.where(np.isnan(score), np.inf, score)
+        fits = fits & (key >= self.least[:, None])
+        row, col = np.nonzero(fits)
+        if len(row):
+            self.row.append(row)
+            self.key.append(key[row, col])
+            self.ids.append(ids.take(pa.array(col)).cast(self.kind))
+            self.waiting += len(row)
+            if self.waiting > 2 * self.k * len(self.least):
+                self.cut()
+
+    def cut(self) -> None:
+        """Only the best stay; what is worse than a query's k-th is not taken any more."""
+        if not self.row:
+            return
+        row, key, ids = np.concatenate(self.row), np.concatenate(self.key), pa.chunked_array(self.ids).combine_chunks()
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((rank, -key, row))
+        row, key = row[order], key[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        kept = nth < self.k
+        last = nth == self.k - 1
+        self.least[row[last]] = key[last]
+        self.row, self.key, self.ids = [row[kept]], [key[kept]], [ids.take(pa.array(order[kept]))]
+        self.waiting = int(kept.sum())
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        self.cut()
+        if not self.row:
+            return np.zeros(0, dtype=np.int64), np.zeros(0), pa.array([], self.kind)
+        return self.row[0], np.where(np.isinf(self.key[0]), np.nan, self.key[0]), self.ids[0]
 
 
 def dominant_size(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -159,8 +298,10 @@ def hit_rate(found: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A question is hit if any wanted id is among its results; its first rank is the best of those.
     """
-    first = found.join(wanted.distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
-    asked = wanted.select("query_id").distinct().join(first, "query_id", "left")
+    found = materialize(found.select("query_id", "id", "rank"), "found")
+    if found.count() <= FOUND_ROWS:
+        found = F.broadcast(found)  # a few rows a question; what is wanted may be many times the questions
+    asked = wanted.join(found, ["query_id", "id"], "left").groupBy("query_id").agg(F.min("rank").alias("first"))
     return asked.agg(F.count("*").alias("questions"), F.count("first").alias("hits"), F.round(F.count("first") / F.count("*"), 6).alias("rate"), F.round(F.avg("first"), 6).alias("mean_first_rank"))
 
 

@@ -113,3 +113,48 @@ def test_issue_without_fields(spark):
     got = {r.source_id: r.markdown for r in connectors.issue_markdown(rows).collect()}
     assert got["A-1"] == '---\nkey: "A-1"\n---\n# A-1\n\n## Description\n(no description)\n'
     assert 'summary: "say \\"hi\\""' in got["A-2"] and "# A-2 — say \"hi\"" in got["A-2"]
+
+
+def _pairs_scored(df, ask):
+    """Every (query_id, id, cosine) by the column expression, row by row."""
+    from lattica.functions.columns import cosine
+
+    q = ask.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return [(r.query_id, r.id, r.s) for r in df.crossJoin(q).select("query_id", F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("s")).collect()]
+
+
+def test_search_meets_queries_as_matrices(spark, monkeypatch):
+    """Odd vectors, repeated ids and ties score as by the column expression, and no plan pairs rows with queries one by one."""
+    monkeypatch.setattr(retrieval, "TILE", 16)
+    monkeypatch.setattr(retrieval, "TASK_ROWS", 50)
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(150)]
+    rows += [(200, None), (201, []), (202, [0.0, 0.0, 0.0]), (203, [1.0, None, 2.0]), (204, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (7, [1.0, 0.0, 1.0]), (7, [0.0, 1.0, 1.0]), (210, [float("nan"), 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = df.filter("vec_id % 10 = 0 or vec_id > 199 or vec_id = 7")
+    number = lambda s: (0, 0.0) if s != s else (1, -s)
+    scored = _pairs_scored(df, ask)
+    for floor, found in ((0.0, retrieval.search(df, ask, 5, 0.0)), (0.4, retrieval.search(df, ask, 5, 0.4))):
+        want = []
+        for a in {a for a, _, _ in scored}:
+            mine = sorted((number(s), i) for b, i, s in scored if b == a and i is not None and i != a and (s != s or s >= floor))
+            want += [(a, i, n, round(-s, 6) if known else None) for n, ((known, s), i) in enumerate(mine[:5], 1)]
+        got = [(r.query_id, r.id, r.rank, None if r.score != r.score else r.score) for r in found.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    kept = {}
+    for r in retrieval.candidates(df, ask, 9).collect():
+        kept.setdefault(r.query_id, []).append((number(r.semantic), -1 if r.id is None else r.id))
+    assert {a: sorted(v) for a, v in kept.items()} == {a: sorted((number(s), -1 if i is None else i) for b, i, s in scored if b == a)[:9] for a in kept} and len(kept) == len({a for a, _, _ in scored})
+    for made in (retrieval.search(df, ask, 5, 0.0), retrieval.candidates(df, ask, 9)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_hit_rate_deals_out_no_wanted_rows(spark):
+    """What is wanted, many rows a question, stays where it is: the results go to it."""
+    wanted = spark.createDataFrame([(q, i) for q in range(4) for i in range(30)] * 2 + [(9, None)], "query_id long, id long")
+    found = spark.createDataFrame([(0, 5, 2), (0, 6, 3), (1, 99, 1), (2, 7, 1), (8, 1, 1)], "query_id long, id long, rank int")
+    rate = retrieval.hit_rate(found, wanted)
+    assert tuple(rate.first()) == (5, 2, 0.4, 1.5)
+    plan = rate._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
