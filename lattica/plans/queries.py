@@ -440,8 +440,7 @@ CANDIDATES = f"""cand AS (SELECT y.vec_id AS query_id, x.vec_id AS id, round({CO
   FROM c WHERE m <= 40 WINDOW w AS (PARTITION BY query_id))""", "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)") + "SELECT query_id, id, score, rank FROM r WHERE rank <= 15 AND (rank <= 3 OR score >= 0.08)")
 def rerank(spark, sf_dir) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    cand = v.crossJoin(retrieval._held(q)).select("query_id", F.col("vec_id").alias("id"), F.round(C.cosine(F.col("embedding"), F.col("q")), 6).alias("semantic"), ((F.col("vec_id") % 10) / 10.0).alias("recency"), ((F.col("vec_id") % 7) / 1.0).alias("centrality"), ((F.col("vec_id") % 3) / 4.0).alias("affinity"))
+    cand = retrieval.candidates(v, v.filter("vec_id % 100 = 0")).select("query_id", "id", "semantic", ((F.col("id") % 10) / 10.0).alias("recency"), ((F.col("id") % 7) / 1.0).alias("centrality"), ((F.col("id") % 3) / 4.0).alias("affinity"))
     return retrieval.rerank(cand, personal=True).withColumn("rank", F.col("rank").cast("long"))
 
 
