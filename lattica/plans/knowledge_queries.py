@@ -261,7 +261,8 @@ def retrieval_hits(spark, sf_dir) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     asked = v.filter("vec_id % 100 = 0")
     found = retrieval.search(v, asked, 8, 0.0)
-    wanted = asked.select(F.col("vec_id").alias("query_id"), "label").join(v.select(F.col("vec_id").alias("id"), "label"), "label").filter("id <> query_id").select("query_id", "id")
+    asked = F.broadcast(asked.select(F.col("vec_id").alias("query_id"), "label"))  # search has seen that they are few
+    wanted = retrieval.spread(v.select(F.col("vec_id").alias("id"), "label")).join(asked, "label").filter("id <> query_id").select("query_id", "id")
     return retrieval.hit_rate(found, wanted)
 
 
