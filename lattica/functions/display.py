@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,24 +96,53 @@ def without_keys(values: Column, keys: list[str]) -> Column:
     return F.map_filter(values, lambda k, v: ~k.isin(keys))
 
 
-def cron_field(field: Column, value: Column, low: int) -> Column:
-    """Whether one field of a cron line takes ``value``: lists, ranges, steps and the star."""
+#: (low, high) of the fields of a cron line: minute, hour, day, month, weekday from Monday = 0.
+CRON_FIELDS = {"minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (0, 6)}
+
+
+def cron_fields(cron: Column) -> Column:
+    """A cron line of five fields as a struct of arrays of (begin, end, step): lists, ranges, steps and the star; null if it does not parse."""
+    f = F.split(F.trim(cron), r"\s+")
+
+    def one(part: Column, low: int) -> Column:
+        span, step = F.get(F.split(part, "/"), F.lit(0)), F.get(F.split(part, "/"), F.lit(1))
+        number = lambda n: F.get(F.split(span, "-"), F.lit(n)).try_cast("int").cast("long")
+        begin = F.when(span == "*", F.lit(low).cast("long")).otherwise(number(0))
+        open_ = (span == "*") | (part.contains("/") & ~span.contains("-"))
+        end = F.when(open_, F.lit(1 << 20).cast("long")).when(span.contains("-"), number(1)).otherwise(begin)
+        return F.struct(begin.alias("begin"), end.alias("end"), F.abs(F.when(part.contains("/"), step.try_cast("int").cast("long")).otherwise(1)).alias("step"))
+
+    parts = {name: F.transform(F.split(F.get(f, F.lit(i)), ","), lambda p, low=low: one(p, low)) for i, (name, (low, _)) in enumerate(CRON_FIELDS.items())}
+    known = lambda p: p["begin"].isNotNull() & p["end"].isNotNull() & F.coalesce(p["step"] > 0, F.lit(False))
+    return bound(F.struct(*(p.alias(name) for name, p in parts.items())), lambda c: F.when((F.size(f) == 5) & reduce(and_, (F.forall(c[name], known) for name in parts)), c))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def one(part: Column) -> Column:
-        span, step = F.get(F.split(part, "/"), F.lit(0)), F.coalesce(F.get(F.split(part, "/"), F.lit(1)).cast("int"), F.lit(1))
-        begin = F.when(span == "*", F.lit(low)).otherwise(F.get(F.split(span, "-"), F.lit(0)).cast("int"))
-        end = F.when((span == "*") | (part.contains("/") & ~span.contains("-")), F.lit(1 << 20)).otherwise(F.coalesce(F.get(F.split(span, "-"), F.lit(1)).cast("int"), begin))
-        return (value >= begin) & (value <= end) & ((value - begin) % step == 0)
 
-    return F.exists(F.split(field, ","), one)
+def cron_takes(parts: Column, value: Column) -> Column:
+    """Whether a field of ``cron_fields`` takes ``value``."""
+    return F.exists(parts, lambda p: (value >= p["begin"]) & (value <= p["end"]) & ((value - p["begin"]) % p["step"] == 0))
+
+
+def cron_next(parts: Column, least: Column, high: int) -> Column:
+    """The least value from ``least`` to ``high`` that a field of ``cron_fields`` takes, else null."""
+    at = F.transform(parts, lambda p: F.struct((p["begin"] + F.ceil(F.greatest(least - p["begin"], F.lit(0).cast("long")) / p["step"]) * p["step"]).alias("v"), p["end"].alias("end")))
+    return F.array_min(F.transform(F.filter(at, lambda x: (x["v"] <= x["end"]) & (x["v"] <= high)), lambda x: x["v"]))
+
+
+def cron_day(fields: Column, at: Column) -> Column:
+    """Whether day, month and weekday of ``cron_fields`` take a date's or time's."""
+    return cron_takes(fields["day"], F.day(at)) & cron_takes(fields["month"], F.month(at)) & cron_takes(fields["weekday"], F.weekday(at))
 
 
 def cron_fires(cron: Column, at: Column) -> Column:
-    """Whether a cron line of five fields (minute, hour, day, month, weekday from Monday = 0) fires at a minute."""
-    f = F.split(F.trim(cron), r"\s+")
-    weekday = F.weekday(at)
-    fields = ((0, F.minute(at), 0), (1, F.hour(at), 0), (2, F.day(at), 1), (3, F.month(at), 1), (4, weekday, 0))
-    out = F.size(f) == 5
-    for i, value, low in fields:
-        out = out & F.coalesce(cron_field(F.get(f, F.lit(i)), value, low), F.lit(False))
-    return out
+    """Whether a cron line (``cron_fields``) fires at a minute; one that does not parse never does."""
+    return F.coalesce(bound(cron_fields(cron), lambda c: cron_fires_at(c, at)), F.lit(False))
+
+
+def cron_fires_at(fields: Column, at: Column) -> Column:
+    """``cron_fires`` of a line already parsed."""
+    return cron_takes(fields["minute"], F.minute(at)) & cron_takes(fields["hour"], F.hour(at)) & cron_day(fields, at)

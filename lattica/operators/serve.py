@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.display import cron_fires
+from lattica.functions.display import bound, cron_day, cron_fields, cron_fires_at, cron_next, cron_takes
 
 
 # Graph restriction and retrieval seeds --------------------------------------------------------------------------------
@@ -200,9 +200,35 @@ def checkbox_done(content: Column, draft: Column, stopwords: list[str]) -> Colum
 def missed_fires(schedules: DataFrame, now: Column, lookback_days: int) -> DataFrame:
     """(id, cron, last, missed): the first minute after the last completed run, or in the lookback, at which a schedule fired by ``now``; else null.
 
-    A schedule's minutes are made inside its row, lookback_days * 1440 at most; a cron line that does not parse never fires.
+    A line's fields are parsed once, its first fire is told from the days of the lookback that it takes and its least hour and minute.
+    Only where the time zone's offset changes in between, the minutes are tried one by one. A line that does not parse never fires.
     """
     floor = F.greatest(F.coalesce("last", now - F.make_dt_interval(F.lit(lookback_days))), now - F.make_dt_interval(F.lit(lookback_days)))
     begin = F.date_trunc("minute", floor) + F.make_dt_interval(mins=F.lit(1))
-    minutes = F.when(begin <= now, F.sequence(begin, now, F.make_dt_interval(mins=F.lit(1)))).otherwise(F.array().cast("array<timestamp>"))
-    return schedules.withColumn("missed", F.get(F.filter(minutes, lambda t: cron_fires(F.col("cron"), t)), F.lit(0)))
+    known = F.struct(cron_fields(F.col("cron")).alias("c"), begin.alias("begin"), now.alias("now"))
+    return schedules.withColumn("missed", bound(known, lambda s: F.when(s["c"].isNotNull() & (s["begin"] <= s["now"]), F.when(_one_offset(s["begin"], s["now"]), _by_fields(s)).otherwise(_by_minutes(s)))))
+
+
+def _one_offset(begin: Column, end: Column) -> Column:
+    """Whether the session's time zone keeps one offset between two times."""
+    offset = lambda t: F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t) - F.unix_seconds(t)
+    return (offset(begin) == offset(end)) & F.forall(F.sequence(begin, end, F.make_dt_interval(hours=F.lit(24))), lambda t: offset(t) == offset(begin))
+
+
+def _by_minutes(s: Column) -> Column:
+    return F.get(F.filter(F.sequence(s["begin"], s["now"], F.make_dt_interval(mins=F.lit(1))), lambda t: cron_fires_at(s["c"], t)), F.lit(0))
+
+
+def _by_fields(s: Column) -> Column:
+    """The first fire from ``begin`` to ``now``, by ``begin``'s minute of the day and whole days from it."""
+    c, begin = s["c"], s["begin"]
+    hour, minute, today = F.hour(begin), F.minute(begin), F.to_date(begin)
+    at = lambda h, m: F.when(h.isNotNull() & m.isNotNull(), h * 60 + m)
+    earliest = cron_next(c["minute"], F.lit(0), 59)
+    in_hour = F.when(cron_takes(c["hour"], hour), at(hour, cron_next(c["minute"], minute, 59)))
+    first = F.coalesce(in_hour, at(cron_next(c["hour"], hour + 1, 23), earliest))  # of the day that begin is in
+    whole = at(cron_next(c["hour"], F.lit(0), 23), earliest)
+    later = F.get(F.filter(F.sequence(F.date_add(today, 1), F.date_add(F.to_date(s["now"]), 1)), lambda d: cron_day(c, d)), F.lit(0))
+    ahead = F.coalesce(F.when(cron_day(c, today), first), whole + 1440 * F.datediff(later, today)) - hour * 60 - minute
+    fire = begin + F.make_dt_interval(mins=ahead.cast("int"))
+    return F.when(fire <= s["now"], fire)

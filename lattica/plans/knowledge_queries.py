@@ -353,7 +353,7 @@ f AS (SELECT *, greatest(coalesce(last, TIMESTAMP '2024-03-03 10:30:00'), TIMEST
 SELECT id, CASE WHEN fire <= TIMESTAMP '2024-03-05 10:30:00' THEN epoch(fire)::BIGINT END AS missed FROM g""")
 def missed_fires(spark, sf_dir) -> DataFrame:
     k = F.col("c_custkey")
-    schedules = table(spark, sf_dir, "customer").select(k.alias("id"), text_of(k % 60, " ", k % 24, " * * *").alias("cron"), F.when(k % 4 > 0, F.timestamp_seconds(F.lit(1709634600) - 3600 * (k % 60))).alias("last"))
+    schedules = retrieval.spread(table(spark, sf_dir, "customer").select("c_custkey")).select(k.alias("id"), text_of(k % 60, " ", k % 24, " * * *").alias("cron"), F.when(k % 4 > 0, F.timestamp_seconds(F.lit(1709634600) - 3600 * (k % 60))).alias("last"))
     return serve.missed_fires(schedules, F.lit("2024-03-05 10:30:00").cast("timestamp"), 2).select("id", F.col("missed").cast("long").alias("missed"))
 
 

@@ -158,3 +158,56 @@ def test_hit_rate_deals_out_no_wanted_rows(spark):
     assert tuple(rate.first()) == (5, 2, 0.4, 1.5)
     plan = rate._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin", "Australia/Lord_Howe"])
+def test_missed_fires_are_told_from_the_fields(spark, zone):
+    """Against every minute tried, with odd lines, seconds, future runs and a change of the zone's offset; the plan makes no minutes by itself in UTC."""
+    from datetime import datetime, timedelta, timezone
+    from zoneinfo import ZoneInfo
+
+    lines = ["* * * * *", "0 6 * * *", "30 2 * * *", "*/15 9-10 * * 0-4", "5/10 23 * * *", "59 23 31 3 *", "0 0 1 4 *", "7,9-11/2,50 */5 * 3,4 6", "61 * * * *", "* 24 * * *", "0 0 * * 7", "1,x * * * *", "*/0 * * * *", "*/x 1 * * *", "a b c d e", "1 2 3", "", None, "0 0 5/2147483647 * *", "45-10 3 * * *", " 10  2 * *  * "]
+    rng, zoned = random.Random(4), ZoneInfo(zone)
+    now = {"UTC": datetime(2024, 3, 5, 10, 30), "Europe/Berlin": datetime(2024, 3, 31, 4, 30), "Australia/Lord_Howe": datetime(2024, 4, 7, 1, 0)}[zone].replace(tzinfo=timezone.utc)
+    rows = [(n * 100 + i, line, None if i == 0 else int(now.timestamp()) + 90 - rng.randrange(60 * 60 * 60)) for n, line in enumerate(lines) for i in range(5)]
+
+    def takes(field, value, low):
+        for part in field.split(","):
+            span, _, step = part.partition("/")
+            begin, end = (low, 1 << 20) if span == "*" else (int(span.split("-")[0]), int(span.split("-")[1]) if "-" in span else 1 << 20 if step else int(span))
+            if begin <= value <= end and (value - begin) % int(step or 1) == 0:
+                return True
+        return False
+
+    def plain(line, last):
+        if line in (None, "", "1 2 3", "a b c d e", "*/0 * * * *", "*/x 1 * * *", "1,x * * * *"):
+            return None
+        floor = (now.astimezone(zoned) - timedelta(days=2)).astimezone(timezone.utc)  # days of the calendar, as Spark's intervals
+        t = max(floor, datetime.fromtimestamp(last, timezone.utc) if last else floor).replace(second=0) + timedelta(minutes=1)
+        while t <= now:
+            w = t.astimezone(zoned)
+            if all(takes(f, v, low) for f, v, low in zip(line.split(), (w.minute, w.hour, w.day, w.month, w.weekday()), (0, 0, 1, 1, 0))):
+                return int(t.timestamp())
+            t += timedelta(minutes=1)
+        return None
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        frame = spark.createDataFrame(rows, "id int, cron string, s long").withColumn("last", F.timestamp_seconds("s"))
+        missed = serve.missed_fires(frame, F.timestamp_seconds(F.lit(int(now.timestamp()))), 2)
+        got = {r.id: r.missed for r in missed.select("id", F.unix_seconds("missed").alias("missed")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == {i: plain(line, s) for i, line, s in rows}
+    assert len(set(got.values())) > 12
+
+
+def test_missed_fires_work_grows_with_the_rows_only(spark):
+    """A lookback of 400 days takes about as long as one of two: no minutes are made."""
+    import time
+
+    rows = spark.range(3000).select(F.col("id"), F.concat((F.col("id") % 60).cast("string"), F.lit(" 3 29 2 *")).alias("cron"), F.lit(None).cast("timestamp").alias("last"))
+    began = time.time()
+    out = serve.missed_fires(rows, F.lit("2025-02-27 10:30:00").cast("timestamp"), 400).agg(F.count("missed").alias("n")).first()
+    assert out.n == 3000 and time.time() - began < 40
