@@ -78,13 +78,13 @@ def best_scored(vectors: DataFrame, queries: DataFrame, k: int, floor: float | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = held.column("query_id").combine_chunks()
-        own = _codes(names, names)
+        own = vector_index.codes_of(names, names)
         tiles = [(at, own[at : at + TILE], _parts(held.column("q").slice(at, TILE))) for at in range(0, held.num_rows, TILE)]
-        best = [_Best(len(codes), k, out.field("id").type) for _, codes, _ in tiles]
+        best = [vector_index.Best(len(codes), k, out.field("id").type) for _, codes, _ in tiles]
         for batch in batches:
             for at in range(0, batch.num_rows, TILE):
                 ids, mine = batch.column("id").slice(at, TILE), _parts(batch.column("v").slice(at, TILE))
-                codes = _codes(ids, names)
+                codes = vector_index.codes_of(ids, names)
                 for b, (_, asked_codes, theirs) in zip(best, tiles, strict=True):
                     score = _scores(theirs, mine)
                     fits = np.ones(score.shape, dtype=bool) if floor is None else (score >= floor) | np.isnan(score)
@@ -98,12 +98,6 @@ def best_scored(vectors: DataFrame, queries: DataFrame, k: int, floor: float | N
     return rows.mapInArrow(run, kinds)
 
 
-def _codes(ids: pa.Array, names: pa.Array) -> np.ndarray:
-    """The place of each id among ``names`` (its first), -1 of one that is not there, -2 of null."""
-    place = pc.fill_null(pc.index_in(ids.cast(names.type), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.where(ids.is_null().to_numpy(zero_copy_only=False), -2, place)
-
-
 def _parts(column: pa.ChunkedArray | pa.Array) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(length, places, vectors, norms) of the vectors of each length; those that are null, empty or have a null part are in none."""
     whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -136,48 +130,6 @@ def _scores(asked: list, rows: list) -> np.ndarray:
     return out
 
 
-class _Best:
-    """The ``k`` best (score, id) of each of ``n`` queries among all rows added; not-a-number is above all, ties go by id."""
-
-    def __init__(self, n: int, k: int, kind: pa.DataType):
-        self.k, self.least, self.kind = k, np.full(n, -np.inf), kind
-        self.row, self.key, self.ids, self.waiting = [], [], [], 0
-
-    def add(self, score: np.ndarray, fits: np.ndarray, ids: pa.Array) -> None:
-        key = np.where(np.isnan(score), np.inf, score)
-        fits = fits & (key >= self.least[:, None])
-        row, col = np.nonzero(fits)
-        if len(row):
-            self.row.append(row)
-            self.key.append(key[row, col])
-            self.ids.append(ids.take(pa.array(col)).cast(self.kind))
-            self.waiting += len(row)
-            if self.waiting > 2 * self.k * len(self.least):
-                self.cut()
-
-    def cut(self) -> None:
-        """Only the best stay; what is worse than a query's k-th is not taken any more."""
-        if not self.row:
-            return
-        row, key, ids = np.concatenate(self.row), np.concatenate(self.key), pa.chunked_array(self.ids).combine_chunks()
-        rank = np.empty(len(ids), dtype=np.int64)
-        rank[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
-        order = np.lexsort((rank, -key, row))
-        row, key = row[order], key[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-        kept = nth < self.k
-        last = nth == self.k - 1
-        self.least[row[last]] = key[last]
-        self.row, self.key, self.ids = [row[kept]], [key[kept]], [ids.take(pa.array(order[kept]))]
-        self.waiting = int(kept.sum())
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        self.cut()
-        if not self.row:
-            return np.zeros(0, dtype=np.int64), np.zeros(0), pa.array([], self.kind)
-        return self.row[0], np.where(np.isinf(self.key[0]), np.nan, self.key[0]), self.ids[0]
-
-
 def dominant_size(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """(size, n) of the commonest vector length, the least at a tie."""
     return vectors.groupBy(F.size(vector).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1)

@@ -2,11 +2,11 @@
 
 Vectors are brought to length one; a cosine of c is then a distance of sqrt(2 - 2c). Every vector is in the list of its nearest
 centre with its distance to it (rho). By the triangle inequality a query at distance d from a centre can be within r of
-members with |d - rho| <= r only. Lists are cut into slices of neighbouring rho and bounded size, so that this range picks
-slices, and query and slice meet in an equi-join whose keys have bounded groups on the index's side, however large a list is.
+members with |d - rho| <= r only. Lists are cut into slices of neighbouring rho and bounded size, and neighbouring slices are
+a block of bounded bytes: this range picks the blocks that a query goes to, and in them the lists.
 
 Approximate search looks into the lists of a query's nearest centres. Exact search takes the k-th score found that way as its
-radius and looks into every slice that the range allows.
+radius and looks into every list that the range allows.
 """
 
 from __future__ import annotations
@@ -17,17 +17,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from lattica.operators.ranking import positions
 from lattica.session import materialize
 
 #: Centres are learnt from at most so many rows; there are at most so many of them; rows of a slice; rounds of learning.
 SAMPLE, LISTS, SLICE, ROUNDS = 100_000, 4_096, 4_096, 4
-#: Queries that meet a slice at once, on average.
-QUERIES = 8_192
+#: Bytes of a block of slices as a matrix, which a task holds; queries that meet it at once.
+BLOCK_BYTES, TILE = 64 << 20, 512
 #: Scores are rounded to six digits, so a search looks a little farther than its radius.
 SLACK = 2e-6
 
@@ -42,6 +44,53 @@ class Index(NamedTuple):
     slices: DataFrame
 
 
+def codes_of(ids: pa.Array, names: pa.Array) -> np.ndarray:
+    """The place of each id among ``names`` (its first), -1 of one that is not there, -2 of null."""
+    place = pc.fill_null(pc.index_in(ids.cast(names.type), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), -2, place)
+
+
+class Best:
+    """The ``k`` best (score, id) of each of ``n`` queries among all rows added; not-a-number is above all, ties go by id."""
+
+    def __init__(self, n: int, k: int, kind: pa.DataType):
+        self.k, self.least, self.kind = k, np.full(n, -np.inf), kind
+        self.row, self.key, self.ids, self.waiting = [], [], [], 0
+
+    def add(self, score: np.ndarray, fits: np.ndarray, ids: pa.Array) -> None:
+        row, col = np.nonzero(fits & ~(score < self.least[:, None]))  # not-a-number is not less
+        if len(row):
+            key = score[row, col]
+            self.row.append(row)
+            self.key.append(np.where(np.isnan(key), np.inf, key))
+            self.ids.append(ids.take(pa.array(col)).cast(self.kind))
+            self.waiting += len(row)
+            if self.waiting > 2 * self.k * len(self.least):
+                self.cut()
+
+    def cut(self) -> None:
+        """Only the best stay; what is worse than a query's k-th is not taken any more."""
+        if not self.row:
+            return
+        row, key, ids = np.concatenate(self.row), np.concatenate(self.key), pa.chunked_array(self.ids).combine_chunks()
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((rank, -key, row))
+        row, key = row[order], key[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        kept = nth < self.k
+        last = nth == self.k - 1
+        self.least[row[last]] = key[last]
+        self.row, self.key, self.ids = [row[kept]], [key[kept]], [ids.take(pa.array(order[kept]))]
+        self.waiting = int(kept.sum())
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        self.cut()
+        if not self.row:
+            return np.zeros(0, dtype=np.int64), np.zeros(0), pa.array([], self.kind)
+        return self.row[0], np.where(np.isinf(self.key[0]), np.nan, self.key[0]), self.ids[0]
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
@@ -108,72 +157,141 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     return Index(centres, near, far, placed, slices)
 
 
-def _lists(index: Index, queries: DataFrame, probes: int | None) -> DataFrame:
-    """``queries`` (query_id, q, reach) with each list to look into and its centre's distance d.
+def _blocks(index: Index, queries: DataFrame, probes: int | None, bounds: list[tuple[int, int, float, float]]) -> DataFrame:
+    """``queries`` (query_id, q, reach) once for each block that has rows they may meet, with their nearest list and the lists they look into.
 
-    With ``probes`` the nearest lists that have rows, else all whose members can be within reach of the query.
+    ``bounds`` are (block, list, least, most) in order. With ``probes`` a query's lists are the nearest that have rows, else all,
+    and ``lists`` is null; a block is met if one of its lists has members within reach.
     """
     fields = to_arrow_schema(queries.schema)
-    out = pa.schema([*fields, ("list", pa.int32()), ("d", pa.float64())])
-    centres, near, far = index.centres, index.near, index.far
+    out = pa.schema([*fields, ("block", pa.int32()), ("list", pa.int32()), ("lists", pa.list_(pa.int32()))])
+    centres, far = index.centres, index.far
+    block, at_list, least, most = (np.array(x) for x in zip(*bounds, strict=True)) if bounds else (np.zeros(0, dtype=int),) * 4
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
+            for at in range(0, batch.num_rows if len(block) else 0, 1024):
                 part = batch.slice(at, 1024)
                 d = _distances(_matrix(part.column("q"), centres.shape[1]), centres)
                 reach = part.column("reach").to_numpy(zero_copy_only=False)[:, None]
-                open_ = (d - far[None, :] <= reach) & (near[None, :] - d <= reach) & (far >= 0)[None, :]
+                open_ = (d[:, at_list] - most <= reach) & (least - d[:, at_list] <= reach)
+                lists = [None] * len(d)
                 if probes is not None:
-                    rank = np.argsort(np.argsort(np.where(far[None, :] >= 0, d, np.inf), axis=1, kind="stable"), axis=1, kind="stable")
-                    open_ &= rank < probes
-                row, k = np.nonzero(open_)
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*(taken.column(f.name).cast(f.type) for f in fields), pa.array(k.astype(np.int32)), pa.array(d[row, k])], schema=out)
+                    near = np.argsort(np.where(far[None, :] >= 0, d, np.inf), axis=1, kind="stable")[:, :probes]
+                    taken = np.zeros(d.shape, dtype=bool)
+                    np.put_along_axis(taken, near, True, axis=1)
+                    open_ &= taken[:, at_list]
+                    lists = list(near.astype(np.int32))
+                row, k = np.nonzero(np.logical_or.reduceat(open_, starts, axis=1))
+                met = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*(met.column(f.name).cast(f.type) for f in fields), pa.array(block[starts[k]].astype(np.int32)), pa.array(d.argmin(axis=1)[row].astype(np.int32)), pa.array([lists[r] for r in row], pa.list_(pa.int32()))], schema=out)
+
+    return queries.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema) + ", block int, list int, lists array<int>")
 
-    return queries.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema) + ", list int, d double")
+
+def _dealt(index: Index, n_queries: int) -> tuple[int, int]:
+    """(blocks of rows, parts of queries): as few as memory and cores allow, as rows go to every part and queries to every block."""
+    n, cells = index.rows.count(), 3 * index.rows.sparkSession.sparkContext.defaultParallelism
+    least = math.ceil(8 * index.centres.shape[1] * n / BLOCK_BYTES)
+    blocks = max(1, least, min(math.ceil(n / SLICE), math.ceil(math.sqrt(cells * n / max(n_queries, 1)))))
+    return blocks, max(1, min(math.ceil(n_queries / SLICE), math.ceil(cells / blocks)))
 
 
 def _met(index: Index, queries: DataFrame, probes: int | None, floor: float, k: int | None = None) -> DataFrame:
-    """(query_id, id, score) of pairs at ``floor`` or more that lists, slices and rho leave; score is the cosine, at six digits.
+    """(query_id, id, score) of pairs at ``floor`` or more that lists and rho leave; score is the cosine, at six digits.
 
-    Queries and the rows of a slice meet as two matrices. A slice is bounded; its queries are dealt to as many parts as keep each
-    at QUERIES on average, and the slice goes to all of them. With ``k`` a query takes its k best rows of a slice (and what ties).
+    Neighbouring slices are a block, which a task holds as one matrix; queries are dealt to parts, and those of a part that may
+    meet a block stream by it, TILE at once. So a vector is shuffled once a block or part, not once a slice. With ``k`` a query
+    takes its k best others of a block, ties by id, and none under its own id.
     """
-    asked = _lists(index, queries, probes).join(index.slices, "list")
-    asked = asked.filter((F.col("d") - F.col("most") <= F.col("reach")) & (F.col("least") - F.col("d") <= F.col("reach"))).drop("least", "most")
-    parts = max(1, math.ceil(queries.count() / QUERIES))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-    rows = index.rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    size = index.centres.shape[1]
-
-    def meet(mine, theirs):
-        out = {"query_id": [], "id": [], "score": []}
-        theirs, mine = theirs.combine_chunks(), mine.combine_chunks()
-        if mine.num_rows and theirs.num_rows:
-            units, rho = _matrix(theirs.column("vector").combine_chunks(), size), theirs.column("rho").to_numpy()
-            for at in range(0, mine.num_rows, 512):
-                tile = mine.slice(at, 512).combine_chunks()
-                d, reach_ = tile.column("d").to_numpy()[:, None], tile.column("reach").to_numpy()[:, None]
-                score = np.round(np.clip(_matrix(tile.column("q").combine_chunks(), size) @ units.T, -1, 1), 6)
-                fits = (np.abs(d - rho[None, :]) <= reach_) & (score >= floor)
-                if k is not None and fits.shape[1] > k:
-                    masked = np.where(fits, score, -2.0)
-                    fits &= masked >= -np.partition(-masked, k, axis=1)[:, k : k + 1]  # one more, as a query may meet itself
-                row, col = np.nonzero(fits)
-                out["query_id"].append(tile.column("query_id").take(pa.array(row)))
-                out["id"].append(theirs.column("id").take(pa.array(col)))
-                out["score"].append(pa.chunked_array([pa.array(score[row, col])]))
-        if not out["score"]:
-            return fields.empty_table()
-        return pa.table([pa.chunked_array([c for x in out[f.name] for c in x.chunks], f.type) for f in fields], schema=fields)
-
+    blocks, parts = _dealt(index, queries.count())
+    slices = (index.slices.agg(F.max("slice")).first()[0] or 0) + 1
+    width = math.ceil(slices / blocks)
+    block = F.floor(F.col("slice") / width).cast("int")
+    bounds = index.slices.groupBy(block.alias("block"), "list").agg(F.min("least"), F.max("most")).orderBy("block", "list").collect()  # lists and blocks
+    asked = _blocks(index, queries, probes, [tuple(r) for r in bounds])
+    q, v = asked.schema["q"].dataType, index.rows.schema["vector"].dataType
+    one = (lambda c: F.col(c)) if q == v else (lambda c: F.transform(c, lambda x: x.cast("double")))
+    null = lambda frame, c: F.lit(None).cast(frame.schema[c].dataType).alias(c)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")
+    mine = index.rows.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), block.alias("block"), F.lit(0).alias("side"), "list", "rho", "id", null(asked, "query_id"), one("vector").alias("v"), null(asked, "lists"))
+    theirs = asked.select(part.alias("part"), "block", F.lit(1).alias("side"), "list", F.col("reach").alias("rho"), null(index.rows, "id"), "query_id", one("q").alias("v"), "lists")
+    both = mine.unionByName(theirs).repartition(min(2 * blocks * parts, 2_000), "part", "block").sortWithinPartitions("part", "block", "side", "list", "rho")
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {index.rows.schema['id'].dataType.simpleString()}, score double"
-    from pyspark.sql.types import _parse_datatype_string
+    fields, centres = to_arrow_schema(_parse_datatype_string(kinds)), index.centres
 
-    fields = to_arrow_schema(_parse_datatype_string(kinds))
-    keys = ["list", "slice", "part"]
-    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(meet, kinds)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows, held = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "block", "side")], axis=1) if batch.num_rows else np.zeros((0, 3))
+            starts = [*np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1] if len(keys) else []
+            for at, to in zip([0, *starts], [*starts, len(keys)], strict=True):
+                if at == to:
+                    continue
+                if tuple(keys[at, :2]) != cell:
+                    cell, rows, held = tuple(keys[at, :2]), [], None
+                some = batch.slice(at, to - at)
+                if not keys[at, 2]:
+                    rows.append(some)
+                elif held or rows:
+                    held = held or _Block(rows, centres)
+                    for tile in range(0, some.num_rows, TILE):
+                        yield from held.meet(some.slice(tile, TILE), floor, k, fields)
+
+    return both.mapInArrow(run, kinds)
+
+
+class _Block:
+    """The rows of a block as one matrix, in order of list and rho."""
+
+    def __init__(self, rows: list[pa.RecordBatch], centres: np.ndarray):
+        take = lambda c: pa.chunked_array([b.column(c) for b in rows])
+        size = centres.shape[1]
+        self.units = np.concatenate([_matrix(b.column("v"), size) for b in rows])
+        self.ids = take("id").combine_chunks()
+        rho, lists = take("rho").to_numpy(), take("list").to_numpy()
+        self.lists, self.starts, self.nth = np.unique(lists, return_index=True, return_inverse=True)
+        self.ends = np.append(self.starts[1:], len(lists))
+        self.centres, self.least, self.most = centres[self.lists], rho[self.starts], rho[self.ends - 1]
+        rows.clear()
+
+    def meet(self, asked: pa.RecordBatch, floor: float, k: int | None, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Pairs of a tile of queries with the lists that any of them may look into."""
+        q, reach, names = _matrix(asked.column("v"), self.units.shape[1]), asked.column("rho").to_numpy(zero_copy_only=False)[:, None], asked.column("query_id")
+        d = _distances(q, self.centres)
+        open_ = (d - self.most <= reach) & (self.least - d <= reach)
+        probed = asked.column("lists").null_count == 0
+        if probed:
+            taken = np.zeros(open_.shape, dtype=bool)
+            lists = asked.column("lists")
+            query, value = np.repeat(np.arange(len(q)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(self.lists, value), len(self.lists) - 1)
+            here = self.lists[at] == value
+            taken[query[here], at[here]] = True
+            open_ &= taken
+        wanted = np.flatnonzero(np.repeat(open_.any(axis=0), self.ends - self.starts))
+        best, own = Best(len(q), k, fields.field("id").type) if k is not None else None, codes_of(names, names)
+        for at in range(0, len(wanted), SLICE):
+            to = wanted[at : at + SLICE]
+            near = slice(to[0], to[-1] + 1) if to[-1] - to[0] + 1 == len(to) else to
+            score = np.round(np.clip(q @ self.units[near].T, -1, 1), 6)
+            fits = score >= floor
+            if probed:
+                fits &= open_[:, self.nth[near]]
+            ids = self.ids.take(pa.array(to))
+            if best is not None:
+                codes = codes_of(ids, names)
+                same = np.flatnonzero(codes >= 0)
+                fits[:, same] &= own[:, None] != codes[None, same]
+                best.add(score, fits, ids)
+            else:
+                row, col = np.nonzero(fits)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(row)).cast(fields.field("query_id").type), ids.take(pa.array(col)), pa.array(score[row, col])], schema=fields)
+        if best is not None:
+            row, score, ids = best.rows()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(row)).cast(fields.field("query_id").type), ids, pa.array(score)], schema=fields)
 
 
 def reach(score: Column) -> Column:
